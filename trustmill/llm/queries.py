@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import quality, sharding, url_filter
+from trustmill.llm import quality, sharding, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_quality_rules": quality.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
 }

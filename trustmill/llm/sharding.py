@@ -16,7 +16,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustmill.llm.common import literal_rows, saved, table
+from trustmill.functions.storage import saved
+from trustmill.llm.common import literal_rows, table
 
 N_SHARDS = 24
 #: Rows of a block or a piece while these are few; beyond MAX_PARTS of them, blocks and pieces grow instead, because
