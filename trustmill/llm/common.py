@@ -27,3 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def literal_rows(spark: SparkSession, rows_json: str, schema: str) -> DataFrame:
     """A small driver-side list (JSON array of objects) as a DataFrame, without any Python on the executors."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows_json), f"array<struct<{schema}>>")))
+
+
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Arrow batches of a few MB at most, however long the texts are: bounds what a Python worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
-from trustmill.llm.common import table
+from trustmill.llm.common import small_batches, table
 from trustmill.operators.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -56,6 +56,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null and blank texts have fingerprint zero."""
 
+    small_batches(docs.sparkSession)
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)], np.uint64)

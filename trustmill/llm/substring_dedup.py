@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
-from trustmill.llm.common import table, words_of
+from trustmill.llm.common import small_batches, table, words_of
 
 WINDOW, ANCHOR = 50, 16
 #: Words hashed at once: bounds the workers' memory. A single longer text is taken alone.
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -186,7 +186,7 @@ def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = b" ".join([words[i] for i in np.flatnonzero(~gone)]).decode()
         rows.append({"doc_id": row["doc_id"], "intervals": [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)], "kept_text": kept})
         size += len(kept)
-        if size > 4_000_000:
+        if size > 1_000_000:
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
             rows, size = [], 0
     if rows:
@@ -199,6 +199,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and short texts, and rows without an id, lose nothing and take nothing from others. Rows that share an id
     count as one document: they don't remove each other's words. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     runs = own.mapInArrow(_runs, RUNS)
     # an anchor in one document only can't hold a repeated window
