@@ -97,7 +97,7 @@ def near_duplicates(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     fps = saved(fps)
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(distinct, max_bits), "a", "b")
+    found = connected_components(saved(links(distinct, max_bits)), "a", "b")
     root = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = saved(root).groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(root.join(named, "root").select("fp", "component_id"), "fp")

@@ -207,12 +207,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     anchors = anchors.where("lo < hi").select("anchor", (F.col("run_lo") < F.col("run_hi")).alias("mixed"))
     shared = saved(runs.join(anchors, "anchor"))
     first = shared.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"))
-    marked = shared.join(first, ["anchor", "run"]).withColumn("later", F.col("doc_id") > F.col("first")).where("later OR mixed")
+    marked = shared.join(saved(first), ["anchor", "run"]).withColumn("later", F.col("doc_id") > F.col("first")).where("later OR mixed")
     piece = F.struct("start", "n")
     by_doc = saved(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("later"), piece)).alias("whole"), F.collect_list(F.when(~F.col("later"), piece)).alias("open")))
     texts = saved(own.mapInArrow(_packed, "doc_id long, packed binary").join(by_doc, "doc_id"))
     opened = saved(texts.where(F.size("open") > 0).select("doc_id", "packed", "open").mapInArrow(_windows, WINDOWS))
-    earliest = opened.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # saved, so that the join deals both sides itself and can split a window that very many documents hold
+    earliest = saved(opened.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     single = opened.join(earliest, ["anchor", "hash"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("single"))
     found = texts.select("doc_id", "packed", "whole").join(single, "doc_id", "left").where("size(whole) > 0 OR single IS NOT NULL")
     return found.mapInArrow(_changed, CHANGED)
