@@ -167,10 +167,11 @@ def classify(net: Network, tables, texts: list[str | None]) -> list[tuple[str, f
 def training_sample(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
     """At most SAMPLE_PER_LANG rows of each of MAX_LANGS languages, by a hash of id and text. Texts are cut to 64 windows."""
     rows = docs.where(usable).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    rows = rows.withColumn("text", F.substring("text", 1, 64 * WINDOW)).join(F.broadcast(top), "lang")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= SAMPLE_PER_LANG)
-    return [(r["text"], r["lang"]) for r in rows.orderBy("lang", "rank").select("text", "lang").collect()]
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    # the hash thins each language to about four times its sample before anything is ranked
+    rows = rows.join(F.broadcast(top), "lang").where(F.pmod("draw", "count") < 4 * SAMPLE_PER_LANG)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("draw"), "text"))).where(F.col("rank") <= SAMPLE_PER_LANG)
+    return [(r["text"], r["lang"]) for r in rows.orderBy("lang", "rank").select(F.substring("text", 1, 64 * WINDOW).alias("text"), "lang").collect()]
 
 
 def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
