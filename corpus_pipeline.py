@@ -1,8 +1,61 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, PII, SentencePiece."""
+"""The corpus pipeline over `documents`: language ID, near-dedup, decontamination, PII, SentencePiece.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. SQL can't express the trained and hashed stages, so there is no ORACLE_SQL; tests compare the stages
+with brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trustmill.functions.storage import saved
+from trustmill.llm import decontaminate, language_id, pii, sentencepiece_codec, simhash
+from trustmill.llm.common import table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; lang becomes the predicted one."""
+    net = language_id.trained(language_id.training_sample(docs, ~language_id.held_out()))
+    judged = language_id.predicted(docs, net)
+    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.without_copies(docs).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    out = sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs.select("doc_id", "lang", "source", "text")))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", redact),
+    ("sentencepiece", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import decontaminate, language_id, pii, quality, secrets, sharding, simhash, substring_dedup, url_filter
+from trustmill.llm import decontaminate, language_id, pii, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_sharding": sharding.op5_sharding,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_language_id": language_id.op7_language_id,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_pii": pii.op9_pii,

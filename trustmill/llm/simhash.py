@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
 from trustmill.llm.common import small_batches, table
+from trustmill.llm.substring_dedup import mix
 from trustmill.operators.components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -103,6 +104,103 @@ def near_duplicates(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.join(root.join(named, "root").select("fp", "component_id"), "fp")
 
 
+#: Near copies: shingles of five words, similarity of 0.8 or more.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: At a similarity of 0.8 fingerprints differ in about ten bits, too many for small balls. So near copies are also sought
+#: in LANES sketches, each of the 2 and of the 4 shingles that come first in an order of its own: two documents with a
+#: similarity of 0.8 share a 2-shingle key in a lane with probability 0.64, and miss all lanes with 1e-7.
+LANES = 16
+#: Candidates whose fingerprints are further apart are unrelated: similar documents are 10 bits apart, give or take 3.
+FAR_BITS = 24
+
+SKETCHES = "id long, digest binary, fp long, keys array<long>"
+
+
+def _lane_keys(hashes: np.ndarray) -> list[int]:
+    keys = []
+    for lane in range(LANES):
+        order = mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (2**64 - 1)))
+        first = np.sort(np.partition(order, 3)[:4] if len(order) > 4 else order)
+        for k in (2, 4):
+            keys.append(xxhash.xxh64_intdigest(first[:k].tobytes() + bytes([k, lane])))
+    return keys
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, fps, keys = [], [], []
+        for t in batch.column(1):
+            hashes = shingle_hashes(t.as_py(), COPY_SHINGLE)
+            distinct = np.unique(hashes)
+            digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+            fps.append(fingerprint(hashes))
+            keys.append(np.array(_lane_keys(distinct) if len(distinct) else [], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "keys"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both texts, those whose shingle sets are similar enough."""
+    for batch in batches:
+        keep = []
+        for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = (np.unique(shingle_hashes(t.as_py(), COPY_SHINGLE)) for t in (ta, tb))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keeper): of all documents in a group of near copies, and the one that stays; documents alone are left out.
+
+    Candidates come from links of fingerprints at two bits or fewer and from the lanes; in a lane, every document is
+    compared with the smallest id under its key, so the work is linear in a group of any size. Candidates are verified
+    on the exact similarity of their whole texts. A null id stands as a negative number made from the text.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = docs.select(_id_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketches = saved(own.mapInArrow(_sketches, SKETCHES))
+    alike = saved(sketches.groupBy("digest").agg(F.min(F.struct("id", "fp")).alias("x"), F.count("*").alias("n")).select("digest", F.col("x.id").alias("rep"), F.col("x.fp").alias("fp"), "n"))
+    reps = alike.select(F.col("rep").alias("id"), "fp")
+    keyed = saved(sketches.join(reps.select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key")))
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
+    by_lane = keyed.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    by_fp = saved(reps.groupBy("fp").agg(F.min("id").alias("id")))
+    same_fp = reps.join(by_fp.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    close = links(by_fp.select("fp"))
+    ids = lambda name: by_fp.select(F.col("fp").alias(name), F.col("id").alias(f"{name}_id"))
+    close = close.join(ids("a"), "a").join(ids("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    pairs = by_lane.union(same_fp).union(close).distinct()
+    near = pairs.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    near = saved(near.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS).select("a", "b"))
+    # texts are dealt once; only those in a pair go further
+    nodes = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    texts = saved(own.join(nodes, "id").dropDuplicates(["id"]))
+    both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    edges = saved(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"))
+    found = connected_components(edges, "a", "b")
+    grouped = alike.join(found.withColumnsRenamed({"node": "rep", "component": "keeper"}), "rep", "left").where("keeper IS NOT NULL OR n > 1")
+    return sketches.select("id", "digest").join(grouped.select("digest", F.coalesce("keeper", "rep").alias("keeper")), "digest").select("id", "keeper")
+
+
+def _id_of(id_col: str, text_col: str) -> Column:
+    made = -F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 1) - 1
+    return F.coalesce(F.col(id_col).cast("long"), made)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one of each group of near copies stays: the one with the smallest id. Of rows that
+    share an id, one stays too. Null and blank texts are copies of each other."""
+    own = docs.withColumn("_id", _id_of(id_col, text_col))
+    gone = saved(copy_groups(docs, id_col, text_col).where("id <> keeper").select(F.col("id").alias("_id")).distinct())
+    rest = own.join(gone, "_id", "left_anti")
+    again = saved(own.groupBy("_id").count().where("count > 1").select("_id"))
+    if again.isEmpty():
+        return rest.drop("_id")
+    once = rest.join(again, "_id", "left_semi").dropDuplicates(["_id"])
+    return rest.join(again, "_id", "left_anti").unionByName(once).drop("_id")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(fingerprints(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
