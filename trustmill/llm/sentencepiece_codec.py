@@ -30,7 +30,9 @@ from trustmill.llm.common import small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Chunks, and pairs of pieces, remembered on a worker; either memory starts anew beyond that.
-CACHE, PAIRS = 300_000, 2_000_000
+CACHE, PAIRS = 300_000, 1_000_000
+#: Slots of the vectorised front of the pair memory, and of the marks of leading hash bits: powers of two.
+SLOT_BITS, LEAD_BITS = 20, 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,14 +63,25 @@ class Codec:
         keys = np.array([int(self.hashes(self.codes([p]))[0]) for p in texts], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array([self.id[texts[i]] for i in order], np.int64)
-        # leading bits of the keys: most substrings are no piece, and end here
-        self.lead = np.zeros(1 << 20, bool)
-        self.lead[keys >> np.uint64(44)] = True
-        # stability of pairs: sorted, and those met since the last sorting
-        self.pairs, self.stable = np.array([-1]), np.array([False])
-        self.recent: dict[int, bool] = {}
+        # leading bits of the hashes of all pieces, and of all beginnings of pieces: other substrings end there
+        self.whole, self.begun = np.zeros(1 << LEAD_BITS, bool), np.zeros(1 << LEAD_BITS, bool)
+        self.whole[self._lead(keys)] = True
+        for size in range(1, self.longest):
+            if heads := list({t[:size] for t in texts if len(t) > size}):
+                self.begun[self._lead(self.hashes(self.codes(heads)))] = True
+        self.single = np.full(0x110000, -2, np.int64)
+        for t in texts:
+            if len(t) == 1:
+                self.single[ord(t)] = self.id[t]
+        # stability of pairs: all that were met, and in front the latest of each slot
+        self.slot_pair, self.slot_good = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
+        self.met: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _lead(hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - LEAD_BITS)
+
     @staticmethod
     def codes(words: list[str]) -> np.ndarray:
         """Code points of words of one length, a row each."""
@@ -112,27 +125,24 @@ class Codec:
         if not plain.any():
             return out
         pair = left[plain] * self.n + right[plain]
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        good = self.stable[at]
-        new = np.flatnonzero(self.pairs[at] != pair)
+        slot = (pair.astype(np.uint64) * _BASE) >> np.uint64(64 - SLOT_BITS)
+        good = self.slot_good[slot]
+        new = np.flatnonzero(self.slot_pair[slot] != pair)
         if len(new):
             fresh, place = np.unique(pair[new], return_inverse=True)
+            if len(self.met) > PAIRS:
+                self.met.clear()
             for p in fresh.tolist():
-                if p not in self.recent:
-                    self.recent[p] = self.survives(self.piece[p // self.n], self.piece[p % self.n])
-            good[new] = np.array([self.recent[p] for p in fresh.tolist()])[place]
-            if len(self.recent) > 2000 + len(self.pairs) // 4:
-                self._sort_pairs()
+                if p not in self.met:
+                    self.met[p] = self.survives(self.piece[p // self.n], self.piece[p % self.n])
+            found = np.array([self.met[p] for p in fresh.tolist()])
+            good[new] = found[place]
+            # slots may clash: one pair wins, its verdict with it
+            for p, q, g in zip(slot[new].tolist(), pair[new].tolist(), good[new].tolist(), strict=True):
+                self.slot_pair[p], self.slot_good[p] = q, g
         out[plain] = good
         return out
 
-    def _sort_pairs(self) -> None:
-        pairs, stable = np.array([*self.recent]), np.array([*self.recent.values()])
-        if len(self.pairs) + len(pairs) <= PAIRS:
-            pairs, stable = np.concatenate([self.pairs, pairs]), np.concatenate([self.stable, stable])
-        order = np.argsort(pairs)
-        self.pairs, self.stable, self.recent = pairs[order], stable[order], {}
-
     def search(self, words: list[str]) -> list[bytes]:
         """Ids (32 bits each) of words of one length."""
         codes = self.codes(words)
@@ -141,21 +151,32 @@ class Codec:
         last = np.full((length + 1, n), -2, np.int64)
         last[0] = -1
         back = np.zeros((length + 1, n), np.int64)
-        # hashes of all substrings that begin at a place, grown by one character at a time
-        grown = np.zeros((length, n), np.uint64)
+        # for each beginning: the words whose substring from there still begins a piece, and its hashes
+        rows: list[np.ndarray] = []
+        grown: list[np.ndarray] = []
         for end in range(1, length + 1):
             c = columns[end - 1]
+            rows.append(np.arange(n))
+            grown.append(np.zeros(n, np.uint64))
             for size in range(1, min(end, self.longest) + 1):
                 begin = end - size
-                h = (grown[begin] ^ c) * _BASE
+                live = rows[begin]
+                if not len(live):
+                    continue
+                h = (grown[begin] ^ c[live]) * _BASE
                 h ^= h >> np.uint64(29)
-                grown[begin] = h
-                row = np.arange(n) if size == 1 else np.flatnonzero(self.lead[h >> np.uint64(44)])
-                probe = h[row]
-                at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == probe, self.ids[at], -2)
+                lead = self._lead(h)
+                more = self.begun[lead]
+                rows[begin], grown[begin] = live[more], h[more]
                 if size == 1:
-                    piece = np.where(piece == -2, self.n + c.astype(np.int64) - 1, piece)
+                    row, point = live, c.astype(np.int64) - 1
+                    piece = self.single[point]
+                    piece = np.where(piece == -2, self.n + point, piece)
+                else:
+                    hit = np.flatnonzero(self.whole[lead])
+                    row, probe = live[hit], h[hit]
+                    at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+                    piece = np.where(self.keys[at] == probe, self.ids[at], -2)
                 fits = (piece >= 0) & (last[begin, row] != -2)
                 row, piece = row[fits], piece[fits]
                 if not len(row):
@@ -190,8 +211,8 @@ class Codec:
         """Ids of each text; a null or empty text has none."""
         cut = [re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         out = []
-        for a in range(0, len(cut), 256):
-            part = cut[a : a + 256]
+        for a in range(0, len(cut), 1024):
+            part = cut[a : a + 1024]
             self.learn(set(chain.from_iterable(part)))
             out += [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in part]
         return out
@@ -245,6 +266,25 @@ def decoded(docs: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col:
     return docs.withColumn(text_col, decode(F.col(ids_col)))
 
 
+def coded(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """docs plus ids, and round_trip: whether they decode to the text (to the empty text where it is null), in one pass."""
+    spark = docs.sparkSession
+    small_batches(spark, 2)
+    held = spark.sparkContext.broadcast(model_pieces(model))
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = worker_codec(held.value)
+        for series in batches:
+            texts = [t if isinstance(t, str) else "" for t in series]
+            ids = codec.encode(texts)
+            yield pd.DataFrame({"ids": ids, "round_trip": [codec.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]})
+
+    # not to be run again for each column that is read from it
+    out = docs.withColumn("_coded", code.asNondeterministic()(F.col(text_col)))
+    return out.withColumns({"ids": F.col("_coded.ids"), "round_trip": F.col("_coded.round_trip")}).drop("_coded")
+
+
 DIGEST = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
