@@ -188,7 +188,8 @@ def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame(classify(own, tables, [t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
 
-    return docs.drop("lang_pred", "score").withColumn("_judged", judge(F.col(text_col))).select("*", "_judged.lang_pred", "_judged.score").drop("_judged")
+    # not to be run again for a filter on its result
+    return docs.drop("lang_pred", "score").withColumn("_judged", judge.asNondeterministic()(F.col(text_col))).select("*", "_judged.lang_pred", "_judged.score").drop("_judged")
 
 
 def held_out(id_col: str = "doc_id"):

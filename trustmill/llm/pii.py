@@ -48,6 +48,7 @@ BASE = [
 #: Tokens of six characters or more that hold a digit.
 TOKEN = Kind("token", r"(?<![A-Za-z0-9@#._:/+-])(?=[A-Za-z@#._:/+-]*+[0-9])[A-Za-z0-9@#._:/+-]{6,}+")
 CONTEXT = "context"
+SPANS = "array<struct<rank:int,kind:string,start:int,end:int,value:string>>"
 ROUNDS, MIN_INSTANCES, MIN_SEEDS, MIN_SCORE, MIN_DIGITS = 3, 20, 10, 0.8, 4
 
 
@@ -101,25 +102,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text has none; null ids and repeated rows are kept, and repeated rows have the same spans."""
     spans = saved(marked(docs, id_col, text_col))
     out = _joined(spans, discovered(spans))
-    return out.select("doc_id", "base", F.concat("base", F.coalesce("context", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int,value:string>>"))).alias("all"))
+    return out.select("doc_id", "base", F.concat("base", F.coalesce("context", F.array().cast(SPANS))).alias("all"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of personal data in the text replaced by its kind, such as <EMAIL>. Null texts stay null."""
-    found = personal_spans(docs, id_col, text_col)
-    own = docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    right = found.select(F.col("doc_id").alias("_id2"), F.col("text_key").alias("_key2"), "_all")
-    out = own.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left")
-    text = F.when(F.col("_all").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_all")))
-    return out.withColumn(text_col, text).drop("_id", "_key", "_id2", "_key2", "_all")
-
+    """docs with every span of personal data in the text replaced by its kind, such as <EMAIL>. Null texts stay null.
 
-def personal_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, _all) of the texts that have spans, one row each, spans by start."""
-    spans = saved(marked(docs, id_col, text_col))
-    none = F.array().cast("array<struct<rank:int,kind:string,start:int,end:int,value:string>>")
-    out = _joined(spans, discovered(spans)).withColumn("_all", by_start(F.concat("base", F.coalesce("context", none))))
-    return saved(out.where(F.size("_all") > 0).select("doc_id", "text_key", "_all").dropDuplicates(["doc_id", "text_key"]))
+    The rules' spans are found where the text is; only spans that contexts add come from elsewhere, by a join.
+    """
+    context = saved(discovered(saved(marked(docs, id_col, text_col))))
+    own = docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    if not context.isEmpty():
+        right = context.select(F.col("doc_id").alias("_id2"), F.col("text_key").alias("_key2"), F.col("context").alias("_context"))
+        own = own.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left").drop("_id2", "_key2")
+    else:
+        own = own.withColumn("_context", F.lit(None).cast(SPANS))
+    own = with_spans(own.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), BASE, "_text")
+    own = own.withColumn("_all", by_start(F.concat(merged(BASE), F.coalesce("_context", F.array().cast(SPANS)))))
+    text = F.when(F.size("_all") > 0, masked(F.col("_text"), F.col("_all"))).otherwise(F.col(text_col))
+    return own.withColumn("_new", text).withColumn(text_col, F.col("_new")).drop("_id", "_key", "_context", "_text", "_all", "_new", *[f"_spans_{k.name}" for k in BASE])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = saved(near.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS).select("a", "b"))
     # texts are dealt once; only those in a pair go further
     nodes = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = saved(own.join(nodes, "id").dropDuplicates(["id"]))
+    texts = saved(own.join(nodes.hint("merge"), "id").dropDuplicates(["id"]))
     both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     edges = saved(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"))
     found = connected_components(edges, "a", "b")
@@ -193,7 +193,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id, one stays too. Null and blank texts are copies of each other."""
     own = docs.withColumn("_id", _id_of(id_col, text_col))
     gone = saved(copy_groups(docs, id_col, text_col).where("id <> keeper").select(F.col("id").alias("_id")).distinct())
-    rest = own.join(gone, "_id", "left_anti")
+    rest = own.join(gone.hint("merge"), "_id", "left_anti")  # the list grows with the input: one plan for all sizes
     again = saved(own.groupBy("_id").count().where("count > 1").select("_id"))
     if again.isEmpty():
         return rest.drop("_id")
