@@ -123,7 +123,7 @@ def checked_decisions(reviews: DataFrame, allowed: list[str], column: str = "dec
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def count_check(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:

@@ -1,11 +1,494 @@
-"""Registered queries over the test tables, with the SQL that gives the same rows."""
+"""Registered queries over the test tables, with the SQL that gives the same rows. Doubles are rounded to 6 digits."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trustmill.functions import hashing as H
+from trustmill.functions import scores as S
+from trustmill.operators import audit, calibration, groups, learn, metrics, prefix, provenance, resample, shift, splits, views
+from trustmill.streaming import events as streaming
 
 FLAGSHIP = "risk_summary"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PARTS = {"train": 0.5, "train_aux": 0.1, "calibration": 0.15, "reserve": 0.1, "test": 0.15}
+SCALE = 8.0
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c) -> Column:
+    return F.round(c, 6)
+
+
+# --- ranking metrics -------------------------------------------------------------------------------------------------
+
+METHODS = {"discount": "l_discount", "price": "l_extendedprice"}
+
+
+def scored_lines(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem").withColumn("error", (F.col("l_returnflag") == "R").cast("int"))
+    return metrics.method_scores(line, ["l_linestatus", "error"], METHODS)
+
+
+LINES = """
+s AS (SELECT l_linestatus, (l_returnflag = 'R')::INT AS error, 'discount' AS method, l_discount AS score FROM lineitem
+      UNION ALL SELECT l_linestatus, (l_returnflag = 'R')::INT, 'price', l_extendedprice FROM lineitem),
+t AS (SELECT l_linestatus, method, score, count(*) AS sz, sum(error) AS g FROM s GROUP BY ALL),
+c AS (SELECT *, sum(sz) OVER w - sz AS n0, sum(g) OVER w - g AS b, sum(sz) OVER p AS n, sum(g) OVER p AS e FROM t
+      WINDOW w AS (PARTITION BY l_linestatus, method ORDER BY score), p AS (PARTITION BY l_linestatus, method)),
+"""
+RANKED = """
+m AS (SELECT l_linestatus, method, max(n)::BIGINT AS n, max(e)::BIGINT AS errors,
+  sum(list_sum(list_transform(range(1, sz + 1), lambda j: (b + j * g::DOUBLE / sz) / (n0 + j)))) / max(n) AS aurc,
+  sum(g * ((n0 - b) + (sz - g) / 2.0::DOUBLE)) / nullif(max(e) * (max(n) - max(e)), 0) AS auroc,
+  sum(g * ((e - b)::DOUBLE / (n - n0))) / nullif(max(e), 0) AS auprc FROM c GROUP BY ALL)
+"""
+
+
+@query(f"WITH {LINES} {RANKED} SELECT l_linestatus, method, n, errors, round(aurc, 6) AS aurc, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM m")
+def risk_summary(spark, d):
+    m = metrics.ranking_metrics(scored_lines(spark, d), ["l_linestatus", "method"])
+    return m.select("l_linestatus", "method", "n", "errors", r6("aurc").alias("aurc"), r6("auroc").alias("auroc"), r6("auprc").alias("auprc"))
+
+
+@query(f"""WITH {LINES} {RANKED} SELECT m.l_linestatus, m.method, round(m.aurc - r.aurc, 6) AS delta_aurc FROM m JOIN m r
+       ON r.l_linestatus = m.l_linestatus AND r.method = 'discount'""")
+def delta_aurc(spark, d):
+    m = metrics.ranking_metrics(scored_lines(spark, d), ["l_linestatus", "method"])
+    return metrics.delta_to(m, ["l_linestatus"], "aurc", "discount").select("l_linestatus", "method", r6("delta_aurc").alias("delta_aurc"))
+
+
+def judged_documents(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return docs.select("doc_id", "source", "lang", F.col("toxic").alias("error"), F.col("n_chars").cast("double").alias("score"))
+
+
+DOCS = "s AS (SELECT doc_id, source, lang, toxic AS error, n_chars::DOUBLE AS score FROM documents JOIN labels USING (doc_id)),"
+
+
+@query(f"""WITH {DOCS} t AS (SELECT score, count(*) AS sz, sum(error) AS g FROM s GROUP BY 1),
+c AS (SELECT *, sum(sz) OVER (ORDER BY score) - sz AS n0, sum(g) OVER (ORDER BY score) - g AS b, sum(sz) OVER () AS n FROM t),
+x AS (SELECT *, unnest(range(1, sz + 1)) AS j FROM c)
+SELECT (n0 + j)::BIGINT AS k, round((n0 + j) / n, 6) AS coverage, round((b + j * g::DOUBLE / sz) / (n0 + j), 6) AS risk FROM x""")
+def risk_coverage(spark, d):
+    return metrics.risk_coverage_curve(judged_documents(spark, d), []).select("k", r6("coverage").alias("coverage"), r6("risk").alias("risk"))
+
+
+@query(f"""WITH {LINES} k AS (SELECT c.*, target, ceil(target * n) AS k FROM c, (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) v(target)),
+tau AS (SELECT l_linestatus, method, target, score AS tau FROM k WHERE n0 < k AND k <= n0 + sz)
+SELECT l_linestatus, method, target, tau, round(count(*) FILTER (score <= tau) / count(*), 6) AS coverage, count(*) FILTER (score <= tau) AS answered,
+  coalesce(sum(error) FILTER (score <= tau), 0)::BIGINT AS wrong_answered, round(avg(error) FILTER (score <= tau), 6) AS selective_risk
+FROM s JOIN tau USING (l_linestatus, method) GROUP BY ALL""")
+def selective_risk(spark, d):
+    lines = scored_lines(spark, d)
+    tau = metrics.threshold_for_coverage(lines, ["l_linestatus", "method"], [0.8, 0.9])
+    out = metrics.selective_risk(lines, tau, ["l_linestatus", "method"])
+    return out.withColumns({"coverage": r6("coverage"), "selective_risk": r6("selective_risk")})
+
+
+# --- scores, classification, calibration -----------------------------------------------------------------------------
+
+
+def logits(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * SCALE)
+    rows = rows.select("vec_id", "label", z.alias("logits")).withColumn("probs", S.softmax("logits"))
+    return rows.withColumns({"pred": S.predicted("logits"), "seed": (F.col("vec_id") % 3).cast("int")})
+
+
+LOGITS = f"""
+z AS (SELECT vec_id, label, (vec_id % 3)::INT AS seed, list_transform(embedding[1:10], lambda x: x::DOUBLE * {SCALE}::DOUBLE) AS z FROM embeddings),
+y AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS ex FROM z),
+p AS (SELECT vec_id, label, seed, z, list_transform(ex, lambda x: x / list_sum(ex)) AS p, (list_position(z, list_max(z)) - 1)::INT AS pred FROM y)
+"""
+
+
+@query(f"""WITH {LOGITS} SELECT vec_id, pred, (pred <> label)::INT AS error, round(1 - list_max(p), 6) AS msp,
+round(-list_sum(list_transform(p, lambda x: x * ln(x + 1e-12::DOUBLE))), 6) AS entropy, round(1 - (list_reverse_sort(p)[1] - list_reverse_sort(p)[2]), 6) AS margin FROM p""")
+def uncertainty_scores(spark, d):
+    p = logits(spark, d)
+    return p.select("vec_id", "pred", (F.col("pred") != F.col("label")).cast("int").alias("error"), r6(S.msp("probs")).alias("msp"), r6(S.entropy("probs")).alias("entropy"), r6(S.margin("probs")).alias("margin"))
+
+
+@query(f"""WITH {LOGITS} SELECT seed, t.c::INT AS true_class, q.c::INT AS predicted_class, count(vec_id) AS n
+FROM (SELECT DISTINCT seed FROM p) s CROSS JOIN range(10) t(c) CROSS JOIN range(10) q(c) LEFT JOIN p USING (seed) WHERE TRUE GROUP BY ALL""".replace("LEFT JOIN p USING (seed) WHERE TRUE", "LEFT JOIN p ON p.seed = s.seed AND p.label = t.c AND p.pred = q.c").replace("SELECT seed, t.c", "SELECT s.seed, t.c"))
+def confusion_matrix(spark, d):
+    return metrics.confusion_matrix(logits(spark, d), ["seed"], 10)
+
+
+@query(f"""WITH {LOGITS} , k AS (SELECT seed, c FROM (SELECT DISTINCT seed FROM p) CROSS JOIN range(10) t(c)),
+f AS (SELECT k.seed, c, count(*) FILTER (label = c AND pred = c) AS tp, count(*) FILTER (label = c) AS support, count(*) FILTER (pred = c) AS called FROM k JOIN p USING (seed) GROUP BY ALL)
+SELECT seed, sum(support)::BIGINT AS n, (sum(support) - sum(tp))::BIGINT AS wrong, round(sum(tp) / sum(support), 6) AS accuracy,
+  round(avg(coalesce(2 * tp / nullif(support + called, 0), 0)), 6) AS macro_f1, round(max(tp / nullif(support, 0)) FILTER (c = 3), 6) AS recall_3 FROM f GROUP BY 1""")
+def classification(spark, d):
+    out = metrics.classification_summary(logits(spark, d), ["seed"], 10)
+    return out.select("seed", "n", "wrong", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"), r6(F.get("recall", F.lit(3))).alias("recall_3"))
+
+
+@query(f"""WITH {LOGITS}, r AS (SELECT seed, -ln(p[label + 1]) AS nll, list_sum(list_transform(p, lambda x, i: pow(x - (i = label + 1)::INT, 2))) AS brier, list_max(p) AS conf, (pred = label)::INT AS ok FROM p),
+b AS (SELECT seed, ceil(conf * 15) AS bin, count(*) AS m, avg(ok) AS acc, avg(conf) AS conf FROM r GROUP BY ALL)
+SELECT seed, round(avg(nll), 6) AS nll, round(max(e.ece), 6) AS ece, round(avg(brier), 6) AS brier
+FROM r JOIN (SELECT seed, sum(m * abs(acc - conf)) / sum(m) AS ece FROM b GROUP BY 1) e USING (seed) GROUP BY 1""")
+def calibration_summary(spark, d):
+    out = metrics.calibration_summary(logits(spark, d), ["seed"])
+    return out.select("seed", r6("nll").alias("nll"), r6("ece").alias("ece"), r6("brier").alias("brier"))
+
+
+@query()
+def temperature_scaling(spark, d):
+    out, _ = calibration.calibrate(logits(spark, d), ["seed"], [0.8, 0.9])
+    return out
+
+
+@query()
+def calibration_thresholds(spark, d):
+    return calibration.calibrate(logits(spark, d), ["seed"], [0.8, 0.9])[1]
+
+
+@query()
+def temperature_bootstrap(spark, d):
+    return calibration.temperature_intervals(logits(spark, d), "seed", resamples=20)
+
+
+# --- resampling ------------------------------------------------------------------------------------------------------
+
+RESAMPLES = 50
+
+
+@query(f"""WITH {DOCS} cl AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT source FROM s)),
+dr AS (SELECT r, k, ('0x' || substr(sha256('0:' || r || ':' || k), 1, 8))::BIGINT % (SELECT max(g) FROM cl) AS i FROM range({RESAMPLES}) a(r), range((SELECT max(g) FROM cl)) b(k)),
+w AS (SELECT r, source, count(*) AS w FROM dr JOIN cl USING (i) GROUP BY ALL),
+t AS (SELECT r, score, sum(w) AS sz, sum(w * error) AS g FROM s JOIN w USING (source) GROUP BY ALL),
+c AS (SELECT *, sum(sz) OVER x - sz AS n0, sum(g) OVER x - g AS b FROM t WINDOW x AS (PARTITION BY r ORDER BY score)),
+a AS (SELECT r, sum(list_sum(list_transform(range(1, sz::BIGINT + 1), lambda j: (b + j * g::DOUBLE / sz) / (n0 + j)))) / sum(sz) AS aurc FROM c GROUP BY 1)
+SELECT round(quantile_cont(aurc, 0.025::DOUBLE), 6) AS aurc_low, round(quantile_cont(aurc, 0.975::DOUBLE), 6) AS aurc_high FROM a""")
+def bootstrap_interval(spark, d):
+    docs = judged_documents(spark, d)
+    reps = resample.replicates(docs, resample.draws(docs, "source", RESAMPLES), [], "source")
+    out = resample.intervals(reps.withColumn("_all", F.lit(1)), ["_all"], ["aurc"])
+    return out.select(r6("aurc_low").alias("aurc_low"), r6("aurc_high").alias("aurc_high"))
+
+
+@query()
+def paired_bootstrap(spark, d):
+    docs = judged_documents(spark, d)
+    both = metrics.method_scores(docs.withColumn("other", -F.col("score")), ["source", "lang", "error"], {"length": "score", "shortness": "other"})
+    reps = resample.replicates(both, resample.numpy_draws(docs, "source", 20, 2026), ["lang", "method"], "source")
+    reps = resample.paired_difference(reps, ["lang"], "length")
+    return resample.intervals(resample.joint_mean(reps, ["method"], ["aurc", "delta_aurc"]), ["method"], ["aurc", "delta_aurc"])
+
+
+@query(f"WITH {DOCS} x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM s) SELECT doc_id, source, lang, error, score FROM x WHERE k = 1")
+def one_per_cluster(spark, d):
+    return resample.one_per_cluster(judged_documents(spark, d), "source", ["doc_id"])
+
+
+# --- audit and duplicates --------------------------------------------------------------------------------------------
+
+
+def manifest(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    domain = F.when(F.col("source").isin("src0", "src1", "src2"), "target").otherwise("source")
+    return docs.select(F.col("doc_id").alias("path"), domain.alias("dataset"), F.col("lang").alias("label"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+MANIFEST = """m AS (SELECT doc_id AS path, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'target' ELSE 'source' END AS dataset, lang AS label, sha256(text) AS sha256,
+  octet_length(encode(text))::BIGINT AS size_bytes FROM documents)"""
+
+
+@query(f"""WITH {MANIFEST} SELECT sha256, count(*) AS count, CASE WHEN count(DISTINCT dataset) > 1 THEN 'cross_dataset' ELSE 'within_' || min(dataset) END AS scope,
+array_to_string(list_sort(list(DISTINCT label)), ';') AS labels, string_agg(path::VARCHAR, ';' ORDER BY dataset, path) AS paths FROM m GROUP BY 1 HAVING count(*) >= 2""")
+def exact_duplicates(spark, d):
+    return audit.exact_duplicates(manifest(spark, d))
+
+
+def sign_hash(spark, d) -> DataFrame:
+    bits = lambda at: F.aggregate(F.transform(F.slice("embedding", at, 32), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, d, "embeddings").select("vec_id", "label", bits(1).alias("hi"), bits(33).alias("lo"))
+
+
+SIGNS = """h AS (SELECT vec_id, label, list_sum(list_transform(embedding[1:32], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS hi,
+  list_sum(list_transform(embedding[33:64], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS lo FROM embeddings),
+n AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance, a.label = b.label AS same_label,
+  a.label AS label_a, b.label AS label_b FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 18)"""
+
+
+def labelled_pairs(spark, d) -> DataFrame:
+    items = sign_hash(spark, d)
+    pairs = audit.near_pairs(items, "vec_id", "hi", "lo", 18)
+    side = lambda s: items.select(F.col("vec_id").alias(f"vec_id_{s}"), F.col("label").alias(f"label_{s}"))
+    return pairs.join(side("a"), "vec_id_a").join(side("b"), "vec_id_b").withColumn("same_label", F.col("label_a") == F.col("label_b"))
+
+
+@query(f"WITH {SIGNS} SELECT vec_id_a, vec_id_b, distance, same_label FROM n")
+def near_duplicate_pairs(spark, d):
+    return labelled_pairs(spark, d).select("vec_id_a", "vec_id_b", "distance", "same_label")
+
+
+@query(f"""WITH {SIGNS}, w AS (SELECT n.*, (vec_id_a + vec_id_b) % 5 = 0 AS reviewed, CASE WHEN (label_a < 5) = (label_b < 5) THEN 'within' ELSE 'cross' END AS scope FROM n)
+SELECT k::INT AS distance, count(distance) AS pairs, count(*) FILTER (scope = 'within' AND distance IS NOT NULL) AS within, count(*) FILTER (scope = 'cross') AS "cross",
+count(*) FILTER (NOT same_label) AS different_label, count(*) FILTER (NOT reviewed) AS not_reviewed FROM range(19) r(k) LEFT JOIN w ON distance = k GROUP BY 1""")
+def distance_sweep(spark, d):
+    pairs = labelled_pairs(spark, d)
+    half = lambda c: F.when(F.col(c) < 5, "source").otherwise("target")
+    pairs = pairs.withColumn("scope", audit.pair_scope(half("label_a"), half("label_b")))
+    reviews = pairs.where((F.col("vec_id_a") + F.col("vec_id_b")) % 5 == 0).select(F.col("vec_id_b").alias("vec_id_a"), F.col("vec_id_a").alias("vec_id_b"))
+    return audit.distance_sweep(audit.with_reviewed(pairs, reviews, "vec_id_a", "vec_id_b"), 18)
+
+
+@query(f"WITH {SIGNS} SELECT row_number() OVER (ORDER BY distance, vec_id_a, vec_id_b) AS pair_id, vec_id_a, vec_id_b, distance, floor((row_number() OVER (ORDER BY distance, vec_id_a, vec_id_b) - 1) / 6)::BIGINT AS sheet, '' AS decision FROM n")
+def review_sheet(spark, d):
+    pairs = labelled_pairs(spark, d).select("vec_id_a", "vec_id_b", "distance")
+    return audit.review_sheet(pairs, ["distance", "vec_id_a", "vec_id_b"])
+
+
+@query("SELECT quality, count(*) FILTER (toxic = 0) AS \"0\", count(*) FILTER (toxic = 1) AS \"1\" FROM labels GROUP BY 1")
+def decision_crosstab(spark, d):
+    return audit.crosstab(table(spark, d, "labels"), "quality", "toxic", [0, 1])
+
+
+@query("""SELECT k AS lang, count(doc_id) AS found, e AS expected, CASE WHEN count(doc_id) = e THEN 'OK' ELSE 'CHECK' END AS state
+FROM (VALUES ('en', 620), ('fr', 145), ('it', 0), ('de', 1)) v(k, e) LEFT JOIN documents ON lang = k GROUP BY k, e""")
+def count_check(spark, d):
+    expected = spark.sql("SELECT * FROM VALUES ('en', 620), ('fr', 145), ('it', 0), ('de', 1) AS t(lang, expected)")
+    return audit.count_check(table(spark, d, "documents"), expected, "lang")
+
+
+@query("SELECT k AS lang, count(doc_id) AS n, round(count(doc_id) / (SELECT count(*) FROM documents), 6) AS share FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) v(k) LEFT JOIN documents ON lang = k GROUP BY 1")
+def language_shares(spark, d):
+    return audit.value_shares(table(spark, d, "documents"), "lang", ["en", "fr", "de", "es", "it"]).withColumn("share", r6("share"))
+
+
+@query("SELECT source, lang, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest, count(DISTINCT text) AS texts FROM documents GROUP BY ALL")
+def source_ranges(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.countDistinct("text").alias("texts"))
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, arg_min(lang, (-n, lang)) AS lang, max(n) AS n FROM c GROUP BY 1")
+def modal_language(spark, d):
+    return audit.modal_value(table(spark, d, "documents"), ["source"], "lang")
+
+
+@query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c")
+def class_weights(spark, d):
+    return audit.class_weights(table(spark, d, "documents"), "lang").withColumn("weight", r6("weight"))
+
+
+@query("SELECT count(*) FILTER (toxic = 1) AS positives, count(*) FILTER (toxic = 0) AS negatives, round(least(5, count(*) FILTER (toxic = 0) / nullif(count(*) FILTER (toxic = 1), 0)), 6) AS weight FROM labels")
+def positive_weight(spark, d):
+    return audit.positive_weight(table(spark, d, "labels"), "toxic").withColumn("weight", r6("weight"))
+
+
+@query("""SELECT doc_id AS path, 'label count is not one' AS problem FROM labels WHERE quality + toxic <> 1 UNION ALL
+SELECT doc_id, 'listed but missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') UNION ALL
+SELECT doc_id, 'present but unlisted' FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+def label_problems(spark, d):
+    labels = table(spark, d, "labels").withColumnRenamed("doc_id", "path")
+    files = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("path"))
+    return audit.label_problems(labels, files, ["quality", "toxic"])
+
+
+# --- groups and splits -----------------------------------------------------------------------------------------------
+
+GROUPS = f"""WITH {MANIFEST}, x AS (SELECT path, min(path) OVER (PARTITION BY sha256) AS root, max((dataset <> 'source')::INT) OVER (PARTITION BY sha256) AS outside, dataset FROM m),
+pool AS (SELECT path, root FROM x WHERE dataset = 'source' AND outside = 0),
+g AS (SELECT path, dense_rank() OVER (ORDER BY root) AS i, count(*) OVER (PARTITION BY root) AS size FROM pool)"""
+
+
+def source_groups(spark, d) -> DataFrame:
+    m = manifest(spark, d)
+    none = m.limit(0).select(F.col("path").alias("path_a"), F.col("path").alias("path_b"), F.col("label").alias("decision"))
+    links, gone = groups.collect_links(m, none)
+    pool = m.where("dataset = 'source'").join(gone, "path", "left_anti")
+    return groups.build_groups(pool, links)
+
+
+@query(f"{GROUPS} SELECT path, 'g' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS group_id, size FROM g")
+def duplicate_groups(spark, d):
+    return source_groups(spark, d)
+
+
+@query(f"WITH {MANIFEST} SELECT path, 'exact copy' AS reason FROM m WHERE dataset = 'source' AND sha256 IN (SELECT sha256 FROM m WHERE dataset = 'target')")
+def source_exclusions(spark, d):
+    m = manifest(spark, d)
+    none = m.limit(0).select(F.col("path").alias("path_a"), F.col("path").alias("path_b"), F.col("label").alias("decision"))
+    return groups.collect_links(m, none)[1]
+
+
+@query()
+def near_duplicate_clusters(spark, d):
+    items = sign_hash(spark, d)
+    links = audit.near_pairs(items, "vec_id", "hi", "lo", 18).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"))
+    return groups.build_groups(items, links, "vec_id", "c")
+
+
+QUOTAS = "(VALUES (0, 'train', 0.5::DOUBLE), (1, 'train_aux', 0.1::DOUBLE), (2, 'calibration', 0.15::DOUBLE), (3, 'reserve', 0.1::DOUBLE), (4, 'test', 0.15::DOUBLE)) v(i, subset, p)"
+QUOTA_SQL = f"""c AS (SELECT c_mktsegment AS label, count(*) AS size FROM customer GROUP BY 1), x AS (SELECT *, size * p AS exact FROM c, {QUOTAS}),
+q AS (SELECT *, floor(exact) + (row_number() OVER (PARTITION BY label ORDER BY -(exact - floor(exact)), i) <= size - sum(floor(exact)) OVER (PARTITION BY label))::INT AS quota FROM x)"""
+
+
+@query(f"WITH {QUOTA_SQL} SELECT label, subset, quota::BIGINT AS quota FROM q")
+def split_quotas(spark, d):
+    sizes = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("size"))
+    return splits.subset_quotas(sizes, ["label"], "size", PARTS)
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT round_even(sum(n) * 0.2::DOUBLE, 0) AS t FROM c),
+x AS (SELECT *, n * 0.2::DOUBLE AS e FROM c, t) SELECT label, n, (floor(e) + (row_number() OVER (ORDER BY -(e - floor(e)), label) <= t - sum(floor(e)) OVER ())::INT)::BIGINT AS target FROM x""")
+def largest_remainder(spark, d):
+    counts = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    return splits.largest_remainder(counts, "label", "n", 0.2)
+
+
+@query(f"""WITH {QUOTA_SQL}, f AS (SELECT label, subset, sum(quota) OVER (PARTITION BY label ORDER BY i) - quota AS a, sum(quota) OVER (PARTITION BY label ORDER BY i) AS b FROM q),
+o AS (SELECT c_custkey, c_mktsegment AS label, row_number() OVER (PARTITION BY c_mktsegment ORDER BY ('0x' || substr(sha256('42:' || c_custkey), 1, 8))::BIGINT, c_custkey) - 1 AS k FROM customer)
+SELECT c_custkey, o.label, 1 AS size, subset FROM o JOIN f ON o.label = f.label AND k >= a AND k < b""")
+def stratified_split(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"), F.lit(1).alias("size"))
+    return splits.assign_in_order(rows, "label", "size", "c_custkey", PARTS)
+
+
+@query()
+def greedy_group_split(spark, d):
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("label"), F.count("*").alias("size"))
+    return splits.assign_greedily(rows, "label", "size", "o_custkey", PARTS)
+
+
+@query()
+def secondary_split(spark, d):
+    return splits.secondary_split(table(spark, d, "orders").where("o_custkey < 400"), "o_orderpriority", "o_custkey")
+
+
+@query("SELECT 0::BIGINT AS repeated_paths, 0::BIGINT AS unknown_subsets, 0::BIGINT AS torn_groups")
+def split_checks(spark, d):
+    assigned = stratified_split(spark, d).select(F.col("c_custkey").alias("path"), F.col("c_custkey").alias("group_id"), "subset")
+    return splits.split_violations(assigned, list(PARTS))
+
+
+# --- views, shift ----------------------------------------------------------------------------------------------------
+
+VIEW_SQL = """k(view_type, replicate_index) AS (SELECT 'original', 0 UNION ALL SELECT v, r::INT FROM (VALUES ('brightness'), ('contrast'), ('blur'), ('noise')) a(v), range(3) b(r)),
+v AS (SELECT doc_id, view_type, replicate_index, doc_id || chr(0) || view_type || chr(0) || replicate_index AS s FROM documents, k)"""
+
+
+@query(f"""WITH {VIEW_SQL} SELECT doc_id, view_type, replicate_index, substr(sha256(s), 1, 20) AS view_id,
+CASE WHEN view_type <> 'original' THEN (('0x' || substr(sha256('42' || chr(0) || s), 1, 16))::UBIGINT % 9223372036854775807::UBIGINT)::VARCHAR END AS rng_seed,
+CASE WHEN view_type = 'blur' THEN round(0.3::DOUBLE + ('0x' || substr(sha256('42:' || doc_id || ':blur:' || replicate_index), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1.2::DOUBLE, 6) END AS blur_sigma FROM v""")
+def view_expansion(spark, d):
+    out = views.create_views(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return out.select("doc_id", "view_type", "replicate_index", "view_id", F.col("rng_seed").cast("string").alias("rng_seed"), r6("blur_sigma").alias("blur_sigma"))
+
+
+@query("SELECT 0::BIGINT AS wrong_sets, 0::BIGINT AS crossing_splits, 0::BIGINT AS repeated_ids")
+def view_checks(spark, d):
+    out = views.create_views(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return views.view_violations(out, "doc_id", 13, "lang")
+
+
+SHIFT = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+l AS (SELECT vec_id, label, unnest(e) AS x, unnest(range(64)) AS dim FROM e), st AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM l WHERE label < 5 GROUP BY 1),
+z AS (SELECT vec_id, label, dim, (x - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END AS z FROM l JOIN st USING (dim)),
+c AS (SELECT vec_id, label < 5 AS src, sqrt(sum(z * z) / 64) AS d FROM z GROUP BY ALL)"""
+
+
+def z_scored(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("domain", F.when(F.col("label") < 5, "source").otherwise("target"))
+    return shift.standardised(rows, shift.column_stats(rows.where("domain = 'source'"), "embedding"), "embedding")
+
+
+@query(f"WITH {SHIFT} SELECT vec_id, round(d, 6) AS centre_distance FROM c")
+def centre_distance(spark, d):
+    return z_scored(spark, d).select("vec_id", r6(shift.centre_distance("z")).alias("centre_distance"))
+
+
+@query(f"""WITH {SHIFT}, q AS (SELECT quantile_cont(d, 0.95::DOUBLE) FILTER (src) AS p FROM c),
+r AS (SELECT src, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS r FROM c)
+SELECT (SELECT round(quantile_cont(d, 0.5::DOUBLE) FILTER (src), 6) FROM c) AS source_p50, (SELECT round(quantile_cont(d, 0.5::DOUBLE) FILTER (NOT src), 6) FROM c) AS target_p50,
+(SELECT round(avg((d > p)::INT) FILTER (NOT src), 6) FROM c, q) AS beyond_p95,
+(SELECT round((sum(r) FILTER (NOT src) - count(*) FILTER (NOT src) * (count(*) FILTER (NOT src) + 1) / 2) / (count(*) FILTER (NOT src) * count(*) FILTER (src)), 6) FROM r) AS auroc,
+(SELECT round(avg((abs(m) > 1)::INT), 6) FROM (SELECT dim, avg(z) AS m FROM z WHERE label >= 5 GROUP BY 1)) AS shifted_share""")
+def feature_shift(spark, d):
+    z = z_scored(spark, d)
+    out = shift.shift_summary(z.withColumn("distance", shift.centre_distance("z")), "domain", "distance")
+    share = shift.shifted_share(z.where("domain = 'target'"))
+    return out.crossJoin(share).select(*[r6(c).alias(c) for c in ("source_p50", "target_p50", "beyond_p95", "auroc", "shifted_share")])
+
+
+@query("""WITH p AS (SELECT a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))) AS d
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.label < 5 WHERE a.label >= 5) SELECT vec_id, round(sqrt(min(d)), 5) AS nearest FROM p GROUP BY 1""")
+def nearest_source(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("z", F.transform("embedding", lambda x: x.cast("double")))
+    out = shift.nearest_distance(rows.where("label >= 5"), rows.where("label < 5"), "vec_id", exclude_self=True)
+    return out.select("vec_id", F.round("nearest", 5).alias("nearest"))
+
+
+@query()
+def principal_components(spark, d):
+    return shift.principal_components(table(spark, d, "embeddings"), ["vec_id", "label"], "embedding", F.col("label") < 5)[0]
+
+
+# --- provenance, learning, streaming ---------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS state FROM documents""")
+def digest_check(spark, d):
+    recorded = manifest(spark, d).select("path", "sha256")
+    now = recorded.where("path % 7 <> 0").withColumn("sha256", F.when(F.col("path") % 5 == 0, F.lit("0")).otherwise(F.col("sha256")))
+    return provenance.verify_digests(recorded, now)
+
+
+@query("SELECT l AS lang, t::INT AS toxic FROM (VALUES ('en'), ('fr'), ('it')) a(l), (VALUES (0), (1)) b(t) WHERE (l, t) NOT IN (SELECT lang, toxic FROM documents JOIN labels USING (doc_id))")
+def settings_complete(spark, d):
+    have = judged_documents(spark, d).select("lang", F.col("error").alias("toxic")).distinct()
+    return provenance.incomplete(have, {"lang": ["en", "fr", "it"], "toxic": [0, 1]})
+
+
+@query("SELECT n_nationkey, n_regionkey, 'observed only' AS side FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_regionkey, 'expected only' FROM nation WHERE n_regionkey = 0")
+def table_differences(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    return provenance.differences(n.where("n_regionkey <> 1"), n.where("n_regionkey <> 0"))
+
+
+@query()
+def failure_head(spark, d):
+    rows = logits(spark, d).withColumns({"failure": (F.col("pred") != F.col("label")).cast("int"), "x": F.concat("logits", "probs")})
+    return learn.head_scores(rows, learn.train_heads(rows, "seed", "x", "failure", epochs=5), "seed", "x").select("vec_id", "seed", "failure", "head_score")
+
+
+@query()
+def failure_logistic(spark, d):
+    rows = logits(spark, d).withColumn("failure", (F.col("pred") != F.col("label")).cast("int"))
+    model = learn.logistic_regression(rows, "logits", "failure")
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate([model.intercept, *model.coefficients])], "term int, weight double")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return streaming.windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
+def global_row_numbers(spark, d):
+    return prefix.numbered(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+@query("SELECT doc_id, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents")
+def hash_uniform(spark, d):
+    return table(spark, d, "documents").select("doc_id", H.uniform(F.lit(7), F.col("doc_id")).alias("u"))
