@@ -71,6 +71,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def trained(samples: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS) -> Network:
     """A network from (text, language) pairs: Adam on the cross-entropy of single windows."""
     langs = sorted({lang for _, lang in samples})
+    if not langs:
+        return Network([], {}, np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for text, lang in samples:

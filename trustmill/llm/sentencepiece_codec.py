@@ -30,7 +30,7 @@ from trustmill.llm.common import small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Chunks, and pairs of pieces, remembered on a worker; either memory starts anew beyond that.
-CACHE, PAIRS = 300_000, 1_000_000
+CACHE, PAIRS = 200_000, 400_000
 #: Slots of the vectorised front of the pair memory, and of the marks of leading hash bits: powers of two.
 SLOT_BITS, LEAD_BITS = 20, 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
