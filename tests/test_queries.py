@@ -1,0 +1,25 @@
+import pytest
+from conftest import rows_of
+
+from trustmill.plans import catalog
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_query(spark, duck, name):
+    got = catalog.QUERIES[name](spark, DIR).toPandas()
+    if name not in catalog.ORACLES:
+        assert len(got) > 0
+        return
+    want = duck.sql(catalog.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert rows_of(got, columns) == rows_of(want, columns)
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())

@@ -53,7 +53,7 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
 def write_settings(thresholds: DataFrame, path: str) -> None:
     """The inverse of read_settings(), as one JSON file."""
     tree = thresholds.groupBy("seed", "temperature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", F.struct("tau80", "tau90"))))).alias("thresholds"))
-    whole = tree.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("seed").cast("string"), F.struct("temperature", "thresholds"))))).alias("m"))
+    whole = tree.agg(F.map_from_entries(F.collect_list(F.struct(F.col("seed").cast("string"), F.struct("temperature", "thresholds")))).alias("m"))
     whole.select(F.to_json("m")).coalesce(1).write.text(path)
 
 
@@ -67,7 +67,7 @@ def load_arrays(spark: SparkSession, path: str, key: str = "row") -> DataFrame:
     with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as bundle:
         import pandas as pd
 
-        data = {k: list(bundle[k]) if bundle[k].ndim > 1 else bundle[k] for k in bundle.files if bundle[k].ndim}
+        data = {k: bundle[k].tolist() if bundle[k].ndim > 1 else bundle[k] for k in bundle.files if bundle[k].ndim}
     frame = pd.DataFrame(data)
     frame.insert(0, key, range(len(frame)))
     return spark.createDataFrame(frame)
