@@ -74,15 +74,22 @@ def assign_greedily(groups: DataFrame, label: str, size: str, key: str, parts: d
 
 def closest_subset(sizes: list[int], target: int) -> list[int]:
     """Positions of sizes whose sum is closest to target; of equals the one not above it, then the earliest found."""
-    reach: dict[int, tuple[int, int] | None] = {0: None}
+    # for each sum, the position that first made it; no sum beyond target and the largest size can be closest
+    most = max(target, 0) + max(sizes, default=0)
+    first = np.full(most + 1, -1, np.int64)
+    reached = np.zeros(most + 1, bool)
+    reached[0] = True
     for i, s in enumerate(sizes):
-        for total in sorted(reach, reverse=True):
-            reach.setdefault(total + s, (i, total))
-    total = min(reach, key=lambda t: (abs(t - target), t > target, t))
+        if 0 <= target and reached[target]:
+            break  # later positions can't change how it is made
+        fresh = np.flatnonzero(reached[: most + 1 - s]) + s
+        fresh = fresh[~reached[fresh]]
+        first[fresh], reached[fresh] = i, True
+    total = min(np.flatnonzero(reached).tolist(), key=lambda t: (abs(t - target), t > target, t))
     out = []
-    while (step := reach[total]) is not None:
-        out.append(step[0])
-        total = step[1]
+    while total:
+        out.append(int(first[total]))
+        total -= sizes[out[-1]]
     return sorted(out)
 
 

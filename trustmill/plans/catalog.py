@@ -373,7 +373,7 @@ def greedy_group_split(spark, d):
 
 @query()
 def secondary_split(spark, d):
-    return splits.secondary_split(table(spark, d, "orders").where("o_custkey < 400"), "o_orderpriority", "o_custkey")
+    return splits.secondary_split(table(spark, d, "orders"), "o_orderpriority", "o_custkey")
 
 
 @query("SELECT 0::BIGINT AS repeated_paths, 0::BIGINT AS unknown_subsets, 0::BIGINT AS torn_groups")
