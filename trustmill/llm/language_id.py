@@ -6,7 +6,8 @@ document's probabilities are the mean over its windows, weighted by their bytes.
 
 A filter of width 2 is a table over byte pairs, one of width 4 the sum of two such tables: a convolution is then one
 or two table reads per position, for all filters at once. Training sees a bounded sample of labelled rows
-(SAMPLE_PER_LANG per language, by a hash of the id); prediction never sees a label.
+(SAMPLE_PER_LANG per language, by a hash of the id), of each a few pieces drawn from anywhere in its text; prediction
+never sees a label.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from trustmill.llm.common import small_batches, table
 WINDOW = 256
 FILTERS = 24
 WIDTHS = (2, 4)
-#: The bound of the training sample: rows per language, windows per row, and languages (the most frequent ones).
-SAMPLE_PER_LANG, WINDOWS_PER_ROW, MAX_LANGS = 400, 2, 200
+#: The bound of the training sample: rows per language, pieces per row, and languages (the most frequent ones). The first
+#: piece of a row is as long as a window, the others have lengths from SHORTEST characters on.
+SAMPLE_PER_LANG, PIECES_PER_ROW, MAX_LANGS, SHORTEST = 400, 3, 200, 12
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
 
@@ -69,18 +71,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def trained(samples: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """A network from (text, language) pairs: Adam on the cross-entropy of single windows."""
+    """A network from (piece of text, language) pairs: Adam on the cross-entropy of the first window of each."""
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return Network([], {}, np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, lang in samples:
-        w = windows_of(text.encode())
-        for i in sorted(rng.choice(len(w), min(WINDOWS_PER_ROW, len(w)), replace=False)):
-            xs.append(w[i])
-            ys.append(langs.index(lang))
-    x, y = np.array(xs), np.array(ys)
+    place = {lang: i for i, lang in enumerate(langs)}
+    x = np.array([windows_of(text.encode())[0] for text, _ in samples])
+    y = np.array([place[lang] for _, lang in samples])
     f32 = lambda a: a.astype(np.float32)
     net = Network(
         langs,
@@ -167,13 +165,18 @@ def classify(net: Network, tables, texts: list[str | None]) -> list[tuple[str, f
 
 
 def training_sample(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most SAMPLE_PER_LANG rows of each of MAX_LANGS languages, by a hash of id and text. Texts are cut to 64 windows."""
+    """(piece, language): PIECES_PER_ROW pieces of at most SAMPLE_PER_LANG rows of each of MAX_LANGS languages. Rows, and
+    the places of pieces in the whole texts, are drawn by hashes of id and text."""
     rows = docs.where(usable).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
     # the hash thins each language to about four times its sample before anything is ranked
     rows = rows.join(F.broadcast(top), "lang").where(F.pmod("draw", "count") < 4 * SAMPLE_PER_LANG)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("draw"), "text"))).where(F.col("rank") <= SAMPLE_PER_LANG)
-    return [(r["text"], r["lang"]) for r in rows.orderBy("lang", "rank").select(F.substring("text", 1, 64 * WINDOW).alias("text"), "lang").collect()]
+    size = lambda k: F.lit(WINDOW) if k == 0 else SHORTEST + F.pmod(F.xxhash64("draw", F.lit(2 * k)), F.lit(WINDOW - SHORTEST))
+    start = lambda k: 1 + F.pmod(F.xxhash64("draw", F.lit(2 * k + 1)), F.greatest(F.lit(1), F.length("text") - size(k) + 1))
+    pieces = F.array_distinct(F.array(*[F.substring("text", start(k).cast("int"), size(k).cast("int")) for k in range(PIECES_PER_ROW)]))
+    rows = rows.select("lang", "rank", F.explode(pieces).alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
+    return [(r["piece"], r["lang"]) for r in rows.orderBy("lang", "rank", "piece").select("piece", "lang").collect()]
 
 
 def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
