@@ -111,9 +111,10 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: similarity of 0.8 share a 2-shingle key in a lane with probability 0.64, and miss all lanes with 1e-7.
 LANES = 16
 #: Candidates whose fingerprints are further apart are unrelated: similar documents are 10 bits apart, give or take 3.
-FAR_BITS = 24
+#: That holds for fingerprints of many distinct shingles; where either text has fewer than FEW, all candidates are verified.
+FAR_BITS, FEW = 24, 64
 
-SKETCHES = "id long, digest binary, fp long, keys array<long>"
+SKETCHES = "id long, digest binary, fp long, n int, keys array<long>"
 
 
 def _lane_keys(hashes: np.ndarray) -> list[int]:
@@ -128,14 +129,15 @@ def _lane_keys(hashes: np.ndarray) -> list[int]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, fps, keys = [], [], []
+        digests, fps, sizes, keys = [], [], [], []
         for t in batch.column(1):
-            hashes = shingle_hashes(t.as_py(), COPY_SHINGLE)
-            distinct = np.unique(hashes)
+            # similarity is of sets, so repeats of a shingle count nowhere here
+            distinct = np.unique(shingle_hashes(t.as_py(), COPY_SHINGLE))
             digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-            fps.append(fingerprint(hashes))
+            fps.append(fingerprint(distinct))
+            sizes.append(len(distinct))
             keys.append(np.array(_lane_keys(distinct) if len(distinct) else [], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "n", "keys"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +162,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     own = docs.select(_id_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = saved(own.mapInArrow(_sketches, SKETCHES))
-    alike = saved(sketches.groupBy("digest").agg(F.min(F.struct("id", "fp")).alias("x"), F.count("*").alias("n")).select("digest", F.col("x.id").alias("rep"), F.col("x.fp").alias("fp"), "n"))
-    reps = alike.select(F.col("rep").alias("id"), "fp")
+    alike = saved(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    reps = alike.select(F.col("rep").alias("id"), "fp", "n")
     keyed = saved(sketches.join(reps.select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key")))
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
     by_lane = keyed.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
@@ -171,15 +173,17 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = lambda name: by_fp.select(F.col("fp").alias(name), F.col("id").alias(f"{name}_id"))
     close = close.join(ids("a"), "a").join(ids("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     pairs = by_lane.union(same_fp).union(close).distinct()
-    near = pairs.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
-    near = saved(near.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS).select("a", "b"))
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}"))
+    less, more = F.least("na", "nb"), F.greatest("na", "nb")
+    hopeful = (less >= SIMILARITY * more) & ((less < FEW) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS))
+    near = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(hopeful).select("a", "b"))
     # texts are dealt once; only those in a pair go further
     nodes = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     texts = saved(own.join(nodes.hint("merge"), "id").dropDuplicates(["id"]))
     both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     edges = saved(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"))
     found = connected_components(edges, "a", "b")
-    grouped = alike.join(found.withColumnsRenamed({"node": "rep", "component": "keeper"}), "rep", "left").where("keeper IS NOT NULL OR n > 1")
+    grouped = alike.join(found.withColumnsRenamed({"node": "rep", "component": "keeper"}), "rep", "left").where("keeper IS NOT NULL OR copies > 1")
     return sketches.select("id", "digest").join(grouped.select("digest", F.coalesce("keeper", "rep").alias("keeper")), "digest").select("id", "keeper")
 
 
