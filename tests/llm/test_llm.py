@@ -191,6 +191,8 @@ def test_language_id(spark, empty):
     out = language_id.predicted(docs, net).where(language_id.held_out())
     good, n = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert n > 250 and good > 0.97
+    short = docs.where(language_id.held_out()).withColumn("text", F.substring("text", 1, 60))
+    assert language_id.predicted(short, net).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
     odd = language_id.predicted(spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "the")], "doc_id long, text string"), net).collect()
     assert [r["lang_pred"] for r in odd[:3]] == ["und"] * 3 and odd[3]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in odd)
     assert language_id.predicted(empty, net).count() == 0
@@ -236,6 +238,36 @@ def test_copy_groups(spark, odd, empty):
     assert simhash.without_copies(empty).count() == 0
 
 
+def test_copies_in_documents(spark):
+    """Against brute force: all pairs of the whole table, on exact similarity of sets of shingles."""
+    docs = common.table(spark, DIR, "documents")
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], simhash.COPY_SHINGLE).tolist()) for r in docs.collect()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= simhash.SIMILARITY * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sorted(r["doc_id"] for r in simhash.without_copies(docs).collect()) == sorted(d for d in sets if find(d) == d)
+
+
+def test_copies_with_repeats_and_few_words(spark):
+    rng = random.Random(12)
+    base = words(120, 21, 5000)
+    rows = [" ".join(base), " ".join(base + ["buy", "now"] * 2000)]
+    for i in range(40):
+        short = words(10, 100 + i, 5000)
+        rows += [" ".join(short), " ".join([*short, f"more{rng.random()}"])]
+    kept = sorted(r["doc_id"] for r in simhash.without_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect())
+    assert kept == list(range(0, 82, 2))
+
+
 def test_decontamination(spark, odd, empty):
     bench = common.table(spark, DIR, "benchmark")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
