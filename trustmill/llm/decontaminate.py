@@ -47,17 +47,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     m = len(MASKS)
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens_of(F.col(item_text)).alias("tokens"))
-    seeds = saved(_seeds(items).select("item_id", F.posexplode_outer("seeds").alias("q", "seed")).select("item_id", F.floor(F.col("q") / m).cast("int").alias("q"), "seed"))
+    seeds = _seeds(items).select("item_id", F.size("tokens").alias("n"), F.posexplode_outer("seeds").alias("q", "seed"))
+    seeds = saved(seeds.select("item_id", "n", F.floor(F.col("q") / m).cast("int").alias("q"), "seed"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("text_key"), tokens_of(F.col("text")).alias("tokens"))
     placed = _seeds(own).select("doc_id", "text_key", F.posexplode_outer("seeds").alias("p", "seed"))
     right = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    hits = placed.join(right, "seed").select("doc_id", "text_key", "item_id", (F.floor(F.col("p") / m).cast("int") - F.col("q")).alias("shift"))
+    hits = placed.join(right, "seed").select("doc_id", "text_key", "item_id", "n", (F.floor(F.col("p") / m).cast("int") - F.col("q")).alias("shift"))
     # one key per document; its alignments are bounded by its own hits
-    lined = saved(hits.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "shift")).alias("lines")))
+    lined = saved(hits.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("lines")))
     lined = lined.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "lines")
     near = own.join(lined, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")))
-    near = near.select("doc_id", "text_key", "tokens", F.explode("lines").alias("line")).select("doc_id", "text_key", "tokens", "line.item_id", "line.shift")
+    # an alignment carries the tokens under its item only, not the document's
+    at = F.col("line.shift")
+    under = F.slice("tokens", F.greatest(at, F.lit(0)) + 1, F.col("line.n") + F.least(at, F.lit(0)))
+    near = near.select("doc_id", "text_key", "tokens", F.explode("lines").alias("line"))
+    near = near.select("doc_id", "text_key", under.alias("tokens"), "line.item_id", F.least(at, F.lit(0)).alias("shift"))
     wanted = items.select(F.col("item_id").alias("_item"), F.col("tokens").alias("_wanted"))
     near = near.join(wanted, F.col("item_id").eqNullSafe(F.col("_item")))
     same = F.transform("_wanted", lambda t, j: F.when(F.coalesce(F.get("tokens", F.col("shift") + j) == t, F.lit(False)), 1).otherwise(0))
