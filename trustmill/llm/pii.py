@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
 from trustmill.llm.common import table
-from trustmill.llm.spans import Kind, by_kind, by_start, listed, masked, merged, of_rank, with_spans
+from trustmill.llm.spans import BLOCK, Kind, blocks_of, by_kind, by_start, listed, masked, merged, of_rank, with_spans, with_value
 
 
 def _digits(s: Column) -> Column:
@@ -53,18 +53,29 @@ ROUNDS, MIN_INSTANCES, MIN_SEEDS, MIN_SCORE, MIN_DIGITS = 3, 20, 10, 0.8, 4
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, base, tokens): the rules' spans, and all tokens with their pattern and whether a rule has them."""
+    """(doc_id, text_key, base, tokens): the rules' spans, and all tokens (null for none) with their pattern and whether a rule has them."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = with_spans(own, BASE)
     own = with_spans(own, [TOKEN]).withColumn("base", merged(BASE))
 
-    def token(s: Column) -> Column:
-        left = F.split(F.rtrim(F.lower(F.right(F.substring("text", F.greatest(F.lit(1), s["start"] - 79), F.least(s["start"], F.lit(80))), F.lit(80)))), r"[\x20\x09-\x0D]+")
+    def token(s: Column, part: Column) -> Column:
+        before = F.substring(part["text"], F.greatest(F.lit(1), s["start"] - 79 - part["from"]), F.least(s["start"], F.lit(80)))
+        left = F.split(F.rtrim(F.lower(before)), r"[\x20\x09-\x0D]+")
         pattern = F.concat_ws(" ", F.slice(left, F.greatest(F.lit(1), F.size(left) - 1), F.lit(2)))
-        known = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        known = F.exists(part["near"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("instance"), F.length(_digits(s)).alias("digits"), F.regexp_replace(pattern, "[0-9]", "#").alias("pattern"), known.alias("known"))
 
-    return own.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.transform("_spans_token", token).alias("tokens"))
+    def block(b: Column) -> Column:
+        # of a long text with many tokens, a block of them sees only its own part
+        own = F.slice("_spans_token", b * BLOCK + 1, F.lit(BLOCK))
+        start, stop = F.greatest(F.lit(0), F.get(own, F.lit(0))["start"] - 80), F.element_at(own, -1)["end"]
+        near = F.filter("base", lambda x: (x["start"] < stop) & (start < x["end"]))
+        part = F.struct(start.alias("from"), F.substring(F.col("text"), start + 1, stop - start).alias("text"), near.alias("near"))
+        return with_value(part, lambda p: F.transform(own, lambda s: token(s, p)))
+
+    n = F.size("_spans_token")
+    tokens = F.when(n > 0, F.flatten(F.transform(blocks_of(n), block)))
+    return own.select("doc_id", F.xxhash64("text").alias("text_key"), "base", tokens.alias("tokens"))
 
 
 def good_patterns(edges: DataFrame) -> DataFrame:

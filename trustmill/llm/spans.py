@@ -41,19 +41,38 @@ def with_spans(df: DataFrame, kinds: list[Kind], text: str = "text") -> DataFram
     return df.withColumns({f"_spans_{k.name}": F.filter(f"_spans_{k.name}", k.keep) for k in kinds if k.keep is not None})
 
 
+#: Matches that one fold appends to an array. Appending copies the array, so longer lists are folded block by block.
+BLOCK = 64
+
+
+def with_value(value: Column, then) -> Column:
+    """then(value), with the value computed once: in a lambda, an expression read twice would run twice."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def blocks_of(n: Column) -> Column:
+    """Numbers of the blocks of n > 0 elements."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+
 def _placed(gaps: Column, found: Column) -> Column:
     """Matches with their offsets, from the matches and the text between them."""
     # gaps is read twice on purpose: a column read once may be inlined, and then runs once per match
     n = F.least(F.size(gaps), F.size(found))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(gaps, i))
         end = start + F.length(F.get(found, i))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value")))).alias("out"))
 
-    none = F.array().cast(SPAN)
-    seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), seed, step, lambda a: a["out"])).otherwise(none)
+    def block(acc: Column, b: Column) -> Column:
+        own = F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, n) - 1)
+        done = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return with_value(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.when(n > 0, F.aggregate(blocks_of(n), seed, block, lambda a: F.flatten(a["out"]))).otherwise(none)
 
 
 def of_rank(spans: Column | str, i: int) -> Column:
@@ -89,12 +108,25 @@ def _ordered(spans: Column, first: str, second: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """text with each span replaced by <KIND>; spans are ordered by start, overlapping ones count as one."""
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
+
+    def block(acc: Column, b: Column) -> Column:
+        # substrings count characters from the start, so a block cuts its own part of the text first
+        own = F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))
+        stop = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+        part = F.struct(acc["at"].alias("base"), stop.alias("stop"), F.substring(text, acc["at"] + 1, stop - acc["at"]).alias("text"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+        def filled(p: Column) -> Column:
+            def step(inner: Column, s: Column) -> Column:
+                fresh = s["start"] >= inner["at"]
+                piece = F.array(F.substring(p["text"], inner["at"] - p["base"] + 1, s["start"] - inner["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+                return F.struct(F.greatest(inner["at"], s["end"]).alias("at"), F.when(fresh, F.concat(inner["out"], piece)).otherwise(inner["out"]).alias("out"))
 
-    done = F.aggregate(spans, seed, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+            new = F.aggregate(own, F.struct(p["base"].alias("at"), none.alias("out")), step, lambda a: F.array_join(a["out"], ""))
+            return F.struct(p["stop"].alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
+
+        return with_value(part, filled)
+
+    seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    done = F.aggregate(blocks_of(F.size(spans)), seed, block, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
