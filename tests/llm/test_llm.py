@@ -116,20 +116,6 @@ def test_spans_equal_plain_rules(spark):
             assert [(s["start"], s["end"]) for s in r[f"_spans_{k.name}"]] == _plain(pattern, texts[r["id"]], keep), (k.name, texts[r["id"]])
 
 
-def test_spans_across_blocks(spark):
-    """Texts with more matches than a fold takes at once, some of them overlapping."""
-    block = spans.BLOCK
-    counts = [0, 1, block - 1, block, block + 1, 3 * block]
-    bit = "é +1 980 555 2833 4111111111111111 x@y.zz, "
-    df = spark.createDataFrame([(i, bit * n + "end") for i, n in enumerate(counts)], "doc_id long, text string")
-    got = {r["id"]: r["s"] for r in spans.with_spans(df, pii.BASE).select(F.col("doc_id").alias("id"), F.col("_spans_email").alias("s")).collect()}
-    for i, n in enumerate(counts):
-        assert [(s["start"], s["end"]) for s in got[i]] == [(len(bit) * k + bit.index("x@"), len(bit) * k + bit.index("x@") + 6) for k in range(n)]
-    text = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
-    one = text[1].removesuffix("end")
-    assert "<EMAIL>" in one and "@" not in one and all(text[i] == one * n + "end" for i, n in enumerate(counts))
-
-
 def test_secrets(spark, odd, empty):
     versions = odd.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
     found, entries = secrets.scan_versions(versions)
