@@ -268,6 +268,19 @@ def test_copies_with_repeats_and_few_words(spark):
     assert kept == list(range(0, 82, 2))
 
 
+def test_copies_of_a_template(spark):
+    """Texts that share 340 of 400 shingles (0.74 for unrelated ones), in pairs that share 356 to 370 (0.80 to 0.86)."""
+    passage, rows = words(344, 31, 50_000), []
+    for k in range(150):
+        more = [f"c{k}x{j}" for j in range((14, 16, 16, 20, 30)[k % 5])]
+        rows += [" ".join([*passage, *more, *[f"o{k}x{side}x{j}" for j in range(60 - len(more))]]) for side in "ab"]
+    random.Random(5).shuffle(rows)
+    sets = [set(simhash.shingle_hashes(t, simhash.COPY_SHINGLE).tolist()) for t in rows]
+    later = {b for b in range(300) for a in range(b) if len(sets[a] & sets[b]) >= simhash.SIMILARITY * len(sets[a] | sets[b])}
+    kept = sorted(r["doc_id"] for r in simhash.without_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect())
+    assert len(later) == 120 and kept == [d for d in range(300) if d not in later]
+
+
 def test_decontamination(spark, odd, empty):
     bench = common.table(spark, DIR, "benchmark")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]

@@ -151,12 +151,46 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_py(), COPY_SHINGLE)).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+
+def _crowded_edges(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts (id, text) that are similar enough and lie in different components of found.
+
+    An exact prefix-filter join. Shingles are ordered by how many texts hold them; those that only one component holds
+    come first, as no pair sought shares them. The first shingle that a pair shares lies so early in both orders that
+    enough can follow: among the first 1 - s of the larger set, and the first 1 - 2s / (1 + s) of the smaller. Boilerplate
+    comes last and gets into a prefix only where it nearly suffices for a similarity of s by itself.
+    """
+    sets = saved(texts.select("id", "text").mapInArrow(_sets, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<bigint>"))
+    roots = sets.join(found, sets["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("root"), F.size("shingles").alias("n"), "shingles")
+    each = roots.select("id", "root", "n", F.explode("shingles").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "df")
+    least = lambda share: F.ceil(F.lit(share) * F.col("n") - 1e-6)
+    ranked = each.join(shared, "h").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order")).where(F.size("order") >= least(SIMILARITY))
+    ranked = ranked.select("id", "root", "n", F.size("order").alias("m"), F.posexplode("order").alias("p", "t"))
+    # left: how many shingles, this one included, can still be shared
+    placed = saved(ranked.select("id", "root", "n", F.col("t.h").alias("h"), (F.col("m") - F.col("p")).alias("left")).where(F.col("left") >= least(SIMILARITY)))
+    half = SIMILARITY / (1 + SIMILARITY)
+    larger = placed.select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "left")])
+    smaller = placed.where(F.col("left") >= least(2 * half)).select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "left")])
+    met = larger.join(smaller, "h").where("root_a <> root_b AND (n_b < n_a OR n_b = n_a AND id_b < id_a)")
+    met = met.where(F.least("left_a", "left_b") >= F.lit(half) * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keeper): of all documents in a group of near copies, and the one that stays; documents alone are left out.
 
     Candidates come from links of fingerprints at two bits or fewer and from the lanes; in a lane, every document is
-    compared with the smallest id under its key, so the work is linear in a group of any size. Candidates are verified
-    on the exact similarity of their whole texts. A null id stands as a negative number made from the text.
+    compared with the smallest id under its key. Candidates are verified on the exact similarity of their whole texts.
+    Documents under a key of three or more are then searched for all similar pairs that this hasn't joined, by an exact
+    join. A null id stands as a negative number made from the text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -165,7 +199,9 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alike = saved(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("copies")))
     reps = alike.select(F.col("rep").alias("id"), "fp", "n")
     keyed = saved(sketches.join(reps.select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key")))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
+    heads = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("held")).where("leader < last")
+    leaders = heads.select("key", "leader")
+    crowded = keyed.join(heads.where("held > 2").select("key"), "key", "left_semi").select("id").distinct()
     by_lane = keyed.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     by_fp = saved(reps.groupBy("fp").agg(F.min("id").alias("id")))
     same_fp = reps.join(by_fp.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
@@ -182,7 +218,10 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = saved(own.join(nodes.hint("merge"), "id").dropDuplicates(["id"]))
     both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     edges = saved(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"))
-    found = connected_components(edges, "a", "b")
+    found = saved(connected_components(edges, "a", "b"))
+    rest = saved(_crowded_edges(own.join(crowded.hint("merge"), "id").dropDuplicates(["id"]), found))
+    if not rest.isEmpty():
+        found = connected_components(edges.union(rest), "a", "b")
     grouped = alike.join(found.withColumnsRenamed({"node": "rep", "component": "keeper"}), "rep", "left").where("keeper IS NOT NULL OR copies > 1")
     return sketches.select("id", "digest").join(grouped.select("digest", F.coalesce("keeper", "rep").alias("keeper")), "digest").select("id", "keeper")
 
