@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -298,6 +300,41 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.decontaminated(empty, bench).count() == 0 and decontaminate.decontaminated(odd, bench.limit(0)).count() == odd.count()
 
 
+def patterns(n):
+    """All sets of substituted positions that the rule allows for an item of n tokens."""
+    return list(itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n)))
+
+
+def test_masks_leave_a_seed():
+    for n in range(8, decontaminate.REACH + 1):
+        seeds = [{i + k for k in mask} for mask, *_ in decontaminate.masks_for({n}) for i in range(n - mask[-1])]
+        assert [p for p in patterns(n) if not any(s.isdisjoint(p) for s in seeds)] == [], n
+
+
+def found_and_wanted(spark, docs, items):
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in decontaminate.overlaps(df, bench).collect():
+        got.setdefault(r["doc_id"], []).append(r["item_id"])
+    return {k: sorted(v) for k, v in got.items()}, {k: v for k, v in decontaminate.brute_force(docs, items).items() if v}
+
+
+def substituted(n, width):
+    """The item of n tokens, with every allowed pattern and with one more substitution, inside texts and at their edges."""
+    item = [f"i{n}x{k}" for k in range(n)]
+    some = patterns(n)[:: max(1, len(patterns(n)) // width)] + list(itertools.combinations(range(n), n - math.ceil(decontaminate.AGREE * n) + 1))[:: max(1, n)]
+    texts = [" ".join("other" if k in p else w for k, w in enumerate(item)) for p in some]
+    edges = [" ".join(item[1:]), " ".join(item[:-1]), " ".join(item[1:]) + " after it", "before it " + " ".join(item[:-1])]
+    return " ".join(item), [f"before it {t} after it" for t in texts] + edges
+
+
+def test_decontamination_with_substitutions(spark):
+    made = [substituted(n, 60) for n in range(8, 18)]
+    items, docs = [(i, x) for i, (x, _) in enumerate(made)], list(enumerate(t for _, ts in made for t in ts))
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and len(want) > 300
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_whole_tables(spark, name):
     base = "pages" if name.startswith("op1_") else "documents"

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from trustmill.functions.storage import saved
 from trustmill.llm.common import table
 
-MASKS = [(0, 1, 3, 4, 7), (0, 2, 3, 5, 8)]
-SPAN = 8
 REACH, AGREE = 24, 0.8
+#: (mask, least and most tokens of the items, at most REACH counting, that it serves). For every number of tokens, each
+#: pattern of substitutions that AGREE allows leaves a seed of one of its masks intact; a test tries all patterns.
+MASKS = [((0, 1, 2, 3, 4), 8, REACH), ((0, 1, 2, 4, 5), 8, REACH), ((0, 1, 3, 6, 7), 8, 14)]
 #: Above this many distinct benchmark seeds, the join shuffles both sides instead of broadcasting the seeds.
 BROADCAST_SEEDS = 1_000_000
 
@@ -28,30 +29,39 @@ def tokens_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(df: DataFrame) -> DataFrame:
-    """df with column tokens becomes df with seeds: for position i and mask m, entry 2i + m."""
+def masks_for(lengths: set[int]) -> list[tuple[tuple[int, ...], int, int]]:
+    """The entries of MASKS that items of these numbers of tokens need."""
+    return [(mask, lo, hi) for mask, lo, hi in MASKS if any(lo <= min(n, REACH) <= hi for n in lengths)]
+
+
+def _seeds(df: DataFrame, masks: list[tuple[tuple[int, ...], int, int]]) -> DataFrame:
+    """df with column tokens becomes df with seeds: for position i and mask m of M, entry Mi + m; null where it doesn't fit."""
     # explode them by posexplode_outer: a filter inferred from posexplode would be pushed below these columns, and so
     # repeat the hashing inside the lambda, element by element
     df = df.withColumn("_h", F.transform("tokens", lambda t: F.xxhash64(t)))
-    at = lambda i, mask, m: F.xxhash64(F.lit(m), *[F.get("_h", i + k) for k in mask])
     n = F.size("_h")
-    seeds = F.flatten(F.transform(F.sequence(F.lit(0), n - SPAN), lambda i: F.array(*[at(i, mask, m) for m, mask in enumerate(MASKS)])))
-    return df.withColumn("seeds", F.when(n >= SPAN, seeds)).drop("_h")
+    at = lambda i, mask: F.when(i + mask[-1] < n, F.xxhash64(F.lit(str(mask)), *[F.get("_h", i + k) for k in mask]))
+    seeds = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*[at(i, mask) for mask, _, _ in masks])))
+    return df.withColumn("seeds", F.when(n > 0, seeds)).drop("_h")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id): which document holds which item, once each.
 
-    Null and empty texts on either side hold nothing; items of fewer than SPAN tokens have no seed and are not searched
-    for. Null ids are kept (null-safe joins); repeated rows give one row.
+    Null and empty texts on either side hold nothing; items of fewer than 8 tokens have no seed and are not searched for.
+    Null ids are kept (null-safe joins); repeated rows give one row.
     """
-    m = len(MASKS)
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens_of(F.col(item_text)).alias("tokens"))
-    seeds = _seeds(items).select("item_id", F.size("tokens").alias("n"), F.posexplode_outer("seeds").alias("q", "seed"))
+    lengths = items.select(F.least(F.size("tokens"), F.lit(REACH)).alias("n")).distinct().collect()
+    masks = masks_for({r["n"] for r in lengths}) or MASKS[:1]
+    m = len(masks)
+    seeds = _seeds(items, masks).select("item_id", F.size("tokens").alias("n"), F.posexplode_outer("seeds").alias("q", "seed"))
+    serves = F.array(*[F.least("n", F.lit(REACH)).between(lo, hi) for _, lo, hi in masks])
+    seeds = seeds.where(F.get(serves, F.col("q") % m) & F.col("seed").isNotNull())
     seeds = saved(seeds.select("item_id", "n", F.floor(F.col("q") / m).cast("int").alias("q"), "seed"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("text_key"), tokens_of(F.col("text")).alias("tokens"))
-    placed = _seeds(own).select("doc_id", "text_key", F.posexplode_outer("seeds").alias("p", "seed"))
+    placed = _seeds(own, masks).select("doc_id", "text_key", F.posexplode_outer("seeds").alias("p", "seed"))
     right = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
     hits = placed.join(right, "seed").select("doc_id", "text_key", "item_id", "n", (F.floor(F.col("p") / m).cast("int") - F.col("q")).alias("shift"))
     # one key per document; its alignments are bounded by its own hits
@@ -107,7 +117,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]
         hit = []
         for i, item in want.items():
             reach = min(len(item), REACH)
-            if len(item) < SPAN:
+            if len(item) < 8:
                 continue
             for shift in range(-len(item) + 1, len(have)):
                 same = [0 <= shift + j < len(have) and have[shift + j] == w for j, w in enumerate(item)]
