@@ -306,7 +306,7 @@ def patterns(n):
 
 
 def test_masks_leave_a_seed():
-    for n in range(8, decontaminate.REACH + 1):
+    for n in range(1, decontaminate.REACH + 1):
         seeds = [{i + k for k in mask} for mask, *_ in decontaminate.masks_for({n}) for i in range(n - mask[-1])]
         assert [p for p in patterns(n) if not any(s.isdisjoint(p) for s in seeds)] == [], n
 
@@ -335,6 +335,17 @@ def test_decontamination_with_substitutions(spark):
     assert got == want and len(want) > 300
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 1 to 7 tokens, whole, with substitutions, at edges, as texts of their own, and one repeated all over."""
+    made = [substituted(n, 60) for n in range(1, 8)]
+    items, docs = [(i, x) for i, (x, _) in enumerate(made)], list(enumerate(t for _, ts in made for t in ts))
+    docs += [(1000 + i, x) for i, x in items] + [(2000 + i, f"before it {x} after it") for i, x in items]
+    docs += [(3000, "What is it? " * 50), (3001, ""), (3002, None), (3003, "it")]
+    items += [(10, "what is it"), (11, ""), (12, "...")]
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and all(i in got[1000 + i] and i in got[2000 + i] for i in range(7)) and got[3000] == [10]
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_whole_tables(spark, name):
     base = "pages" if name.startswith("op1_") else "documents"

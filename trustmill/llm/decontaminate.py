@@ -20,6 +20,10 @@ REACH, AGREE = 24, 0.8
 #: (mask, least and most tokens of the items, at most REACH counting, that it serves). For every number of tokens, each
 #: pattern of substitutions that AGREE allows leaves a seed of one of its masks intact; a test tries all patterns.
 MASKS = [((0, 1, 2, 3, 4), 8, REACH), ((0, 1, 2, 4, 5), 8, REACH), ((0, 1, 3, 6, 7), 8, 14)]
+MASKS += [((0, 1, 2, 3), 4, 7), ((0, 1, 3, 4), 5, 7), ((0, 2, 3, 4), 5, 5), ((0, 1, 2, 4), 5, 5)]
+#: Items of so few tokens must agree in all of them.
+WHOLE = 4
+MASKS += [((0, 1, 2), 3, 3), ((0, 1), 2, 2), ((0,), 1, 1)]
 #: Above this many distinct benchmark seeds, the join shuffles both sides instead of broadcasting the seeds.
 BROADCAST_SEEDS = 1_000_000
 
@@ -48,8 +52,7 @@ def _seeds(df: DataFrame, masks: list[tuple[tuple[int, ...], int, int]]) -> Data
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id): which document holds which item, once each.
 
-    Null and empty texts on either side hold nothing; items of fewer than 8 tokens have no seed and are not searched for.
-    Null ids are kept (null-safe joins); repeated rows give one row.
+    Null and empty texts on either side hold nothing. Null ids are kept (null-safe joins); repeated rows give one row.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens_of(F.col(item_text)).alias("tokens"))
     lengths = items.select(F.least(F.size("tokens"), F.lit(REACH)).alias("n")).distinct().collect()
@@ -64,8 +67,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     placed = _seeds(own, masks).select("doc_id", "text_key", F.posexplode_outer("seeds").alias("p", "seed"))
     right = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
     hits = placed.join(right, "seed").select("doc_id", "text_key", "item_id", "n", (F.floor(F.col("p") / m).cast("int") - F.col("q")).alias("shift"))
+    # a whole item at one place is enough; a longer one is tried at all alignments
     # one key per document; its alignments are bounded by its own hits
-    lined = saved(hits.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("lines")))
+    hits = hits.groupBy("doc_id", "text_key", "item_id", "n", F.when(F.col("n") > WHOLE, F.col("shift")).alias("_s")).agg(F.min("shift").alias("shift"))
+    lined = saved(hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("lines")))
     lined = lined.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "lines")
     near = own.join(lined, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")))
     # an alignment carries the tokens under its item only, not the document's
@@ -117,8 +122,6 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]
         hit = []
         for i, item in want.items():
             reach = min(len(item), REACH)
-            if len(item) < 8:
-                continue
             for shift in range(-len(item) + 1, len(have)):
                 same = [0 <= shift + j < len(have) and have[shift + j] == w for j, w in enumerate(item)]
                 if sum(same) and max(sum(same[s : s + reach]) for s in range(len(item) - reach + 1)) >= math.ceil(AGREE * reach):
