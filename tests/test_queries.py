@@ -1,6 +1,9 @@
+import inspect
+
 import pytest
 from conftest import rows_of
 
+from trustmill.operators import calibration, resample
 from trustmill.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -18,6 +21,33 @@ def test_query(spark, duck, name):
     assert rows_of(got, columns) == rows_of(want, columns)
 
 
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "module", "function", "parameter", "value"),
+    [
+        ("temperature_bootstrap", calibration, "temperature_intervals", "resamples", 500),
+        ("bootstrap_interval", resample, "draws", "resamples", 2000),
+        ("paired_bootstrap", resample, "numpy_draws", "resamples", 2000),
+    ],
+)
+def test_whole_job(spark, monkeypatch, name, module, function, parameter, value):
+    """The query runs the operator at the reference's size."""
+    signature = inspect.signature(getattr(module, function))
+
+    def seen(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Called(bound.arguments[parameter])
+
+    monkeypatch.setattr(module, function, seen)
+    with pytest.raises(Called) as e:
+        catalog.QUERIES[name](spark, DIR)
+    assert e.value.args == (value,)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

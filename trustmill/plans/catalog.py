@@ -164,12 +164,12 @@ def calibration_thresholds(spark, d):
 
 @query()
 def temperature_bootstrap(spark, d):
-    return calibration.temperature_intervals(logits(spark, d), "seed", resamples=20)
+    return calibration.temperature_intervals(logits(spark, d), "seed")
 
 
 # --- resampling ------------------------------------------------------------------------------------------------------
 
-RESAMPLES = 50
+RESAMPLES = 2000
 
 
 @query(f"""WITH {DOCS} cl AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT source FROM s)),
@@ -190,7 +190,7 @@ def bootstrap_interval(spark, d):
 def paired_bootstrap(spark, d):
     docs = judged_documents(spark, d)
     both = metrics.method_scores(docs.withColumn("other", -F.col("score")), ["source", "lang", "error"], {"length": "score", "shortness": "other"})
-    reps = resample.replicates(both, resample.numpy_draws(docs, "source", 20, 2026), ["lang", "method"], "source")
+    reps = resample.replicates(both, resample.numpy_draws(docs, "source", RESAMPLES, 2026), ["lang", "method"], "source")
     reps = resample.paired_difference(reps, ["lang"], "length")
     return resample.intervals(resample.joint_mean(reps, ["method"], ["aurc", "delta_aurc"]), ["method"], ["aurc", "delta_aurc"])
 
