@@ -3,7 +3,7 @@ import inspect
 import pytest
 from conftest import rows_of
 
-from trustmill.operators import calibration, resample
+from trustmill.operators import calibration, learn, resample
 from trustmill.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -31,6 +31,7 @@ class Called(Exception):
         ("temperature_bootstrap", calibration, "temperature_intervals", "resamples", 500),
         ("bootstrap_interval", resample, "draws", "resamples", 2000),
         ("paired_bootstrap", resample, "numpy_draws", "resamples", 2000),
+        ("failure_head", learn, "train_heads", "epochs", 30),
     ],
 )
 def test_whole_job(spark, monkeypatch, name, module, function, parameter, value):

@@ -469,7 +469,7 @@ def table_differences(spark, d):
 @query()
 def failure_head(spark, d):
     rows = logits(spark, d).withColumns({"failure": (F.col("pred") != F.col("label")).cast("int"), "x": F.concat("logits", "probs")})
-    return learn.head_scores(rows, learn.train_heads(rows, "seed", "x", "failure", epochs=5), "seed", "x").select("vec_id", "seed", "failure", "head_score")
+    return learn.head_scores(rows, learn.train_heads(rows, "seed", "x", "failure"), "seed", "x").select("vec_id", "seed", "failure", "head_score")
 
 
 @query()
