@@ -283,6 +283,60 @@ def test_copies_of_a_template(spark):
     assert len(later) == 120 and kept == [d for d in range(300) if d not in later]
 
 
+def brute_copies(rows):
+    """Ids that stay, by comparing all pairs of (id, text): of each component of similar rows the one with the least id."""
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[ \t-\r]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (d, i)), (d, i))
+    return sorted(d for d, _ in best.values())
+
+
+def test_copies_under_one_id(spark):
+    """Different texts of one id are judged each for itself."""
+    texts = [" ".join(words(60, 70 + i, 5000)) for i in range(4)]
+    rows = [(1, texts[0]), (5, texts[0] + " tail"), (5, texts[1]), (5, texts[2]), (5, texts[2]), (9, texts[1]), (None, texts[3]), (None, texts[3])]
+    kept = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == sorted([texts[0], texts[1], texts[2], texts[3]])
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 5, 5]
+
+
+def test_copies_under_crowded_keys(spark):
+    """A passage in all texts, below 0.8 by itself; chains of similar texts, whose first members aren't like the key's."""
+    passage, rows = words(150, 41, 50_000), []
+    for k in range(60):
+        own = [f"c{k}x{j}" for j in range(60)]
+        rows += [passage + [f"v{k}x{v}x{j}" for j in range(6 * v)] + own[6 * v :] for v in range(k % 4 + 1)]
+    random.Random(7).shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    kept = sorted(r["doc_id"] for r in simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == brute_copies(rows) and len(kept) < len(rows)
+
+
+def test_parity_sketches_rule_out_no_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 3000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for k in range(0, max(1, n // 9) + 1, max(1, n // 30)):
+            b = np.unique(np.concatenate([a[k:], rng.integers(0, 2**64, k, np.uint64)]))
+            apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(simhash.parity_sketch(a).view(np.uint64), simhash.parity_sketch(b).view(np.uint64), strict=True))
+            assert apart <= len(np.setxor1d(a, b))
+
+
 def test_decontamination(spark, odd, empty):
     bench = common.table(spark, DIR, "benchmark")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]

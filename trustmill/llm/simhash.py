@@ -110,11 +110,16 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: in LANES sketches, each of the 2 and of the 4 shingles that come first in an order of its own: two documents with a
 #: similarity of 0.8 share a 2-shingle key in a lane with probability 0.64, and miss all lanes with 1e-7.
 LANES = 16
-#: Candidates whose fingerprints are further apart are unrelated: similar documents are 10 bits apart, give or take 3.
-#: That holds for fingerprints of many distinct shingles; where either text has fewer than FEW, all candidates are verified.
-FAR_BITS, FEW = 24, 64
+#: Parity sketch: one bit per slot, set where an odd number of shingles fall into the slot. Each shingle that only one of
+#: two documents holds flips one bit, so the bits that differ are never more than such shingles.
+PARITY_BITS = 1024
 
-SKETCHES = "id long, digest binary, fp long, n int, keys array<long>"
+SKETCHES = "id long, key long, digest binary, fp long, n int, odd array<long>, keys array<long>"
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    slots = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((slots & 1).astype(np.uint8)).view(np.int64)
 
 
 def _lane_keys(hashes: np.ndarray) -> list[int]:
@@ -128,120 +133,136 @@ def _lane_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        digests, fps, sizes, keys = [], [], [], []
-        for t in batch.column(1):
+        digests, fps, sizes, odd, keys = [], [], [], [], []
+        for t in batch.column(2):
             # similarity is of sets, so repeats of a shingle count nowhere here
             distinct = np.unique(shingle_hashes(t.as_py(), COPY_SHINGLE))
             digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
             fps.append(fingerprint(distinct))
             sizes.append(len(distinct))
+            odd.append(parity_sketch(distinct))
             keys.append(np.array(_lane_keys(distinct) if len(distinct) else [], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "n", "keys"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those whose shingle sets are similar enough."""
-    for batch in batches:
-        keep = []
-        for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (np.unique(shingle_hashes(t.as_py(), COPY_SHINGLE)) for t in (ta, tb))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        columns = [pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, longs), pa.array(keys, longs)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "key", "digest", "fp", "n", "odd", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(shingle_hashes(t.as_py(), COPY_SHINGLE)).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def _may_be_similar() -> Column:
+    """Whether documents of na and nb distinct shingles, with parity sketches oa and ob, can be similar enough: no pair
+    that is fails this. A similarity of s leaves (1 - s) / (1 + s) of all shingles to one document alone."""
+    alone = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (alone <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("na") + F.col("nb")) + 1e-6)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose shingle sets are similar enough."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def _crowded_edges(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): all pairs of texts (id, text) that are similar enough and lie in different components of found.
+def _edges_between(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of members (node, root) that are similar enough and have different roots.
 
     An exact prefix-filter join. Shingles are ordered by how many texts hold them; those that only one component holds
     come first, as no pair sought shares them. The first shingle that a pair shares lies so early in both orders that
     enough can follow: among the first 1 - s of the larger set, and the first 1 - 2s / (1 + s) of the smaller. Boilerplate
-    comes last and gets into a prefix only where it nearly suffices for a similarity of s by itself.
+    comes last and gets into a prefix only where it nearly suffices for a similarity of s by itself. Under a shingle,
+    components meet before their members do, so members of one component are never paired.
     """
-    sets = saved(texts.select("id", "text").mapInArrow(_sets, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<bigint>"))
-    roots = sets.join(found, sets["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("root"), F.size("shingles").alias("n"), "shingles")
-    each = roots.select("id", "root", "n", F.explode("shingles").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "df")
+    rooted = saved(sets.join(members, "node").select("node", "root", F.size("shingles").alias("n"), "shingles"))
+    each = rooted.select("node", "root", "n", F.explode("shingles").alias("h"))
+    # saved, so that joins can split a shingle that very many texts hold
+    shared = saved(each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "df"))
     least = lambda share: F.ceil(F.lit(share) * F.col("n") - 1e-6)
-    ranked = each.join(shared, "h").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order")).where(F.size("order") >= least(SIMILARITY))
-    ranked = ranked.select("id", "root", "n", F.size("order").alias("m"), F.posexplode("order").alias("p", "t"))
+    ranked = each.join(shared, "h").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order")).where(F.size("order") >= least(SIMILARITY))
+    ranked = ranked.select("node", "root", "n", F.size("order").alias("m"), F.posexplode("order").alias("p", "t"))
     # left: how many shingles, this one included, can still be shared
-    placed = saved(ranked.select("id", "root", "n", F.col("t.h").alias("h"), (F.col("m") - F.col("p")).alias("left")).where(F.col("left") >= least(SIMILARITY)))
+    placed = saved(ranked.select("node", "root", "n", F.col("t.h").alias("h"), (F.col("m") - F.col("p")).alias("left")).where(F.col("left") >= least(SIMILARITY)))
     half = SIMILARITY / (1 + SIMILARITY)
-    larger = placed.select("h", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "left")])
-    smaller = placed.where(F.col("left") >= least(2 * half)).select("h", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "left")])
-    met = larger.join(smaller, "h").where("root_a <> root_b AND (n_b < n_a OR n_b = n_a AND id_b < id_a)")
-    met = met.where(F.least("left_a", "left_b") >= F.lit(half) * (F.col("n_a") + F.col("n_b")) - 1e-6).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    smaller = placed.where(F.col("left") >= least(2 * half))
+    meet = placed.select("h", F.col("root").alias("root_a")).distinct().join(smaller.select("h", F.col("root").alias("root_b")).distinct(), "h").where("root_a <> root_b")
+    side = lambda df, x: df.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "left")])
+    met = saved(meet).join(side(placed, "a"), ["h", "root_a"]).join(side(smaller, "b"), ["h", "root_b"])
+    met = met.where("n_b < n_a OR n_b = n_a AND node_b < node_a").where(F.least("left_a", "left_b") >= F.lit(half) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    return _similar(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), rooted)
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keeper): of all documents in a group of near copies, and the one that stays; documents alone are left out.
+    """(id, key, keeper, keeper_key) of every row in a group of near copies, key being a hash of the text: the row, and
+    the one that stays, with the smallest id (null ids last, ties by key). Rows alone are left out.
 
-    Candidates come from links of fingerprints at two bits or fewer and from the lanes; in a lane, every document is
-    compared with the smallest id under its key. Candidates are verified on the exact similarity of their whole texts.
-    Documents under a key of three or more are then searched for all similar pairs that this hasn't joined, by an exact
-    join. A null id stands as a negative number made from the text.
+    Texts with the same set of shingles are one node. Candidates come from links of fingerprints at two bits or fewer
+    and from the lanes, where every node meets the smallest one under its key. Pairs that the parity sketches don't rule
+    out are verified on the exact similarity of their whole texts. Keys of three nodes or more whose nodes are still in
+    different components are then searched for all similar pairs across components, by an exact join.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(_id_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     sketches = saved(own.mapInArrow(_sketches, SKETCHES))
-    alike = saved(sketches.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    reps = alike.select(F.col("rep").alias("id"), "fp", "n")
-    keyed = saved(sketches.join(reps.select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key")))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("held")).where("leader < last")
-    leaders = heads.select("key", "leader")
-    crowded = keyed.join(heads.where("held > 2").select("key"), "key", "left_semi").select("id").distinct()
-    by_lane = keyed.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    by_fp = saved(reps.groupBy("fp").agg(F.min("id").alias("id")))
-    same_fp = reps.join(by_fp.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
-    close = links(by_fp.select("fp"))
-    ids = lambda name: by_fp.select(F.col("fp").alias(name), F.col("id").alias(f"{name}_id"))
-    close = close.join(ids("a"), "a").join(ids("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    at = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "odd", "keys")]
+    alike = sketches.groupBy("digest").agg(F.min(at).alias("at"), *firsts, F.count("*").alias("copies"))
+    alike = saved(alike.withColumn("node", F.monotonically_increasing_id()))
+    keyed = saved(alike.select("node", F.explode("keys").alias("k")))
+    heads = keyed.groupBy("k").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("held"))
+    heads = saved(heads.where("leader < last").drop("last"))
+    by_lane = keyed.join(heads.select("k", "leader"), "k").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    by_fp = saved(alike.groupBy("fp").agg(F.min("node").alias("least")))
+    same_fp = alike.join(by_fp, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    named = lambda x: by_fp.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_node"))
+    close = links(by_fp.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     pairs = by_lane.union(same_fp).union(close).distinct()
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}"))
-    less, more = F.least("na", "nb"), F.greatest("na", "nb")
-    hopeful = (less >= SIMILARITY * more) & ((less < FEW) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS))
-    near = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(hopeful).select("a", "b"))
-    # texts are dealt once; only those in a pair go further
-    nodes = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = saved(own.join(nodes.hint("merge"), "id").dropDuplicates(["id"]))
-    both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    edges = saved(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"))
+    side = lambda x: alike.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
+    near = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar()).select("a", "b"))
+    crowded = saved(keyed.join(heads.where("held > 2").select("k"), "k", "left_semi"))
+    # texts are dealt once, and only of nodes that are in a pair or under a crowded key
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).union(crowded.select("node")).distinct()
+    wanted = alike.join(wanted, "node").select("node", F.col("at.id").alias("_id"), F.col("at.key").alias("_key"))
+    texts = own.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text")
+    sets = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles array<long>"))
+    edges = saved(_similar(near, sets))
     found = saved(connected_components(edges, "a", "b"))
-    rest = saved(_crowded_edges(own.join(crowded.hint("merge"), "id").dropDuplicates(["id"]), found))
+    rooted = saved(crowded.join(found, "node", "left").select("k", "node", F.coalesce("component", "node").alias("root")))
+    torn = saved(rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
+    rest = saved(_edges_between(rooted.join(torn, "k", "left_semi").select("node", "root").distinct(), sets))
     if not rest.isEmpty():
         found = connected_components(edges.union(rest), "a", "b")
-    grouped = alike.join(found.withColumnsRenamed({"node": "rep", "component": "keeper"}), "rep", "left").where("keeper IS NOT NULL OR copies > 1")
-    return sketches.select("id", "digest").join(grouped.select("digest", F.coalesce("keeper", "rep").alias("keeper")), "digest").select("id", "keeper")
-
-
-def _id_of(id_col: str, text_col: str) -> Column:
-    made = -F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 1) - 1
-    return F.coalesce(F.col(id_col).cast("long"), made)
+    grouped = alike.join(found, "node", "left").where("component IS NOT NULL OR copies > 1")
+    grouped = saved(grouped.select("digest", "at", F.coalesce("component", "node").alias("root")))
+    keepers = saved(grouped.groupBy("root").agg(F.min("at").alias("keeper")))
+    stays = grouped.join(keepers, "root").select("digest", F.col("keeper.id").alias("keeper"), F.col("keeper.key").alias("keeper_key"))
+    return sketches.select("id", "key", "digest").join(stays, "digest").drop("digest")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one of each group of near copies stays: the one with the smallest id. Of rows that
-    share an id, one stays too. Null and blank texts are copies of each other."""
-    own = docs.withColumn("_id", _id_of(id_col, text_col))
-    gone = saved(copy_groups(docs, id_col, text_col).where("id <> keeper").select(F.col("id").alias("_id")).distinct())
-    rest = own.join(gone.hint("merge"), "_id", "left_anti")  # the list grows with the input: one plan for all sizes
-    again = saved(own.groupBy("_id").count().where("count > 1").select("_id"))
+    """The rows of docs of which one of each group of near copies stays: the one with the smallest id.
+
+    Null, empty and blank texts are copies of each other; texts of fewer than five words are alike if all their words
+    are. Rows are told apart by id and text, so different texts under one id are judged each for itself; of rows equal
+    in both, one stays. Null ids come last. An empty table gives an empty one. Texts of any length are taken whole; other
+    columns are passed on, those named _id and _key excepted, which must not exist.
+    """
+    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.col(text_col).cast("string"))})
+    members = saved(copy_groups(docs, id_col, text_col))
+    stays = F.col("id").eqNullSafe(F.col("keeper")) & (F.col("key") == F.col("keeper_key"))
+    gone = members.where(~stays).select("id", "key").distinct()
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))
+    # the list grows with the input: one plan for all sizes
+    rest = own.join(saved(gone).hint("merge"), same, "left_anti")
+    again = saved(members.where(stays).groupBy("id", "key").count().where("count > 1").select("id", "key"))
     if again.isEmpty():
-        return rest.drop("_id")
-    once = rest.join(again, "_id", "left_semi").dropDuplicates(["_id"])
-    return rest.join(again, "_id", "left_anti").unionByName(once).drop("_id")
+        return rest.drop("_id", "_key")
+    once = rest.join(again, same, "left_semi").dropDuplicates(["_id", "_key"])
+    return rest.join(again, same, "left_anti").unionByName(once).drop("_id", "_key")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
