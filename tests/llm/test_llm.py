@@ -61,28 +61,48 @@ def test_quality(odd, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def brute_repeats(rows):
+    """Rows (id, text) as the operator should leave them, sorted."""
+    want = substring_dedup.brute_force(rows)
+    return sorted(((d is None, d, gone, sha) for (d, _), (_, gone, sha) in zip(rows, want, strict=True)), key=repr)
+
+
+def left_repeats(rows, df):
+    """What is left of the rows of df, after without_repeats(), in the same form."""
+    n_words = lambda t: len(substring_dedup.split_words(t))
+    before, out = sorted(rows, key=repr), []
+    texts = {(r["_p"]): r["text"] for r in substring_dedup.without_repeats(df).collect()}
+    for p, (d, t) in enumerate(rows):
+        out.append((d is None, d, n_words(t) - n_words(texts[p]), hashlib.sha256(b" ".join(substring_dedup.split_words(texts[p]))).hexdigest()))
+    assert len(texts) == len(before)
+    return sorted(out, key=repr)
+
+
 def test_substring_dedup(spark, odd, empty):
-    rows = {r["doc_id"]: r["text"] for r in odd.where("doc_id IS NOT NULL").collect()}
-    want = substring_dedup.brute_force(list(rows.items()))
-    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(odd).collect()}
-    assert set(got) == {d for d, (_, gone, _) in want.items() if gone}
-    for d, r in got.items():
-        assert sum(x["end"] - x["start"] for x in r["intervals"]) == want[d][1]
-        assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == want[d][2]
-    assert substring_dedup.without_repeats(odd).count() == odd.count()
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    df = spark.createDataFrame([(p, d, t) for p, (d, t) in enumerate(rows)], "_p int, doc_id long, text string")
+    assert left_repeats(rows, df) == brute_repeats(rows)
+    assert substring_dedup.without_repeats(odd).columns == odd.columns and substring_dedup.without_repeats(odd).count() == odd.count()
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_substring_dedup_of_texts_under_one_id(spark):
+    """Several texts of one id, a repeated row and rows without an id: each is judged for itself."""
+    p, q, r = (" ".join(words(70, 300 + i, 5000)) for i in range(3))
+    rows = [(1, p), (5, p + " its tail"), (5, q), (5, q + " and " + r), (7, r), (7, r), (8, "x " + q), (None, p), (None, q)]
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "_p int, doc_id long, text string")
+    assert left_repeats(rows, df) == brute_repeats(rows)
+
+
 def test_substring_dedup_overlaps(spark):
     base = words(300, 5)
     rng = random.Random(6)
     rows = []
     for i in range(60):
         a, n = rng.randrange(250), rng.randrange(30, 200)
-        rows.append((i, " ".join(words(rng.randrange(20), i) + base[a : a + n] + words(rng.randrange(20), 900 + i))))
-    want = substring_dedup.brute_force(rows)
-    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {d: hashlib.sha256(r["kept_text"].encode()).hexdigest() for d, r in got.items()} == {d: w[2] for d, w in want.items() if w[1]}
+        rows.append((i // 2, " ".join(words(rng.randrange(20), i) + base[a : a + n] + words(rng.randrange(20), 900 + i))))
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "_p int, doc_id long, text string")
+    assert left_repeats(rows, df) == brute_repeats(rows)
 
 
 def _plain(pattern, text, keep):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
@@ -80,11 +80,11 @@ def split_words(text: str | None) -> list[bytes]:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     ids, hashes, size = [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0), batch.column(1), strict=True):
+        for i, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             words = split_words(text.as_py())
             if len(words) < WINDOW:
                 continue
-            ids.append(i.as_py())
+            ids.append((i.as_py(), key.as_py()))
             hashes.append(word_hashes(words))
             size += len(words)
             if size >= CHUNK_WORDS:
@@ -106,7 +106,7 @@ def _anchored(hashes: list[np.ndarray]):
     return at, doc, anchors[at], ends - counts, rolling
 
 
-RUNS = "anchor long, run long, doc_id long, start int, n int"
+RUNS = "anchor long, run long, doc_id long, key long, start int, n int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +118,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = at[head]
         run = rolling.spans(start, start + n + WINDOW - 1)
         own = doc[head]
+        doc_id, key = np.array(ids, np.int64)[own].T
         yield pa.RecordBatch.from_arrays([
-            pa.array(anchor[head].view(np.int64)), pa.array(run.view(np.int64)), pa.array(np.array(ids, np.int64)[own]),
+            pa.array(anchor[head].view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc_id), pa.array(key),
             pa.array((start - first[own]).astype(np.int32)), pa.array(n.astype(np.int32)),
-        ], names=["anchor", "run", "doc_id", "start", "n"])
+        ], names=["anchor", "run", "doc_id", "key", "start", "n"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for a lighter exchange."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], names=["doc_id", "packed"])
+        packed = pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", "key", "packed"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
@@ -139,16 +141,16 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[by
             yield row, press.decompress(batch.column(batch.schema.get_field_index("packed"))[i].as_py()).split()
 
 
-WINDOWS = "anchor long, hash long, doc_id long, at int"
+WINDOWS = "anchor long, hash long, doc_id long, key long, at int"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the runs named in column `open`, one row each."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     size = 0
 
     def flushed():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "hash", "doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "hash", "doc_id", "key", "at"])
 
     for row, words in _unpacked(batches):
         if len(words) < WINDOW:
@@ -157,23 +159,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = rolling.windows(WINDOW)
         at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in row["open"]])
         at = np.unique(at[at < len(full)])
-        for k, x in enumerate((anchor[at].view(np.int64), full[at].view(np.int64), np.full(len(at), row["doc_id"], np.int64), at.astype(np.int32))):
+        for k, x in enumerate((anchor[at].view(np.int64), full[at].view(np.int64), np.full(len(at), row["doc_id"], np.int64), np.full(len(at), row["key"], np.int64), at.astype(np.int32))):
             out[k].append(x)
         size += len(at)
         if size >= CHUNK_WORDS:
             yield flushed()
-            out, size = [[], [], [], []], 0
+            out, size = [[], [], [], [], []], 0
     if size:
         yield flushed()
 
 
-CHANGED = "doc_id long, intervals array<struct<start:int,end:int>>, kept_text string"
+CHANGED = "doc_id long, key long, intervals array<struct<start:int,end:int>>, kept_text string"
 
 
 def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed windows merged into maximal intervals of words, and the words that stay."""
     rows, size = [], 0
-    kind = pa.schema([("doc_id", pa.int64()), ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
+    kind = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
     for row, words in _unpacked(batches):
         edge = np.zeros(len(words) + 1, np.int64)
         starts = [np.arange(r["start"], r["start"] + r["n"]) for r in row["whole"] or ()] + [np.array(row["single"] or [], np.int64)]
@@ -184,7 +186,7 @@ def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.cumsum(edge[:-1]) > 0
         turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
         kept = b" ".join([words[i] for i in np.flatnonzero(~gone)]).decode()
-        rows.append({"doc_id": row["doc_id"], "intervals": [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)], "kept_text": kept})
+        rows.append({"doc_id": row["doc_id"], "key": row["key"], "intervals": [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)], "kept_text": kept})
         size += len(kept)
         if size > 1_000_000:
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
@@ -193,49 +195,57 @@ def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
 
+def _key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, intervals, kept_text) of every document that loses words; intervals are of words, end exclusive.
+    """(doc_id, key, intervals, kept_text) of every document that loses words; key is a hash of the text, intervals are
+    of words, end exclusive.
 
-    Null and short texts, and rows without an id, lose nothing and take nothing from others. Rows that share an id
-    count as one document: they don't remove each other's words. An empty table gives an empty result.
+    A row is told apart by its id and text. Null and short texts, and rows without an id, lose nothing and take nothing
+    from others. Rows that share an id never remove each other's words, whether their texts are the same or not; rows
+    equal in both give one row here. An empty table gives an empty result. Texts of any length are taken whole, other
+    columns are ignored.
     """
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    runs = own.mapInArrow(_runs, RUNS)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    runs = saved(own.mapInArrow(_runs, RUNS))
     # an anchor in one document only can't hold a repeated window
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("run").alias("run_lo"), F.max("run").alias("run_hi"))
-    anchors = anchors.where("lo < hi").select("anchor", (F.col("run_lo") < F.col("run_hi")).alias("mixed"))
+    # saved, here and below, so that the join deals both sides itself and can split a key that very many documents hold
+    anchors = saved(anchors.where("lo < hi").select("anchor", (F.col("run_lo") < F.col("run_hi")).alias("mixed")))
     shared = saved(runs.join(anchors, "anchor"))
     first = shared.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"))
     marked = shared.join(saved(first), ["anchor", "run"]).withColumn("later", F.col("doc_id") > F.col("first")).where("later OR mixed")
     piece = F.struct("start", "n")
-    by_doc = saved(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("later"), piece)).alias("whole"), F.collect_list(F.when(~F.col("later"), piece)).alias("open")))
-    texts = saved(own.mapInArrow(_packed, "doc_id long, packed binary").join(by_doc, "doc_id"))
-    opened = saved(texts.where(F.size("open") > 0).select("doc_id", "packed", "open").mapInArrow(_windows, WINDOWS))
-    # saved, so that the join deals both sides itself and can split a window that very many documents hold
+    row = ["doc_id", "key"]
+    by_doc = saved(marked.groupBy(*row).agg(F.collect_set(F.when(F.col("later"), piece)).alias("whole"), F.collect_set(F.when(~F.col("later"), piece)).alias("open")))
+    texts = saved(own.mapInArrow(_packed, "doc_id long, key long, packed binary").join(by_doc, row).dropDuplicates(row))
+    opened = saved(texts.where(F.size("open") > 0).select(*row, "packed", "open").mapInArrow(_windows, WINDOWS))
     earliest = saved(opened.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
-    single = opened.join(earliest, ["anchor", "hash"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("single"))
-    found = texts.select("doc_id", "packed", "whole").join(single, "doc_id", "left").where("size(whole) > 0 OR single IS NOT NULL")
+    single = opened.join(earliest, ["anchor", "hash"]).where("doc_id > first").groupBy(*row).agg(F.collect_set("at").alias("single"))
+    found = texts.select(*row, "packed", "whole").join(single, row, "left").where("size(whole) > 0 OR single IS NOT NULL")
     return found.mapInArrow(_changed, CHANGED)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text replaced by the words that stay, joined by one space, in the documents that lose words."""
-    changed = repeated_passages(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id"])
-    out = docs.join(changed, docs[id_col] == F.col("_id"), "left")
-    return out.withColumn(text_col, F.coalesce("_kept", text_col)).drop("_id", "_kept")
+    changed = repeated_passages(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept_text").alias("_kept"))
+    out = docs.join(changed, (F.col(id_col).cast("long") == F.col("_id")) & (_key(text_col) == F.col("_key")), "left")
+    return out.withColumn(text_col, F.coalesce("_kept", text_col)).drop("_id", "_key", "_kept")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     changed = repeated_passages(docs).select(
-        "doc_id",
+        "doc_id", "key",
         F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_gone"),
         F.sha2("kept_text", 256).alias("sha_left"),
-    ).dropDuplicates(["doc_id"])
+    )
     words = words_of(F.col("text"))
-    whole = docs.select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("sha_whole"))
-    return whole.join(changed, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_gone", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha_left", "sha_whole").alias("kept_sha256"))
+    whole = docs.select("doc_id", _key("text").alias("key"), F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("sha_whole"))
+    return whole.join(changed, ["doc_id", "key"], "left").select("doc_id", "n_words", F.coalesce("n_gone", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha_left", "sha_whole").alias("kept_sha256"))
 
 
 ORACLE = rf"""
@@ -251,16 +261,17 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
-def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """For tests: doc_id to (n_words, n_removed, sha256 of what stays)."""
+def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int, int, str]]:
+    """For tests: of each row (n_words, n_removed, sha256 of what stays)."""
     first: dict[tuple, int] = {}
-    split = {d: [w.decode() for w in split_words(t)] for d, t in rows}
-    for d, w in split.items():
-        for i in range(len(w) - window + 1):
+    split = [[w.decode() for w in split_words(t)] for _, t in rows]
+    for (d, _), w in zip(rows, split, strict=True):
+        for i in range(len(w) - window + 1 if d is not None else 0):
             key = tuple(w[i : i + window])
             first[key] = min(d, first.get(key, d))
-    out = {}
-    for d, w in split.items():
-        gone = {i + k for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < d for k in range(window)}
-        out[d] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    out = []
+    for (d, _), w in zip(rows, split, strict=True):
+        starts = [i for i in range(len(w) - window + 1) if d is not None and first[tuple(w[i : i + window])] < d]
+        gone = {i + k for i in starts for k in range(window)}
+        out.append((len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
     return out
