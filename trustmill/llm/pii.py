@@ -1,9 +1,10 @@
 """PII: pattern rules for four kinds of identifiers, and bootstrapped contextual extraction of unseen ones.
 
-The rules' matches are seeds. Every identifier-shaped token (one with digits in it) has a lexical pattern: the two
-words to its left. Tokens and patterns form a graph over the whole corpus, and scores pass back and forth over its
-edges: a pattern is as good as the share of its distinct instances that are known, an instance as the patterns that
-vouch for it. Patterns with many instances, several of them seeds, and a high final score discover further tokens.
+The rules' matches are seeds. Every identifier-shaped token (one with digits in it) has lexical patterns: the words to
+its left, to its right, and on both sides. Tokens and patterns form a graph over the whole corpus, and scores pass back
+and forth over its edges: a pattern is as good as the share of its distinct instances that are known, an instance as the
+patterns that vouch for it. Instances of accepted patterns are known in the next round and so induce further patterns,
+until none is added. What accepted patterns hold, and no rule has, is discovered.
 """
 
 from __future__ import annotations
@@ -45,50 +46,75 @@ BASE = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", None, _is_card),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda s: F.length(_digits(s)).between(8, 15)),
 ]
-#: Tokens of six characters or more that hold a digit.
-TOKEN = Kind("token", r"(?<![A-Za-z0-9@#._:/+-])(?=[A-Za-z@#._:/+-]*+[0-9])[A-Za-z0-9@#._:/+-]{6,}+")
+#: Tokens of six characters or more that hold a digit, with the text around them.
+TOKEN = Kind("token", r"(?<![A-Za-z0-9@#._:/+-])(?=[A-Za-z@#._:/+-]*+[0-9])[A-Za-z0-9@#._:/+-]{6,}+", context=80)
 CONTEXT = "context"
 SPANS = "array<struct<rank:int,kind:string,start:int,end:int,value:string>>"
-ROUNDS, MIN_INSTANCES, MIN_SEEDS, MIN_SCORE, MIN_DIGITS = 3, 20, 10, 0.8, 4
+#: A pattern needs so many distinct instances, so many of them known, and such a score; a discovered token, such digits.
+ROUNDS, MIN_INSTANCES, MIN_KNOWN, MIN_SCORE, MIN_DIGITS = 6, 20, 10, 0.8, 4
+
+
+def patterns_of(before: Column, after: Column) -> Column:
+    """The lexical patterns of a token between two texts: the two words to its left, the two to its right, and the one
+    on each side; lower-cased, digits as #. A side without words has none."""
+    clean = lambda x: F.regexp_replace(F.lower(x), "[0-9]", "#")
+    words = lambda x: F.array_remove(F.split(clean(x), r"[\x20\x09-\x0D]+"), "")
+    left, right = words(before), words(after)
+    near_left, near_right = F.slice(left, F.greatest(F.lit(1), F.size(left) - 1), F.lit(2)), F.slice(right, F.lit(1), F.lit(2))
+    one_left, one_right = F.slice(left, F.greatest(F.lit(1), F.size(left)), F.lit(1)), F.slice(right, F.lit(1), F.lit(1))
+    made = F.array(
+        F.when(F.size(left) > 0, F.concat(F.array_join(near_left, " "), F.lit(" _"))),
+        F.when(F.size(right) > 0, F.concat(F.lit("_ "), F.array_join(near_right, " "))),
+        F.when((F.size(left) > 0) & (F.size(right) > 0), F.concat(F.array_join(one_left, " "), F.lit(" _ "), F.array_join(one_right, " "))),
+    )
+    return F.filter(made, lambda p: p.isNotNull())
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, base, tokens): the rules' spans, and all tokens with their pattern and whether a rule has them."""
+    """(doc_id, text_key, base, tokens): the rules' spans, and all tokens with their patterns and whether a rule has them."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = with_spans(own, BASE)
     own = with_spans(own, [TOKEN]).withColumn("base", merged(BASE))
 
     def token(s: Column) -> Column:
-        left = F.split(F.rtrim(F.lower(F.right(F.substring("text", F.greatest(F.lit(1), s["start"] - 79), F.least(s["start"], F.lit(80))), F.lit(80)))), r"[\x20\x09-\x0D]+")
-        pattern = F.concat_ws(" ", F.slice(left, F.greatest(F.lit(1), F.size(left) - 1), F.lit(2)))
         known = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("instance"), F.length(_digits(s)).alias("digits"), F.regexp_replace(pattern, "[0-9]", "#").alias("pattern"), known.alias("known"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("instance"), F.length(_digits(s)).alias("digits"), patterns_of(s["before"], s["after"]).alias("patterns"), known.alias("known"))
 
     return own.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.transform("_spans_token", token).alias("tokens"))
 
 
 def good_patterns(edges: DataFrame) -> DataFrame:
-    """(pattern): of edges (pattern, instance, known), those that identify; scores over ROUNDS passes of the graph."""
-    edges = saved(edges.groupBy("pattern", "instance").agg(F.max("known").alias("known")))
-    scores = edges.groupBy("instance").agg(F.max("known").cast("double").alias("score"))
+    """(pattern, pattern_score): of edges (pattern, instance, known), those that identify.
+
+    Known instances are certain. In each round a pattern scores the certainty of its distinct instances, summed, over
+    their number plus one; patterns above the thresholds vouch for all their instances, which are then as certain as
+    those patterns together make them, and so count as known in further patterns. Rounds end when no pattern is added.
+    """
+    pairs = saved(edges.groupBy("pattern", "instance").agg(F.max("known").cast("double").alias("seed")))
+    # a pattern with fewer instances can't ever be accepted
+    sizes = saved(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_INSTANCES))
+    pairs = saved(pairs.join(sizes, "pattern"))
+    scores = saved(pairs.groupBy("instance").agg(F.max("seed").alias("score")))
+    before = 0
     for _ in range(ROUNDS):
-        rated = edges.join(scores, "instance").groupBy("pattern").agg(
-            F.sum("score").alias("good"), F.count("*").alias("n"), F.sum(F.col("known").cast("long")).alias("seeds")
-        )
-        rated = saved(rated.withColumn("pattern_score", F.col("good") / (F.col("n") + 1)))
-        # a seed stays certain; another instance is doubted by all its patterns at once
-        doubt = F.sum(F.log1p(-F.least(F.col("pattern_score"), F.lit(0.999))))
-        scores = edges.join(rated.select("pattern", "pattern_score"), "pattern").groupBy("instance").agg(
-            F.greatest(F.max("known").cast("double"), 1 - F.exp(doubt)).alias("score")
-        )
-    return rated.where((F.col("n") >= MIN_INSTANCES) & (F.col("seeds") >= MIN_SEEDS) & (F.col("pattern_score") >= MIN_SCORE)).select("pattern")
+        rated = pairs.join(scores, "instance").groupBy("pattern", "n").agg(F.sum("score").alias("good"), F.count_if(F.col("score") > 0).alias("known"))
+        rated = rated.select("pattern", "known", (F.col("good") / (F.col("n") + 1)).alias("pattern_score"))
+        good = saved(rated.where((F.col("known") >= MIN_KNOWN) & (F.col("pattern_score") >= MIN_SCORE)).select("pattern", "pattern_score"))
+        if (now := good.count()) == before:
+            break
+        before = now
+        vouched = F.when(F.col("pattern_score").isNotNull(), F.log1p(-F.least(F.col("pattern_score"), F.lit(0.999))))
+        doubt = F.coalesce(F.sum(vouched), F.lit(0.0))
+        scores = saved(pairs.join(good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score")))
+    return good
 
 
 def discovered(spans: DataFrame) -> DataFrame:
     """(doc_id, text_key, context): spans that good patterns find and no rule has, from the table of marked()."""
     tokens = spans.select("doc_id", "text_key", F.inline("tokens"))
-    good = saved(good_patterns(tokens.select("pattern", "instance", "known")))
-    fresh = tokens.where(~F.col("known") & (F.col("digits") >= MIN_DIGITS)).join(good, "pattern")
+    edges = tokens.select("doc_id", "text_key", "start", "end", "digits", "known", "instance", F.explode("patterns").alias("pattern"))
+    good = good_patterns(edges.select("pattern", "instance", "known")).select("pattern")
+    fresh = edges.where(~F.col("known") & (F.col("digits") >= MIN_DIGITS)).join(good, "pattern")
     return fresh.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(F.lit(len(BASE)).alias("rank"), F.lit(CONTEXT).alias("kind"), "start", "end", F.lit("").alias("value"))).alias("context"))
 
 
@@ -99,14 +125,17 @@ def _joined(left: DataFrame, context: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, all): spans by rules, and with those that contexts add. One row per row of docs; a null or empty
-    text has none; null ids and repeated rows are kept, and repeated rows have the same spans."""
+    text has none; null ids and repeated rows are kept, and repeated rows have the same spans. Texts of any length are
+    taken whole. An empty table gives an empty one; other columns are ignored."""
     spans = saved(marked(docs, id_col, text_col))
     out = _joined(spans, discovered(spans))
     return out.select("doc_id", "base", F.concat("base", F.coalesce("context", F.array().cast(SPANS))).alias("all"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of personal data in the text replaced by its kind, such as <EMAIL>. Null texts stay null.
+    """docs with every span of personal data in the text replaced by its kind, such as <EMAIL>. Null texts stay null;
+    repeated rows are redacted alike; overlapping spans count as one, of the kind that starts first. An empty table gives
+    an empty one; other columns are passed on, those whose names begin with an underscore excepted, which must not exist.
 
     The rules' spans are found where the text is; only spans that contexts add come from elsewhere, by a join.
     """

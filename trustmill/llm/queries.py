@@ -24,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_quality_rules": quality.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_secret_scan": secrets.ORACLE,
 }

@@ -7,18 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
-
 
 @dataclass(frozen=True)
 class Kind:
     """pattern: a Java regular expression without zero-width matches. trigger: a literal that every match holds, or none.
-    guard: a cheaper expression that every text with a match satisfies. keep: column test on a match; failing ones go."""
+    keep: column test on a match; failing ones go. context: so many characters of each side are kept with a match, not
+    beyond the matches next to it."""
 
     name: str
     pattern: str
     trigger: str | None = None
     keep: object = None
+    context: int = 0
 
 
 def with_spans(df: DataFrame, kinds: list[Kind], text: str = "text") -> DataFrame:
@@ -36,26 +36,42 @@ def with_spans(df: DataFrame, kinds: list[Kind], text: str = "text") -> DataFram
             f"_gaps_{k.name}": F.when(maybe, F.split(text, k.pattern, -1)).otherwise(empty),
             f"_found_{k.name}": F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(k.pattern), 0)).otherwise(empty),
         })
-    spans = {f"_spans_{k.name}": _placed(F.col(f"_gaps_{k.name}"), F.col(f"_found_{k.name}")) for k in kinds}
-    df = df.withColumns(spans).drop(*[f"_{a}_{k.name}" for k in kinds for a in ("gaps", "found")])
+    df = df.withColumns({f"_starts_{k.name}": _starts(F.col(f"_gaps_{k.name}"), F.col(f"_found_{k.name}")) for k in kinds})
+    spans = {f"_spans_{k.name}": _placed(k) for k in kinds}
+    df = df.withColumns(spans).drop(*[f"_{a}_{k.name}" for k in kinds for a in ("gaps", "found", "starts")])
     return df.withColumns({f"_spans_{k.name}": F.filter(f"_spans_{k.name}", k.keep) for k in kinds if k.keep is not None})
 
 
-def _placed(gaps: Column, found: Column) -> Column:
-    """Matches with their offsets, from the matches and the text between them."""
+def _starts(gaps: Column, found: Column) -> Column:
+    """Where the matches start, from the matches and the text between them. The fold carries plain numbers only: it
+    copies 4 bytes per earlier match and step."""
     # gaps is read twice on purpose: a column read once may be inlined, and then runs once per match
     n = F.least(F.size(gaps), F.size(found))
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value")))).alias("out"))
+        return F.struct((start + F.length(F.get(found, i))).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
-    none = F.array().cast(SPAN)
+    none = F.array().cast("array<int>")
     seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), seed, step, lambda a: a["out"])).otherwise(none)
 
 
+def _placed(k: Kind) -> Column:
+    found, gaps, none = F.col(f"_found_{k.name}"), F.col(f"_gaps_{k.name}"), F.lit("")
+
+    def span(start: Column, i: Column) -> Column:
+        value = F.get(found, i)
+        out = [start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")]
+        if k.context:
+            before = F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(none), F.get(gaps, i))
+            after = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), none))
+            out += [F.right(before, F.lit(k.context)).alias("before"), F.left(after, F.lit(k.context)).alias("after")]
+        return F.struct(*out)
+
+    return F.transform(f"_starts_{k.name}", span)
+
+
 def of_rank(spans: Column | str, i: int) -> Column:
     return F.filter(spans, lambda s: s["rank"] == i)
 
