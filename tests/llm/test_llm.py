@@ -54,6 +54,59 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.limit(0), url_filter.BASE_RULES).count() == 0
 
 
+def glob_regex(text):
+    body = text.removeprefix("||")
+    glob = "".join({"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|\Z)"}.get(c, re.escape(c)) for c in body)
+    return re.compile((r"\A(?:[^/]*\.)?" if body != text else "") + glob, re.DOTALL)
+
+
+def brute_verdict(url, rules, globs, default="allow"):
+    """By trying every rule: host/path rules by comparing strings, globs by an expression of their own."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    head = re.match(r"[^/?#]*", rest).group()
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in head)
+    path = re.match(r"[^?#]*", rest[len(head) :]).group()
+    best = None
+    for r in rules:
+        if r.is_glob:
+            fits = globs[r.text].search(host + path)
+        else:
+            name, _, start = r.text.partition("/")
+            fits = (host == name or host.endswith("." + name)) and path.startswith("/" + start)
+        if fits:
+            best = max(best or (-1,), (int(not r.is_glob), len(r.text), r.text, r.action))
+    return host, path, best[2] if best and best[0] else None, best[3] if best else default
+
+
+def many_rules(n):
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 6)))
+    rules = {}
+    while len(rules) < n:
+        kind = rng.randrange(10)
+        text = f"{name()}.{name()}/{name()}/" if kind < 6 else f"{name()}/" if kind < 7 else f"||{name()}." if kind < 8 else f"/{name()}*{name()}^"
+        rules[text] = url_filter.Rule(rng.choice(["allow", "block"]), text, kind >= 7)
+    rules = list(rules.values()) + [url_filter.Rule("allow", "*zzz*", True), url_filter.Rule("allow", "aa/b/"), url_filter.Rule("block", "aa/b/"), url_filter.Rule("block", "aa/c/")]
+    urls = [f"http://{r.text.replace('|', '').replace('*', name()).replace('^', '/')}{name()}" for r in rng.choices(rules, k=300)]
+    urls += [f"x://{name()}.{name()}.{name()}/{name()}/{name()}?{name()}" for _ in range(300)] + ["http://q/zzz", "http://aa/b/", "http://b.AA/b/c", None, "", "://", "x://h#/casino/"]
+    return rules, urls + ["http://" + "a." * 2000 + "b/" + "c/" * 2000]
+
+
+@pytest.mark.parametrize("n", [40, 900, 50_000])
+def test_url_rules_equal_brute_force(spark, n):
+    """The inline index and, beyond its size, the joined one; ties by text, then block."""
+    rules, urls = many_rules(n)
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls[:3])], "page_id long, url string, rule string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()}
+    globs = {r.text: glob_regex(r.text) for r in rules if r.is_glob}
+    some = range(len(urls)) if n < 50_000 else [*range(0, len(urls), 20), *range(len(urls) - 6, len(urls))]
+    assert len(got) == len(urls) and [i for i in some if got[i] != brute_verdict(urls[i], rules, globs)] == []
+    assert len({v for *_, v in got.values()}) == 2 and url_filter.judge_urls(df.limit(0), rules).count() == 0
+    fullest = max(map(len, url_filter.rule_index(rules)[0]))
+    assert fullest < 10 + len(rules) / 40  # rules share tokens, but buckets don't pile up
+    assert {r["verdict"] for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
+
+
 def test_quality(odd, empty):
     out = {r["doc_id"]: r for r in quality.quality_rules(odd).collect()}
     assert out[0]["n_words"] == 0 and out[0]["base_failed"] and not out[0]["kept"]
