@@ -365,6 +365,45 @@ def test_sharding(spark, odd, empty):
     assert sharding.shuffle_to_shards(empty.drop("shard"), 7).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "part_rows"), [(30_000, 8192), (4000, 100)])
+def test_sharding_in_blocks_and_pieces(spark, monkeypatch, rows, part_rows):
+    """Several blocks and several pieces a shard: exact sizes, gapless slots, and shuffled: neither the shard nor the
+    slot follows the place in the input."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    df = spark.range(rows).withColumns({"shard": F.lit("clash"), "slot": F.lit(1.5)})
+    out = sharding.shuffle_to_shards(df, 7, seed=3).toPandas()
+    assert sorted(out["id"]) == list(range(rows)) and sharding.parts(rows) > 1
+    sizes = out.groupby("shard").size()
+    assert len(sizes) == 7 and sizes.max() - sizes.min() <= 1
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    fine = out.groupby([out["id"] * 10 // rows, "shard"]).size()
+    expected = rows / 70
+    assert ((fine - expected) ** 2 / expected).sum() < 54 + 5 * 104**0.5 and abs(np.corrcoef(out["id"], out["slot"])[0, 1]) < 5 / rows**0.5
+
+
+def test_sharding_marginals():
+    """Over many matrices each entry has the mean and variance of the hypergeometric law, and shards with one row more
+    are drawn evenly."""
+    m = np.array([sharding.communication_matrix([20, 30, 52], 4, s) for s in range(3000)])
+    assert set(m.sum(axis=1).ravel()) == {25, 26} and (m.sum(axis=2) == [20, 30, 52]).all()
+    assert np.abs(m[:, 0].mean(axis=0) - 5).max() < 0.2 and np.abs(m[:, 0].var(axis=0) - 20 * 0.25 * 0.75 * 82 / 101).max() < 0.35
+    assert np.abs((m.sum(axis=1) == 26).mean(axis=0) - 0.5).max() < 0.05
+
+
+def test_sharding_query(spark, odd, tmp_path):
+    """The query's own columns on odd rows and copies, against plain Python."""
+    import zlib
+
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] * 40
+    got = sharding.op5_sharding(spark, written(spark, rows, tmp_path)).collect()
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(((d, len(t) + 8, zlib.crc32(t)) for d, t in raw), key=repr)
+    assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    sizes = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(24)}
+    assert all(v == list(range(len(v))) for v in sizes.values()) and max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     x = np.array([sharding.hypergeometric(rng, 30, 70, 20) for _ in range(20_000)])
@@ -387,6 +426,8 @@ def test_sentencepiece(spark, odd, empty):
     texts = ["".join(rng.choice("abeinorst  .1é中\n𝄞") for _ in range(rng.randrange(40))) for _ in range(400)]
     assert [x.tolist() for x in codec.encode(texts)] == library.encode(texts)
     assert sentencepiece_codec.digests(empty).count() == 0
+    unbroken = "中文a" * 300
+    assert codec.encode([unbroken])[0].tolist() == library.encode(unbroken)
 
 
 def test_language_id(spark, empty):
@@ -406,6 +447,15 @@ def test_language_id(spark, empty):
     assert np.allclose(slow, language_id.probabilities(net, language_id.pair_tables(net), x), atol=1e-4)
 
 
+def test_language_id_on_odd_rows_and_many_languages(spark, odd):
+    net = language_id.trained(language_id.training_sample(odd, F.lit(True)), epochs=1)
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predicted(odd, net).collect()}
+    assert out[0] == out[1] == out[2] == ("und", 0.0) and out[3][0] == "en" and all(0 <= s <= 1 for _, s in out.values())
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.col("id") % 500).alias("lang"))
+    sample = language_id.training_sample(many, F.lit(True))
+    assert len({lang for _, lang in sample}) == 500
+
+
 def test_language_id_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     sample = language_id.training_sample(docs, F.lit(True))

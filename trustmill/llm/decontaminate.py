@@ -53,6 +53,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(doc_id, text_key, item_id): which document holds which item, once each.
 
     Null and empty texts on either side hold nothing. Null ids are kept (null-safe joins); repeated rows give one row.
+    Texts of any length are searched whole; an empty table on either side gives an empty one; other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens_of(F.col(item_text)).alias("tokens"))
     lengths = items.select(F.least(F.size("tokens"), F.lit(REACH)).alias("n")).distinct().collect()
@@ -93,7 +94,8 @@ def _keyed(docs: DataFrame, found: DataFrame, how: str, id_col: str, text_col: s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item."""
+    """The rows of docs that hold no item; repeated rows go or stay together. Other columns are passed on; none may be
+    named _id, _key, _id2 or _key2."""
     found = saved(overlaps(docs, benchmark, id_col, text_col).select("doc_id", "text_key").distinct())
     return _keyed(docs, found, "left_anti", id_col, text_col)
 

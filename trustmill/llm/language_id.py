@@ -20,14 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustmill.functions.storage import saved
 from trustmill.llm.common import small_batches, table
 
 WINDOW = 256
 FILTERS = 24
 WIDTHS = (2, 4)
-#: The bound of the training sample: rows per language, pieces per row, and languages (the most frequent ones). The first
-#: piece of a row is as long as a window, the others have lengths from SHORTEST characters on.
-SAMPLE_PER_LANG, PIECES_PER_ROW, MAX_LANGS, SHORTEST = 400, 3, 200, 12
+#: The bound of the training sample: rows per language, pieces per row, and rows in all; of so many languages that the
+#: last bound binds, each has fewer rows, but none is left out. The first piece of a row is as long as a window, the
+#: others have lengths from SHORTEST characters on.
+SAMPLE_PER_LANG, PIECES_PER_ROW, SAMPLE_ROWS, SHORTEST = 400, 3, 80_000, 12
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
 
@@ -165,13 +167,15 @@ def classify(net: Network, tables, texts: list[str | None]) -> list[tuple[str, f
 
 
 def training_sample(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """(piece, language): PIECES_PER_ROW pieces of at most SAMPLE_PER_LANG rows of each of MAX_LANGS languages. Rows, and
-    the places of pieces in the whole texts, are drawn by hashes of id and text."""
+    """(piece, language): PIECES_PER_ROW pieces of at most SAMPLE_PER_LANG rows of each language. Rows, and the places of
+    pieces in the whole texts, are drawn by hashes of id and text. Rows without a label or without a letter teach
+    nothing; without any other, the sample is empty."""
     rows = docs.where(usable).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    counts = saved(rows.groupBy("lang").count())
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, counts.count())))
     # the hash thins each language to about four times its sample before anything is ranked
-    rows = rows.join(F.broadcast(top), "lang").where(F.pmod("draw", "count") < 4 * SAMPLE_PER_LANG)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("draw"), "text"))).where(F.col("rank") <= SAMPLE_PER_LANG)
+    rows = rows.join(counts, "lang").where(F.pmod("draw", "count") < 4 * each)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("draw"), "text"))).where(F.col("rank") <= each)
     size = lambda k: F.lit(WINDOW) if k == 0 else SHORTEST + F.pmod(F.xxhash64("draw", F.lit(2 * k)), F.lit(WINDOW - SHORTEST))
     start = lambda k: 1 + F.pmod(F.xxhash64("draw", F.lit(2 * k + 1)), F.greatest(F.lit(1), F.length("text") - size(k) + 1))
     pieces = F.array_distinct(F.array(*[F.substring("text", start(k).cast("int"), size(k).cast("int")) for k in range(PIECES_PER_ROW)]))
@@ -180,8 +184,10 @@ def training_sample(docs: DataFrame, usable, text_col: str = "text", lang_col: s
 
 
 def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred and score. A null text, or one without a letter, is `und` with score 0; so is every text if
-    nothing was there to learn from. Columns of these names are replaced."""
+    """docs plus lang_pred and score. A null or empty text, or one without a letter, is `und` with score 0; so is every
+    text if nothing was there to learn from. Of languages with equal scores the first by name is taken. Texts of any
+    length are read whole; repeated rows are judged alike; an empty table gives an empty one. Columns of these names are
+    replaced, others passed on; none may be named _judged."""
     spark = docs.sparkSession
     small_batches(spark, 2)
     held = spark.sparkContext.broadcast(vars(net))  # plain arrays; the pair tables are made on the worker: 65536 x FILTERS floats each

@@ -91,7 +91,8 @@ def compiled(thresholds: list[Threshold]) -> Column:
 
 def quality_rules(docs: DataFrame, thresholds: list[Threshold] = THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict per row of docs. A null or empty text has zero counts and fails the base rule (n_words < 20);
-    repeated rows are judged alike; other columns are ignored."""
+    texts of any length are read whole; repeated rows are judged alike; other columns are ignored; an empty table gives
+    an empty one."""
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = measured(docs, id_col, text_col).withColumn("base_failed", base_failed)
     return out.withColumn("kept", ~F.col("base_failed") & compiled(thresholds))

@@ -83,7 +83,8 @@ def shuffle_to_shards(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = 0)
     """rows plus shard (0 to n_shards-1) and slot (gapless from 0 in each shard).
 
     Any columns and rows are taken, nulls and repeated rows included: a row is told apart by its place in the saved
-    input. An empty input gives an empty result. Driver: one count per block, MAX_PARTS at most.
+    input. Columns named shard or slot are replaced; none may begin with an underscore. An empty input gives an empty
+    result. Driver: one count per block, MAX_PARTS at most.
     """
     spark = rows.sparkSession
     keyed = rows.withColumn("_row", F.monotonically_increasing_id())

@@ -55,7 +55,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null and blank texts have fingerprint zero."""
+    """(doc_id, fp): fp is the fingerprint as a signed long. Null and blank texts have fingerprint zero. Texts of any
+    length are read whole, in bounded pieces of their hashes; one row per row of docs, repeated ones included; other
+    columns are ignored."""
 
     small_batches(docs.sparkSession)
 
