@@ -112,6 +112,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: in LANES sketches, each of the 2 and of the 4 shingles that come first in an order of its own: two documents with a
 #: similarity of 0.8 share a 2-shingle key in a lane with probability 0.64, and miss all lanes with 1e-7.
 LANES = 16
+#: So many nodes under each key that holds several components meet all others there, before the exact join of the rest.
+LEADERS = 8
 #: Parity sketch: one bit per slot, set where an odd number of shingles fall into the slot. Each shingle that only one of
 #: two documents holds flips one bit, so the bits that differ are never more than such shingles.
 PARITY_BITS = 1024
@@ -190,21 +192,32 @@ def _edges_between(members: DataFrame, sets: DataFrame) -> DataFrame:
     placed = saved(ranked.select("node", "root", "n", F.col("t.h").alias("h"), (F.col("m") - F.col("p")).alias("left")).where(F.col("left") >= least(SIMILARITY)))
     half = SIMILARITY / (1 + SIMILARITY)
     smaller = placed.where(F.col("left") >= least(2 * half))
-    meet = placed.select("h", F.col("root").alias("root_a")).distinct().join(smaller.select("h", F.col("root").alias("root_b")).distinct(), "h").where("root_a <> root_b")
+    # of the members of a component under a shingle: the largest `left`, the range of sizes; no pair fails these that fits
+    held = lambda df, x: df.groupBy("h", F.col("root").alias(f"root_{x}")).agg(F.max("left").alias(f"most_{x}"), F.min("n").alias(f"low_{x}"), F.max("n").alias(f"high_{x}"))
+    meet = held(placed, "a").join(held(smaller, "b"), "h").where("root_a <> root_b AND low_b <= high_a")
+    meet = meet.where((F.least("most_a", "most_b") >= F.lit(half) * (F.col("low_a") + F.col("low_b")) - 1e-6) & (F.col("high_b") >= SIMILARITY * F.col("low_a"))).select("h", "root_a", "root_b")
     side = lambda df, x: df.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "left")])
     met = saved(meet).join(side(placed, "a"), ["h", "root_a"]).join(side(smaller, "b"), ["h", "root_b"])
     met = met.where("n_b < n_a OR n_b = n_a AND node_b < node_a").where(F.least("left_a", "left_b") >= F.lit(half) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     return _similar(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), rooted)
 
 
+def _torn(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """(k, node, root) of the keys whose nodes are in several components."""
+    rooted = saved(crowded.join(found, "node", "left").select("k", "node", F.coalesce("component", "node").alias("root")))
+    keys = saved(rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
+    return saved(rooted.join(keys, "k", "left_semi"))
+
+
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, keeper, keeper_key) of every row in a group of near copies, key being a hash of the text: the row, and
     the one that stays, with the smallest id (null ids last, ties by key). Rows alone are left out.
 
     Texts with the same set of shingles are one node. Candidates come from links of fingerprints at two bits or fewer
     and from the lanes, where every node meets the smallest one under its key. Pairs that the parity sketches don't rule
-    out are verified on the exact similarity of their whole texts. Keys of three nodes or more whose nodes are still in
-    different components are then searched for all similar pairs across components, by an exact join.
+    out are verified on the exact similarity of their whole texts. Where nodes under a key of three or more are still in
+    different components, a few of them meet all others in the same way; keys that are torn even then are searched for
+    all similar pairs across components, by an exact join.
     """
     small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
@@ -233,9 +246,14 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles array<long>"))
     edges = saved(_similar(near, sets))
     found = saved(connected_components(edges, "a", "b"))
-    rooted = saved(crowded.join(found, "node", "left").select("k", "node", F.coalesce("component", "node").alias("root")))
-    torn = saved(rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
-    rest = saved(_edges_between(rooted.join(torn, "k", "left_semi").select("node", "root").distinct(), sets))
+    torn = _torn(crowded, found)
+    draw = lambda r: F.min(F.struct(F.xxhash64("root" if r % 2 else "node", F.lit(r)).alias("h"), F.col("node").alias("a"), F.col("root").alias("root_a")))
+    leaders = saved(torn.groupBy("k").agg(F.array(*[draw(r) for r in range(LEADERS)]).alias("drawn")).select("k", F.inline("drawn")).drop("h").distinct())
+    met = torn.join(leaders, "k").where("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    met = saved(met.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar()).select("a", "b"))
+    edges = saved(edges.union(_similar(met, sets)))
+    found = saved(connected_components(edges, "a", "b"))
+    rest = saved(_edges_between(_torn(crowded, found).select("node", "root").distinct(), sets))
     if not rest.isEmpty():
         found = connected_components(edges.union(rest), "a", "b")
     grouped = alike.join(found, "node", "left").where("component IS NOT NULL OR copies > 1")
