@@ -22,8 +22,23 @@ def batch_scored(df: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], s
     return df.mapInPandas(run, schema)
 
 
-def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float, batch: int, l2: float, seed: int) -> dict:
-    """A one-layer ReLU head with a logistic output: Adam on class-weighted cross-entropy, inputs standardised."""
+def average_precision(y: np.ndarray, score: np.ndarray) -> float:
+    """Step-wise, over falling scores, tied ones together; nan without positives."""
+    s, place = np.unique(-score, return_inverse=True)
+    hits, n = np.bincount(place, y, len(s)), np.bincount(place, minlength=len(s))
+    return float((hits * np.cumsum(hits) / np.cumsum(n)).sum() / y.sum()) if y.sum() else float("nan")
+
+
+def _forward(head: dict, x: np.ndarray) -> np.ndarray:
+    w1 = np.asarray(head["w1"]).reshape(x.shape[1], -1)
+    h = np.maximum((x - head["mean"]) / head["std"] @ w1 + head["b1"], 0)
+    return 1 / (1 + np.exp(-(h @ np.asarray(head["w2"]) + head["b2"])))
+
+
+def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float, batch: int, l2: float, seed: int, check: tuple[np.ndarray, np.ndarray] | None = None, patience: int = 5) -> dict:
+    """A one-layer ReLU head with a logistic output: Adam on class-weighted cross-entropy, inputs standardised. With rows
+    to check on, the epoch of the best average precision there is kept, and training ends after so many without a
+    strictly better one."""
     rng = np.random.default_rng(seed)
     mean, std = x.mean(0), x.std(0)
     std[std < 1e-6] = 1.0
@@ -31,7 +46,9 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float,
     pos = min(5.0, (y == 0).sum() / max(1, (y == 1).sum()))
     w = [rng.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
-    for _ in range(epochs):
+    packed = lambda: {"mean": mean.tolist(), "std": std.tolist(), "w1": w[0].ravel().tolist(), "b1": w[1].tolist(), "w2": w[2].tolist(), "b2": float(w[3][0])}
+    best, kept, kept_at = -np.inf, None, epochs
+    for epoch in range(1, epochs + 1):
         for rows in np.array_split(rng.permutation(len(z)), max(1, len(z) // batch)):
             a = z[rows] @ w[0] + w[1]
             h = np.maximum(a, 0)
@@ -44,23 +61,32 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float,
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 w[i] = w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return {"mean": mean.tolist(), "std": std.tolist(), "w1": w[0].ravel().tolist(), "b1": w[1].tolist(), "w2": w[2].tolist(), "b2": float(w[3][0])}
+        if check is not None:
+            now = average_precision(check[1], _forward(packed(), check[0]))
+            if now > best:
+                best, kept, kept_at = now, packed(), epoch
+            elif epoch - kept_at >= patience and kept is not None:
+                break
+    return (kept or packed()) | {"epochs_used": kept_at}
 
 
-HEAD = "mean array<double>, std array<double>, w1 array<double>, b1 array<double>, w2 array<double>, b2 double"
+HEAD = "mean array<double>, std array<double>, w1 array<double>, b1 array<double>, w2 array<double>, b2 double, epochs_used long"
 
 
-def train_heads(df: DataFrame, by: str, features: str, failure: str, hidden: int = 16, epochs: int = 30, rate: float = 5e-4, batch: int = 64, l2: float = 1e-4, seed: int = 42, min_positives: int = 1) -> DataFrame:
-    """(by, weights): one head per group, each in one pandas frame; a group with fewer positives is an error."""
+def train_heads(df: DataFrame, by: str, features: str, failure: str, hidden: int = 16, epochs: int = 30, rate: float = 5e-4, batch: int = 64, l2: float = 1e-4, seed: int = 42, min_positives: int = 1, checked: str | None = None, patience: int = 5) -> DataFrame:
+    """(by, weights, epochs_used): one head per group, each in one pandas frame; a group with fewer positives is an
+    error. Rows where the flag `checked` holds aren't trained on, but tell when to stop."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy().astype(float)
         if y.sum() < min_positives:
             raise ValueError(f"{int(y.sum())} positives; {min_positives} are needed")
-        return pd.DataFrame([{"by": pdf["by"].iloc[0], **_train(x, y, hidden, epochs, rate, batch, l2, seed)}])
+        held = pdf["held"].to_numpy().astype(bool)
+        check = (x[held], y[held]) if held.any() else None
+        return pd.DataFrame([{"by": pdf["by"].iloc[0], **_train(x[~held], y[~held], hidden, epochs, rate, batch, l2, seed, check, patience)}])
 
     kind = df.schema[by].dataType.simpleString()
-    rows = df.select(F.col(by).alias("by"), F.col(features).alias("x"), F.col(failure).cast("int").alias("y"))
+    rows = df.select(F.col(by).alias("by"), F.col(features).alias("x"), F.col(failure).cast("int").alias("y"), (F.coalesce(F.col(checked), F.lit(False)) if checked else F.lit(False)).alias("held"))
     return rows.groupBy("by").applyInPandas(one, f"by {kind}, {HEAD}").withColumnRenamed("by", by)
 
 
@@ -69,15 +95,17 @@ def head_scores(df: DataFrame, heads: DataFrame, by: str, features: str, out: st
 
     @F.pandas_udf("double")
     def forward(x: pd.Series, mean: pd.Series, std: pd.Series, w1: pd.Series, b1: pd.Series, w2: pd.Series, b2: pd.Series) -> pd.Series:
-        def one(x, mean, std, w1, b1, w2, b2):
-            z = (np.asarray(x, float) - mean) / std
-            h = np.maximum(z @ np.asarray(w1).reshape(len(z), -1) + b1, 0)
-            return 1 / (1 + np.exp(-(h @ np.asarray(w2) + b2)))
-
-        return pd.Series([one(*r) for r in zip(x, mean, std, w1, b1, w2, b2, strict=True)])
-
-    joined = df.join(F.broadcast(heads), by)
-    return joined.withColumn(out, forward(features, "mean", "std", "w1", "b1", "w2", "b2")).drop("mean", "std", "w1", "b1", "w2", "b2")
+        # one matrix product per head in the batch
+        which = pd.Series([a.tobytes() for a in w1])
+        out = np.empty(len(x))
+        for rows in which.groupby(which, sort=False).indices.values():
+            i = rows[0]
+            head = {"mean": mean[i], "std": std[i], "w1": w1[i], "b1": b1[i], "w2": w2[i], "b2": b2[i]}
+            out[rows] = _forward(head, np.stack(x.iloc[rows].to_numpy()).astype(float))
+        return pd.Series(out)
+
+    joined = df.join(heads, by)
+    return joined.withColumn(out, forward(features, "mean", "std", "w1", "b1", "w2", "b2")).drop("mean", "std", "w1", "b1", "w2", "b2", "epochs_used")
 
 
 def logistic_regression(df: DataFrame, features: str, label: str, c: float = 1.0):

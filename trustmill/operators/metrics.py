@@ -20,12 +20,24 @@ _GAMMA = 0.5772156649015328606
 
 
 def harmonic(n: Column) -> Column:
-    """H(n) = 1 + 1/2 + ... + 1/n: a table up to 32, beyond that the expansion, which is exact in doubles there."""
-    x = F.greatest(n, F.lit(1)).cast("double")
-    far = F.log(x) + _GAMMA + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    """H(n) = 1 + 1/2 + ... + 1/n: a table up to 32, beyond that the expansion, whose next term is below 1e-14 there."""
+    far = F.log(F.greatest(n, F.lit(1)).cast("double")) + _GAMMA + _beyond_log(n)
     return F.when(n <= 32, F.get(F.array(*map(F.lit, _EXACT)), F.least(n, F.lit(32)).cast("int"))).otherwise(far)
 
 
+def _beyond_log(n: Column) -> Column:
+    """H(n) less its logarithm and constant."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    square = x * x
+    return 1 / (2 * x) - 1 / (12 * square) + 1 / (120 * square * square) - 1 / (252 * square * square * square)
+
+
+def harmonic_between(n: Column, more: Column) -> Column:
+    """H(n + more) - H(n), without cancelling the digits of two large numbers."""
+    far = F.log1p(more / F.greatest(n, F.lit(1))) + _beyond_log(n + more) - _beyond_log(n)
+    return F.when(n > 32, far).otherwise(harmonic(n + more) - harmonic(n))
+
+
 def tie_groups(df: DataFrame, by: list[str], error: str = "error", score: str = "score", weight: str | None = None) -> DataFrame:
     """One row per distinct score: its rows (sz) and errors (g), and those of all lower scores (n0, b)."""
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
@@ -39,7 +51,7 @@ def risk_coverage_curve(df: DataFrame, by: list[str], error: str = "error", scor
     """(by, k, coverage, risk): expected share of errors among the k most trusted rows, for every k."""
     t = tie_groups(df, by, error, score)
     n = t.groupBy(*by).agg(F.sum("sz").alias("_n")) if by else t.agg(F.sum("sz").alias("_n"))
-    t = t.join(F.broadcast(n), by) if by else t.crossJoin(F.broadcast(n))  # one row
+    t = t.join(n, by) if by else t.crossJoin(F.broadcast(n))  # one row
     t = t.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "sz")).alias("j"))
     k = F.col("n0") + F.col("j")
     return t.select(*by, k.alias("k"), (k / F.col("_n")).alias("coverage"), ((F.col("b") + F.col("j") / F.col("sz") * F.col("g")) / k).alias("risk"))
@@ -53,7 +65,7 @@ def ranking_metrics(df: DataFrame, by: list[str], error: str = "error", score: s
     """
     t = tie_groups(df, by, error, score, weight)
     total = t.groupBy(*by).agg(F.sum("sz").alias("n"), F.sum("g").alias("errors"))
-    dh = harmonic(F.col("n0") + F.col("sz")) - harmonic(F.col("n0"))
+    dh = harmonic_between(F.col("n0"), F.col("sz"))
     area = F.col("b") * dh + F.col("g") / F.col("sz") * (F.col("sz") - F.col("n0") * dh)
     right_before, right_here = F.col("n0") - F.col("b"), F.col("sz") - F.col("g")
     t = t.join(total, by) if by else t.crossJoin(F.broadcast(total))
@@ -74,7 +86,7 @@ def method_scores(df: DataFrame, ids: list[str], methods: dict[str, str]) -> Dat
 def delta_to(df: DataFrame, by: list[str], metric: str, reference: str, method: str = "method") -> DataFrame:
     """df (one row per by and method) plus delta_<metric> against the reference method of the same group."""
     ref = df.where(F.col(method) == reference).select(*by, F.col(metric).alias("_ref"))
-    out = df.join(F.broadcast(ref), by, "left") if by else df.crossJoin(F.broadcast(ref))
+    out = df.join(ref, by, "left") if by else df.crossJoin(F.broadcast(ref))
     return out.withColumn(f"delta_{metric}", F.col(metric) - F.col("_ref")).drop("_ref")
 
 
@@ -91,7 +103,7 @@ def threshold_for_coverage(df: DataFrame, by: list[str], coverages: list[float],
 def selective_risk(df: DataFrame, thresholds: DataFrame, by: list[str], error: str = "error", score: str = "score") -> DataFrame:
     """(by, target, tau, coverage, answered, wrong_answered, selective_risk) for answering where score <= tau."""
     hit = F.col(score) <= F.col("tau")
-    out = df.join(F.broadcast(thresholds), by) if by else df.crossJoin(F.broadcast(thresholds))
+    out = df.join(thresholds, by) if by else df.crossJoin(F.broadcast(thresholds))
     out = out.groupBy(*by, "target", "tau").agg(F.count("*").alias("_n"), F.count_if(hit).alias("answered"), F.sum(F.when(hit, F.col(error)).otherwise(0)).cast("long").alias("wrong_answered"))
     return out.select(*by, "target", "tau", (F.col("answered") / F.col("_n")).alias("coverage"), "answered", "wrong_answered", (F.col("wrong_answered") / F.nullif("answered", F.lit(0))).alias("selective_risk"))
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from trustmill.functions.storage import saved
 
 
+def _falls(c) -> bool:
+    return not isinstance(c, str) and c[1] == "desc"
+
+
 def running_before(df: DataFrame, by: list[str], order: list, totals: dict[str, str]) -> DataFrame:
     """df plus, for each name: value in totals, the sum of value over the rows of its group that come before in order.
 
     Rows are dealt by range; sums inside a range are windows over that range only, and the ranges' own totals (groups x
-    ranges rows) are summed up by a small window. Rows that are equal in by and order must not exist.
+    ranges rows) are summed up by a small window. order has names of columns, or (name, "desc") for falling ones. Rows
+    that are equal in by and order must not exist.
     """
-    names = [c if isinstance(c, str) else None for c in order]
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    if None in names:
-        raise ValueError("order by column names; put expressions into columns first")
+    keys = [F.col(c[0]).desc() if _falls(c) else F.col(c if isinstance(c, str) else c[0]) for c in order]
     dealt = saved(df.repartitionByRange(*[F.col(b) for b in by], *keys).withColumn("_range", F.spark_partition_id()))
     parts = dealt.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_of_{n}") for n, v in totals.items()])
     up = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,7 +34,7 @@ def running_before(df: DataFrame, by: list[str], order: list, totals: dict[str,
     return out.select(*[inside[c] for c in df.columns], *[(F.col(f"_in_{n}") + F.col(f"_base_{n}")).alias(n) for n in totals])
 
 
-def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
     """df plus a gapless row number in order; rows equal in order must not exist."""
     out = running_before(df.withColumn("_one", F.lit(1).cast("long")), [], order, {name: "_one"})
     return out.withColumn(name, F.col(name) + start).drop("_one")

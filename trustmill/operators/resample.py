@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.functions.hashing import hash32
@@ -43,6 +45,12 @@ def replicates(df: DataFrame, weights: DataFrame, by: list[str], cluster: str, e
     return ranking_metrics(weighted, [*by, "resample"], weight="weight")
 
 
+def replicates_of(df: DataFrame, weights: DataFrame, by: list[str], cluster: str, statistic: Callable[[DataFrame, list[str], str], DataFrame]) -> DataFrame:
+    """The values of any statistic in every resample: statistic(rows, keys, weight) aggregates rows, each counting
+    `weight` times, over keys (by and resample)."""
+    return statistic(df.join(weights, cluster), [*by, "resample"], "weight")
+
+
 def intervals(reps: DataFrame, by: list[str], columns: list[str], level: float = 95) -> DataFrame:
     """(by, <c>_low, <c>_high): linear-interpolation percentiles over the resamples where c is defined."""
     tail = (1 - level / 100) / 2

@@ -44,7 +44,7 @@ def assign_in_order(groups: DataFrame, label: str, size: str, key: str, parts: d
     up = Window.partitionBy(label).orderBy(place[F.col("subset")]).rowsBetween(Window.unboundedPreceding, -1)
     quota = quota.select(label, "subset", F.coalesce(F.sum("quota").over(up), F.lit(0)).alias("_from"), "quota")
     dealt = running_before(groups.withColumn("_draw", hash32(F.lit(seed), F.col(key))), [label], ["_draw", key], {"_before": size})
-    out = dealt.join(F.broadcast(quota), label).where((F.col("_before") >= F.col("_from")) & (F.col("_before") < F.col("_from") + F.col("quota")))
+    out = dealt.join(quota, label).where((F.col("_before") >= F.col("_from")) & (F.col("_before") < F.col("_from") + F.col("quota")))
     return out.select(*groups.columns, "subset")
 
 
@@ -98,7 +98,7 @@ def secondary_split(members: DataFrame, label: str, group: str, fraction: float
     'train'. Groups are taken in hash order; one pandas frame per label."""
     groups = saved(members.groupBy(group).agg(F.min(label).alias("label"), F.count("*").alias("size")))
     targets = largest_remainder(groups.groupBy("label").agg(F.sum("size").alias("n")), "label", "n", fraction).select("label", "target")
-    rows = groups.join(F.broadcast(targets), "label").select(F.col(group).cast("string").alias("grp"), F.col("label").cast("string").alias("label"), "size", "target", hash32(F.lit(seed), F.col(group)).alias("draw"))
+    rows = groups.join(targets, "label").select(F.col(group).cast("string").alias("grp"), F.col("label").cast("string").alias("label"), "size", "target", hash32(F.lit(seed), F.col(group)).alias("draw"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "grp"]).reset_index(drop=True)
@@ -108,9 +108,15 @@ def secondary_split(members: DataFrame, label: str, group: str, fraction: float
     return rows.groupBy("label").applyInPandas(one, "grp string, label string, size long, part string").withColumnRenamed("grp", group)
 
 
-def split_violations(assigned: DataFrame, allowed: list[str], path: str = "path", group: str = "group_id", subset: str = "subset") -> DataFrame:
-    """One row: paths assigned twice, rows outside the allowed subsets, groups over several subsets. All zero if sound."""
+def split_violations(assigned: DataFrame, allowed: list[str], path: str = "path", group: str = "group_id", subset: str = "subset", links: DataFrame | None = None) -> DataFrame:
+    """One row: paths assigned twice, rows outside the allowed subsets, groups over several subsets, and, with links
+    (a, b) of paths, links over several subsets. All zero if sound."""
     twice = assigned.groupBy(path).count().where("count > 1").agg(F.count("*").alias("repeated_paths"))
     other = assigned.agg(F.count_if(~F.col(subset).isin(allowed) | F.col(subset).isNull()).alias("unknown_subsets"))
     torn = assigned.groupBy(group).agg(F.countDistinct(subset).alias("n")).where("n > 1").agg(F.count("*").alias("torn_groups"))
-    return twice.crossJoin(other).crossJoin(torn)  # one row each
+    out = twice.crossJoin(other).crossJoin(torn)  # one row each
+    if links is not None:
+        side = lambda x: assigned.select(F.col(path).alias(x), F.col(subset).alias(f"_{x}")).distinct()
+        over = links.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("_a <> _b").select("a", "b").distinct()
+        out = out.crossJoin(over.agg(F.count("*").alias("torn_links")))
+    return out
