@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trustmill.functions import hashing as H
 from trustmill.functions import scores as S
-from trustmill.operators import audit, calibration, groups, learn, metrics, prefix, provenance, resample, shift, splits, views
+from trustmill.operators import audit, calibration, contracts, groups, learn, metrics, prefix, provenance, resample, shift, splits, views
 from trustmill.streaming import events as streaming
 
 FLAGSHIP = "risk_summary"
@@ -107,14 +107,20 @@ def selective_risk(spark, d):
 
 
 def logits(spark, d) -> DataFrame:
+    """Each vector, in all its values, against the mean vector of every label."""
     rows = table(spark, d, "embeddings")
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * SCALE)
-    rows = rows.select("vec_id", "label", z.alias("logits")).withColumn("probs", S.softmax("logits"))
+    means = rows.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("mean")).agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("means"))
+    dot = lambda w: F.aggregate(F.zip_with("embedding", w["mean"], lambda x, m: x.cast("double") * m["m"]), F.lit(0.0), lambda a, x: a + x)
+    z = F.transform("means", lambda w: dot(w) * SCALE)
+    rows = rows.crossJoin(F.broadcast(means)).select("vec_id", "label", z.alias("logits")).withColumn("probs", S.softmax("logits"))  # one row
     return rows.withColumns({"pred": S.predicted("logits"), "seed": (F.col("vec_id") % 3).cast("int")})
 
 
 LOGITS = f"""
-z AS (SELECT vec_id, label, (vec_id % 3)::INT AS seed, list_transform(embedding[1:10], lambda x: x::DOUBLE * {SCALE}::DOUBLE) AS z FROM embeddings),
+mv AS (SELECT label, pos, avg(x) AS a FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) GROUP BY ALL),
+mw AS (SELECT list(w ORDER BY label) AS means FROM (SELECT label, list(a ORDER BY pos) AS w FROM mv GROUP BY 1)),
+z AS (SELECT vec_id, label, (vec_id % 3)::INT AS seed, list_transform(means, lambda w: list_dot_product(embedding::DOUBLE[], w) * {SCALE}::DOUBLE) AS z FROM embeddings, mw),
 y AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS ex FROM z),
 p AS (SELECT vec_id, label, seed, z, list_transform(ex, lambda x: x / list_sum(ex)) AS p, (list_position(z, list_max(z)) - 1)::INT AS pred FROM y)
 """
@@ -151,15 +157,43 @@ def calibration_summary(spark, d):
     return out.select("seed", r6("nll").alias("nll"), r6("ece").alias("ece"), r6("brier").alias("brier"))
 
 
-@query()
+#: Bisection on the slope of the loss by 1/T.
+FITTED = f"""{LOGITS},
+bis(seed, lo, hi, i) AS (SELECT DISTINCT seed, 0.05::DOUBLE, 20.0::DOUBLE, 0 FROM z UNION ALL
+  SELECT seed, CASE WHEN g < 0 THEN mid ELSE lo END, CASE WHEN g < 0 THEN hi ELSE mid END, i + 1 FROM (
+    SELECT b.seed, lo, hi, i, (lo + hi) / 2 AS mid, avg(list_dot_product(list_transform(z.z, lambda x: exp((lo + hi) / 2 * (x - list_max(z.z)))), z.z)
+      / list_sum(list_transform(z.z, lambda x: exp((lo + hi) / 2 * (x - list_max(z.z))))) - z.z[label + 1]) AS g
+    FROM bis b JOIN z ON z.seed = b.seed WHERE i < 44 GROUP BY ALL)),
+fit AS (SELECT seed, (lo + hi) / 2 AS beta FROM bis WHERE i = 44),
+ws AS (SELECT vec_id, label, z.seed, z, beta, list_transform(z, lambda x: exp(beta * (x - list_max(z)))) AS ex FROM z JOIN fit ON z.seed = fit.seed),
+wp AS (SELECT vec_id, label, seed, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM ws)"""
+
+
+def _summary_sql(name: str, rows: str) -> str:
+    return f"""{name}r AS (SELECT seed, -ln(p[label + 1]) AS nll, list_sum(list_transform(p, lambda x, i: pow(x - (i = label + 1)::INT, 2))) AS brier, list_max(p) AS conf,
+      (list_position(p, list_max(p)) - 1 = label)::INT AS ok FROM {rows}),
+    {name}b AS (SELECT seed, ceil(conf * 15) AS bin, count(*) AS m, avg(ok) AS acc, avg(conf) AS conf FROM {name}r GROUP BY ALL),
+    {name} AS (SELECT seed, avg(nll) AS nll, any_value(e.ece) AS ece, avg(brier) AS brier FROM {name}r JOIN (SELECT seed, sum(m * abs(acc - conf)) / sum(m) AS ece FROM {name}b GROUP BY 1) e USING (seed) GROUP BY 1)"""
+
+
+_CALIBRATION = [f"{n}_{side}" for n in ("nll", "ece", "brier") for side in ("before", "after")]
+
+
+@query(f"""WITH RECURSIVE {FITTED}, {_summary_sql("q0", "p")}, {_summary_sql("q1", "wp")}
+SELECT seed, round(1 / beta, 6) AS temperature, beta > 19.8 AS hit_limit, {", ".join(f"round({'q0' if c.endswith('before') else 'q1'}.{c.split('_')[0]}, 6) AS {c}" for c in _CALIBRATION)}, q1.nll <= q0.nll + 1e-9 AS nll_ok
+FROM fit JOIN q0 USING (seed) JOIN q1 USING (seed)""")
 def temperature_scaling(spark, d):
     out, _ = calibration.calibrate(logits(spark, d), ["seed"], [0.8, 0.9])
-    return out
+    return out.select("seed", r6("temperature").alias("temperature"), "hit_limit", *[r6(c).alias(c) for c in _CALIBRATION], "nll_ok")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FITTED}, u AS (SELECT seed, 'B1 MSP' AS method, 1 - list_max(p) AS score FROM p
+  UNION ALL SELECT seed, 'B2 Entropy', -list_sum(list_transform(p, lambda x: x * ln(x + 1e-12::DOUBLE))) FROM p
+  UNION ALL SELECT seed, 'B3 Margin', 1 - (list_reverse_sort(p)[1] - list_reverse_sort(p)[2]) FROM p UNION ALL SELECT seed, 'B4 Temperature MSP', 1 - list_max(p) FROM wp),
+o AS (SELECT *, row_number() OVER (PARTITION BY seed, method ORDER BY score) AS k, count(*) OVER (PARTITION BY seed, method) AS n FROM u)
+SELECT seed, method, target, round(score, 6) AS tau FROM o, (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) v(target) WHERE k = ceil(target * n)""")
 def calibration_thresholds(spark, d):
-    return calibration.calibrate(logits(spark, d), ["seed"], [0.8, 0.9])[1]
+    return calibration.calibrate(logits(spark, d), ["seed"], [0.8, 0.9])[1].withColumn("tau", r6("tau"))
 
 
 @query()
@@ -186,6 +220,23 @@ def bootstrap_interval(spark, d):
     return out.select(r6("aurc_low").alias("aurc_low"), r6("aurc_high").alias("aurc_high"))
 
 
+@query(f"""WITH {DOCS} cl AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT source FROM s)),
+dr AS (SELECT r, k, ('0x' || substr(sha256('3:' || r || ':' || k), 1, 8))::BIGINT % (SELECT max(g) FROM cl) AS i FROM range({RESAMPLES}) a(r), range((SELECT max(g) FROM cl)) b(k)),
+w AS (SELECT r, source, count(*) AS w FROM dr JOIN cl USING (i) GROUP BY ALL), t AS (SELECT source, lang, sum(error) AS e, count(*) AS n FROM s GROUP BY ALL),
+a AS (SELECT lang, r, sum(w * e) / sum(w * n) AS rate FROM t JOIN w USING (source) GROUP BY ALL)
+SELECT lang, round(quantile_cont(rate, 0.025::DOUBLE), 6) AS rate_low, round(quantile_cont(rate, 0.975::DOUBLE), 6) AS rate_high FROM a GROUP BY 1""")
+def statistic_bootstrap(spark, d):
+    """Any statistic, here an error rate by language, in every resample."""
+    docs = judged_documents(spark, d)
+
+    def rate(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+        return rows.groupBy(*keys).agg((F.sum(F.col(weight) * F.col("e")) / F.sum(F.col(weight) * F.col("n"))).alias("rate"))
+
+    small = docs.groupBy("source", "lang").agg(F.sum("error").alias("e"), F.count("*").alias("n"))
+    reps = resample.replicates_of(small, resample.draws(docs, "source", RESAMPLES, 3), ["lang"], "source", rate)
+    return resample.intervals(reps, ["lang"], ["rate"]).select("lang", r6("rate_low").alias("rate_low"), r6("rate_high").alias("rate_high"))
+
+
 @query()
 def paired_bootstrap(spark, d):
     docs = judged_documents(spark, d)
@@ -307,32 +358,42 @@ def label_problems(spark, d):
 
 # --- groups and splits -----------------------------------------------------------------------------------------------
 
-GROUPS = f"""WITH {MANIFEST}, x AS (SELECT path, min(path) OVER (PARTITION BY sha256) AS root, max((dataset <> 'source')::INT) OVER (PARTITION BY sha256) AS outside, dataset FROM m),
-pool AS (SELECT path, root FROM x WHERE dataset = 'source' AND outside = 0),
-g AS (SELECT path, dense_rank() OVER (ORDER BY root) AS i, count(*) OVER (PARTITION BY root) AS size FROM pool)"""
+#: Reviews of pairs of neighbours, decided by the id: every seventh a duplicate, every eleventh unsure, the rest different.
+REVIEWS = """rv AS (SELECT doc_id AS a, doc_id + 1 AS b, CASE WHEN doc_id % 7 = 0 THEN 'duplicate' WHEN doc_id % 11 = 0 THEN 'unsure' ELSE 'different' END AS decision FROM documents),
+rs AS (SELECT rv.*, x.dataset AS da, y.dataset AS db FROM rv JOIN m x ON x.path = a JOIN m y ON y.path = b WHERE decision <> 'different')"""
+LINKED = f"""{MANIFEST}, {REVIEWS}, h AS (SELECT *, min(path) FILTER (dataset = 'source') OVER (PARTITION BY sha256) AS head, max((dataset <> 'source')::INT) OVER (PARTITION BY sha256) AS outside FROM m),
+gone AS (SELECT path, arg_max(reason, k) AS reason FROM (SELECT path, 'exact copy' AS reason, '1' AS k FROM h WHERE dataset = 'source' AND outside = 1 UNION ALL
+  SELECT CASE WHEN da = 'source' THEN a ELSE b END, 'reviewed ' || decision, '2' || decision FROM rs WHERE (da = 'source') <> (db = 'source')) GROUP BY 1),
+link AS (SELECT head AS a, path AS b FROM h WHERE dataset = 'source' AND outside = 0 AND path <> head UNION SELECT a, b FROM rs WHERE da = 'source' AND db = 'source')"""
 
 
-def source_groups(spark, d) -> DataFrame:
-    m = manifest(spark, d)
-    none = m.limit(0).select(F.col("path").alias("path_a"), F.col("path").alias("path_b"), F.col("label").alias("decision"))
-    links, gone = groups.collect_links(m, none)
-    pool = m.where("dataset = 'source'").join(gone, "path", "left_anti")
-    return groups.build_groups(pool, links)
+def reviews(spark, d) -> DataFrame:
+    k = F.col("doc_id")
+    decision = F.when(k % 7 == 0, "duplicate").when(k % 11 == 0, "unsure").otherwise("different")
+    return table(spark, d, "documents").select(k.alias("path_a"), (k + 1).alias("path_b"), decision.alias("decision"))
 
 
-@query(f"{GROUPS} SELECT path, 'g' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS group_id, size FROM g")
+@query(f"""WITH RECURSIVE {LINKED}, pool AS (SELECT path FROM m WHERE dataset = 'source' AND path NOT IN (SELECT path FROM gone)),
+e AS (SELECT a, b FROM link WHERE a IN (FROM pool) AND b IN (FROM pool)), ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(v, r) AS (SELECT path, path FROM pool UNION SELECT reach.v, ends.b FROM reach JOIN ends ON ends.a = reach.r), root AS (SELECT v, min(r) AS root FROM reach GROUP BY 1),
+g AS (SELECT v AS path, dense_rank() OVER (ORDER BY root) AS i, count(*) OVER (PARTITION BY root) AS size FROM root)
+SELECT path, 'g' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS group_id, size FROM g""")
 def duplicate_groups(spark, d):
-    return source_groups(spark, d)
+    m = manifest(spark, d)
+    links, gone = groups.collect_links(m, reviews(spark, d))
+    pool = m.where("dataset = 'source'").join(gone, "path", "left_anti")
+    return groups.build_groups(pool, links)
 
 
-@query(f"WITH {MANIFEST} SELECT path, 'exact copy' AS reason FROM m WHERE dataset = 'source' AND sha256 IN (SELECT sha256 FROM m WHERE dataset = 'target')")
+@query(f"WITH {LINKED} SELECT path, reason FROM gone")
 def source_exclusions(spark, d):
-    m = manifest(spark, d)
-    none = m.limit(0).select(F.col("path").alias("path_a"), F.col("path").alias("path_b"), F.col("label").alias("decision"))
-    return groups.collect_links(m, none)[1]
+    return groups.collect_links(manifest(spark, d), reviews(spark, d))[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNS}, e AS (SELECT vec_id_a AS a, vec_id_b AS b FROM n UNION SELECT vec_id_b, vec_id_a FROM n),
+reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.r),
+root AS (SELECT v, min(r) AS root FROM reach GROUP BY 1), g AS (SELECT v AS vec_id, dense_rank() OVER (ORDER BY root) AS i, count(*) OVER (PARTITION BY root) AS size FROM root)
+SELECT vec_id, 'c' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS group_id, size FROM g""")
 def near_duplicate_clusters(spark, d):
     items = sign_hash(spark, d)
     links = audit.near_pairs(items, "vec_id", "hi", "lo", 18).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"))
@@ -376,10 +437,47 @@ def secondary_split(spark, d):
     return splits.secondary_split(table(spark, d, "orders"), "o_orderpriority", "o_custkey")
 
 
-@query("SELECT 0::BIGINT AS repeated_paths, 0::BIGINT AS unknown_subsets, 0::BIGINT AS torn_groups")
+@query(f"""WITH a AS ({ORACLES["stratified_split"]}), b AS (SELECT c_custkey AS path, c_custkey // 2 AS g, CASE WHEN c_custkey % 89 = 0 THEN 'other' ELSE subset END AS subset FROM a),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE path % 97 = 0), l AS (SELECT path AS a, path + 1 AS b FROM b WHERE path % 50 = 0)
+SELECT (SELECT count(*) FROM (SELECT path FROM c GROUP BY 1 HAVING count(*) > 1)) AS repeated_paths, (SELECT count(*) FROM c WHERE subset = 'other') AS unknown_subsets,
+(SELECT count(*) FROM (SELECT g FROM c GROUP BY 1 HAVING count(DISTINCT subset) > 1)) AS torn_groups,
+(SELECT count(*) FROM l JOIN b x ON x.path = l.a JOIN b y ON y.path = l.b WHERE x.subset <> y.subset) AS torn_links""")
 def split_checks(spark, d):
-    assigned = stratified_split(spark, d).select(F.col("c_custkey").alias("path"), F.col("c_custkey").alias("group_id"), "subset")
-    return splits.split_violations(assigned, list(PARTS))
+    """Of a split with planted faults: repeated rows, an unknown subset, groups of two, links of neighbours."""
+    key = F.col("c_custkey")
+    rows = stratified_split(spark, d).select(key.alias("path"), F.floor(key / 2).alias("group_id"), F.when(key % 89 == 0, "other").otherwise(F.col("subset")).alias("subset"))
+    rows = rows.union(rows.where("path % 97 = 0"))
+    links = rows.where("path % 50 = 0").select(F.col("path").alias("a"), (F.col("path") + 1).alias("b"))
+    return splits.split_violations(rows, list(PARTS), links=links)
+
+
+@query("""WITH m AS (SELECT o_orderkey AS k, o_orderpriority AS l, o_custkey AS g FROM orders), p AS (SELECT k, CASE WHEN k % 101 = 0 THEN 'x' ELSE l END AS l, CASE WHEN k % 103 = 0 THEN -g ELSE g END AS g,
+  CASE WHEN k % 107 = 0 THEN 'none' WHEN g % 5 = 0 THEN 'val' ELSE 'train' END AS part FROM m WHERE k % 109 <> 0 UNION ALL SELECT k + 1000000000, l, g, 'train' FROM m WHERE k % 113 = 0
+  UNION ALL SELECT k, l, g, 'val' FROM m WHERE k % 127 = 0)
+SELECT (SELECT count(*) FROM (SELECT k FROM p GROUP BY 1 HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM m WHERE k NOT IN (SELECT k FROM p)) AS missing,
+(SELECT count(*) FROM p WHERE k NOT IN (SELECT k FROM m)) AS extra, (SELECT count(*) FROM p JOIN m USING (k) WHERE p.l <> m.l) AS changed_labels, (SELECT count(*) FROM p JOIN m USING (k) WHERE p.g <> m.g) AS changed_groups,
+(SELECT count(*) FROM p WHERE part NOT IN ('train', 'val')) AS unknown_parts, (SELECT count(*) FROM (SELECT g FROM p GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS torn_groups,
+(SELECT count(*) FROM (SELECT l FROM p GROUP BY 1 HAVING abs(avg((part = 'val')::INT) - 0.2) > 0.03)) AS labels_off""")
+def secondary_split_checks(spark, d):
+    """Of a secondary split of orders with planted faults of every kind."""
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("l"), F.col("o_custkey").alias("g"))
+    k, g = F.col("k"), F.col("g")
+    part = F.when(k % 107 == 0, "none").when(g % 5 == 0, "val").otherwise("train")
+    p = m.where(k % 109 != 0).select("k", F.when(k % 101 == 0, "x").otherwise(F.col("l")).alias("l"), F.when(k % 103 == 0, -g).otherwise(g).alias("g"), part.alias("part"))
+    p = p.union(m.where(k % 113 == 0).select(k + 1_000_000_000, "l", "g", F.lit("train"))).union(m.where(k % 127 == 0).select("k", "l", "g", F.lit("val")))
+    return contracts.secondary_violations(p, m, "k", "l", "g", "part", ["train", "val"], "val", 0.2)
+
+
+@query("SELECT c_custkey // 10 AS bucket, count(*) AS size, count(*) FILTER (c_mktsegment = 'BUILDING') AS building FROM customer GROUP BY 1 QUALIFY row_number() OVER (ORDER BY building DESC, bucket) <= 7")
+def largest_clusters(spark, d):
+    """The first seven rows by falling count, ties by rising key."""
+    rows = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 10).alias("bucket")).agg(F.count("*").alias("size"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
+    return rows.orderBy(F.desc("building"), "bucket").limit(7)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def mixed_order_numbers(spark, d):
+    return prefix.numbered(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), [("o_totalprice", "desc"), "o_orderkey"], "place").select("o_orderkey", "place")
 
 
 # --- views, shift ----------------------------------------------------------------------------------------------------
@@ -396,10 +494,70 @@ def view_expansion(spark, d):
     return out.select("doc_id", "view_type", "replicate_index", "view_id", F.col("rng_seed").cast("string").alias("rng_seed"), r6("blur_sigma").alias("blur_sigma"))
 
 
-@query("SELECT 0::BIGINT AS wrong_sets, 0::BIGINT AS crossing_splits, 0::BIGINT AS repeated_ids")
+@query(f"""WITH {VIEW_SQL}, f AS (SELECT doc_id, view_type, replicate_index, CASE WHEN doc_id % 41 = 0 AND replicate_index = 1 THEN 'same' ELSE substr(sha256(s), 1, 20) END AS id,
+  CASE WHEN doc_id % 37 = 0 AND view_type = 'blur' THEN 'val' ELSE 'train' END AS part FROM v WHERE NOT (doc_id % 31 = 0 AND view_type = 'noise' AND replicate_index = 2))
+SELECT (SELECT count(*) FROM (SELECT doc_id FROM f GROUP BY 1 HAVING count(*) <> 13)) AS wrong_sets, (SELECT count(*) FROM (SELECT doc_id FROM f GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS crossing_splits,
+(SELECT count(*) FROM (SELECT id FROM f GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids""")
 def view_checks(spark, d):
-    out = views.create_views(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return views.view_violations(out, "doc_id", 13, "lang")
+    """Of views with planted faults: a view missing, originals over two parts, one id for many views."""
+    out = views.create_views(table(spark, d, "documents").select("doc_id"), "doc_id")
+    k, r = F.col("doc_id"), F.col("replicate_index")
+    out = out.where(~((k % 31 == 0) & (F.col("view_type") == "noise") & (r == 2)))
+    out = out.withColumns({"view_id": F.when((k % 41 == 0) & (r == 1), "same").otherwise(F.col("view_id")), "part": F.when((k % 37 == 0) & (F.col("view_type") == "blur"), "val").otherwise("train")})
+    return views.view_violations(out, "doc_id", 13, "part")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 31 = 0 OR doc_id % 43 = 0")
+def view_order_checks(spark, d):
+    """Originals whose views aren't the expected list in order; planted: one view missing, two exchanged."""
+    out = views.create_views(table(spark, d, "documents").select("doc_id"), "doc_id")
+    kinds = [("original", 0), *[(v, r) for v in views.VIEWS for r in range(3)]]
+    at = F.array_position(F.array(*[F.lit(f"{v}:{r}") for v, r in kinds]), F.concat_ws(":", "view_type", "replicate_index"))
+    k = F.col("doc_id")
+    out = out.withColumn("at", F.when((k % 43 == 0) & (at > 11), 25 - at).otherwise(at)).where((k % 31 != 0) | (F.col("at") != 5))
+    return contracts.out_of_order(out, "doc_id", "at", ["view_type", "replicate_index"], kinds)
+
+
+@query(f"""WITH {LOGITS}, r AS (SELECT vec_id, label, CASE WHEN vec_id % 11 = 0 THEN -1 ELSE pred END AS pred, seed FROM p WHERE vec_id % 13 <> 0)
+SELECT 'key' AS "column", (SELECT count(*) FROM p WHERE vec_id % 13 = 0) AS differences UNION ALL SELECT 'label', 0 UNION ALL SELECT 'pred', (SELECT count(*) FROM r JOIN p USING (vec_id) WHERE r.pred <> p.pred) UNION ALL SELECT 'seed', 0""")
+def alignment_checks(spark, d):
+    rows = logits(spark, d).select("vec_id", "label", "pred", "seed")
+    other = rows.where("vec_id % 13 <> 0").withColumn("pred", F.when(F.col("vec_id") % 11 == 0, -1).otherwise(F.col("pred")))
+    return contracts.misaligned(rows, other, "vec_id", ["label", "pred", "seed"])
+
+
+@query(f"""WITH {LOGITS} SELECT count(*) FILTER (vec_id % 17 = 0) AS wrong_flags, count(*) FILTER (vec_id % 19 = 0 OR vec_id % 23 = 0) AS not_finite FROM p""")
+def value_checks(spark, d):
+    """Of predictions with planted faults: turned flags, a NaN in the logits, an infinite score."""
+    k = F.col("vec_id")
+    rows = logits(spark, d).withColumn("error", ((F.col("pred") != F.col("label")) != (k % 17 == 0)).cast("int"))
+    rows = rows.withColumns({"logits": F.when(k % 19 == 0, F.array_append("logits", F.lit(float("nan")))).otherwise(F.col("logits")), "score": F.when(k % 23 == 0, F.lit(float("inf"))).otherwise(S.msp("probs"))})
+    return contracts.value_violations(rows, "pred", "label", "error", ["logits"], ["score"])
+
+
+@query("SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS in_none, count(*) FILTER (quality = 1 AND toxic = 1) AS in_several FROM labels")
+def partition_checks(spark, d):
+    return contracts.partition_violations(table(spark, d, "labels"), [F.col("quality") == 1, F.col("toxic") == 1])
+
+
+@query("""SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0
+UNION ALL SELECT 'settings', 'changed' UNION ALL SELECT l || ':' || t, 'no setting' FROM (VALUES ('en'), ('fr'), ('it')) a(l), (VALUES ('0'), ('1')) b(t) WHERE l = 'it' OR (l = 'fr' AND t = '1')
+UNION ALL SELECT n_name, 'result exists' FROM nation WHERE n_regionkey = 1""")
+def freeze_preflight(spark, d):
+    """Against a record: files missing and changed, settings changed and incomplete, results that exist."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    grid = spark.sql("SELECT * FROM VALUES ('en', 0), ('en', 1), ('fr', 0), ('fr', 1), ('it', 0), ('it', 1) AS t(lang, toxic)")
+    settings = grid.where("lang <> 'it'").withColumn("tau", F.when(F.concat("lang", "toxic") != "fr1", F.lit(0.5)))
+    record = contracts.freeze_record(files, settings.na.fill(0.25))
+    k = F.col("path").cast("long")
+    now = contracts.freeze_record(files.where(k % 7 != 0).withColumn("sha256", F.when(k % 5 == 0, "0").otherwise(F.col("sha256"))), settings)
+    return contracts.preflight(record, now, settings, grid, table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name")))
+
+
+@query("SELECT source, count(DISTINCT CASE WHEN toxic = 1 THEN lang END) AS toxic_langs, count(DISTINCT CASE WHEN quality = 0 THEN doc_id END) AS poor FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def filtered_distinct(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return rows.groupBy("source").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("lang"))).alias("toxic_langs"), F.countDistinct(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("poor"))
 
 
 SHIFT = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -472,6 +630,14 @@ def failure_head(spark, d):
     return learn.head_scores(rows, learn.train_heads(rows, "seed", "x", "failure"), "seed", "x").select("vec_id", "seed", "failure", "head_score")
 
 
+@query()
+def failure_head_stopped(spark, d):
+    """The head that was best on every fifth vector, which it isn't trained on."""
+    rows = logits(spark, d).withColumns({"failure": (F.col("pred") != F.col("label")).cast("int"), "x": F.concat("logits", "probs"), "held": F.col("vec_id") % 5 == 0})
+    heads = learn.train_heads(rows, "seed", "x", "failure", checked="held")
+    return learn.head_scores(rows, heads, "seed", "x").select("vec_id", "seed", "failure", "head_score")
+
+
 @query()
 def failure_logistic(spark, d):
     rows = logits(spark, d).withColumn("failure", (F.col("pred") != F.col("label")).cast("int"))
