@@ -1,9 +1,11 @@
 import inspect
+import zlib
 
+import numpy as np
 import pytest
 from conftest import rows_of
 
-from trustmill.operators import calibration, learn, resample
+from trustmill.operators import calibration, contracts, learn, resample, splits
 from trustmill.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -21,6 +23,105 @@ def test_query(spark, duck, name):
     assert rows_of(got, columns) == rows_of(want, columns)
 
 
+def vectors(spark):
+    rows = catalog.logits(spark, DIR).orderBy("vec_id").collect()
+    z = np.array([r["logits"] for r in rows])
+    y, seed = (np.array([r[c] for r in rows]) for c in ("label", "seed"))
+    return rows, z, y, seed
+
+
+def test_temperature_bootstrap_equals_plain_search(spark):
+    """A few resamples of one group, each by trying many values of 1/T."""
+    rows, z, y, seed = vectors(spark)
+    got = {r["seed"]: r for r in calibration.temperature_intervals(catalog.logits(spark, DIR), "seed", resamples=6).collect()}
+    for s in sorted(set(seed.tolist())):
+        own, true = z[seed == s], y[seed == s]
+        order = np.array(sorted(range(len(true)), key=lambda i: (*own[i], true[i])))
+        own, true = own[order], true[order]
+        rng = np.random.default_rng([2026, zlib.crc32(str(s).encode())])
+        grid = np.linspace(0.05, 20, 20_001)
+        each = np.array([np.log(np.exp(b * (own - own.max(1, keepdims=True))).sum(1)) + b * (own.max(1) - own[np.arange(len(true)), true]) for b in grid])
+        fits = [1 / grid[each[:, rng.integers(0, len(true), len(true))].mean(axis=1).argmin()] for _ in range(6)]
+        assert np.allclose([got[s]["interval_low"], got[s]["interval_high"]], np.percentile(fits, [2.5, 97.5]), rtol=2e-2, atol=1e-3)
+
+
+def test_logistic_is_at_the_optimum(spark):
+    """The gradient of the penalised, class-weighted loss is zero where the model stands."""
+    rows, z, y, _ = vectors(spark)
+    got = [r["weight"] for r in catalog.failure_logistic(spark, DIR).orderBy("term").collect()]
+    fail = np.array([int(r["pred"] != r["label"]) for r in rows])
+    weight = np.where(fail == 1, len(fail) / (2 * fail.sum()), len(fail) / (2 * (len(fail) - fail.sum())))
+    p = 1 / (1 + np.exp(-(z @ np.array(got[1:]) + got[0])))
+    e = weight * (p - fail)
+    assert abs(e.sum()) < 0.05 * len(fail) ** 0.5 and np.abs(z.T @ e + np.array(got[1:])).max() < 0.05 * len(fail) ** 0.5
+
+
+def test_principal_components_equal_svd(spark):
+    rows = catalog.table(spark, DIR, "embeddings").orderBy("vec_id").collect()
+    x, source = np.array([r["embedding"] for r in rows], float), np.array([r["label"] < 5 for r in rows])
+    u = np.linalg.svd(x[source] - x[source].mean(0), full_matrices=False)[2][:2]
+    got = np.array([[r["pc1"], r["pc2"]] for r in catalog.principal_components(spark, DIR).orderBy("vec_id").collect()])
+    assert np.allclose(np.abs(got), np.abs((x - x[source].mean(0)) @ u.T), atol=1e-6)
+
+
+def test_group_splits_of_orders(spark):
+    """Whole groups once each, and sums as near to the quotas as the groups allow."""
+    orders = catalog.table(spark, DIR, "orders").toPandas()
+    groups = orders.groupby("o_custkey").agg(label=("o_orderpriority", "min"), size=("o_orderkey", "count")).reset_index()
+    greedy = catalog.greedy_group_split(spark, DIR).toPandas()
+    assert sorted(greedy["o_custkey"].astype(int)) == sorted(groups["o_custkey"]) and set(greedy["subset"]) == set(catalog.PARTS)
+    for label, own in greedy.groupby("label"):
+        total = groups.loc[groups["label"] == label, "size"].sum()
+        for part, share in catalog.PARTS.items():
+            assert abs(own.loc[own["subset"] == part, "size"].sum() - total * share) <= own["size"].max() + 1
+    second = catalog.secondary_split(spark, DIR).toPandas()
+    assert sorted(second["o_custkey"].astype(int)) == sorted(groups["o_custkey"])
+    exact = groups.groupby("label")["size"].sum() * 0.2
+    val = second[second["part"] == "val"].groupby("label")["size"].sum()
+    assert (abs(val - exact) <= 1).all() and abs(val.sum() - round(exact.sum())) == 0  # small groups reach any sum
+
+
+def test_paired_bootstrap_equals_plain_loop(spark):
+    docs = catalog.judged_documents(spark, DIR)
+    pdf = docs.toPandas()
+    names = sorted(pdf["source"].unique())
+    rng = np.random.default_rng(5)
+    want = []
+    for _ in range(4):
+        pick = [names[i] for i in rng.integers(0, len(names), len(names))]
+        rows = np.concatenate([np.flatnonzero(pdf["source"] == c) for c in pick])
+        error, score = pdf["error"].to_numpy()[rows].astype(float), pdf["score"].to_numpy()[rows]
+        total, b, n0 = 0.0, 0.0, 0
+        for s in np.unique(score):
+            g, sz = error[score == s].sum(), (score == s).sum()
+            total += sum((b + j / sz * g) / (n0 + j) for j in range(1, sz + 1))
+            b, n0 = b + g, n0 + sz
+        want.append(total / n0)
+    reps = resample.replicates(docs, resample.numpy_draws(docs, "source", 4, 5), [], "source").orderBy("resample").collect()
+    assert np.allclose([r["aurc"] for r in reps], want, atol=1e-12)
+
+
+def test_stopped_head_keeps_its_best_epoch():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 5))
+    y = (x[:, 0] + rng.normal(size=200) > 0.5).astype(float)
+    check = (x[150:], y[150:])
+    stopped = learn._train(x[:150], y[:150], 8, 40, 0.05, 32, 0.0, 3, check, patience=5)
+    values = [learn.average_precision(y[150:], learn._forward(learn._train(x[:150], y[:150], 8, e, 0.05, 32, 0.0, 3), x[150:])) for e in range(1, 41)]
+    first = next(e for e in range(40) if e + 5 >= 40 or max(values[e + 1 : e + 6]) <= max(values[: e + 1]) and values[e] == max(values[: e + 1]))
+    assert stopped["epochs_used"] == first + 1
+
+
+def test_contract_gates(spark):
+    with pytest.raises(ValueError, match="sums: {'bad': 2}"):
+        contracts.require_zero(spark.sql("SELECT 0 AS fine, 2 AS bad"), "sums")
+    contracts.require_zero(spark.sql("SELECT 0 AS fine"), "sums")
+    with pytest.raises(ValueError):
+        contracts.require_none(spark.range(1), "rows")
+    contracts.require_none(spark.range(0), "rows")
+    assert splits.closest_subset([], 3) == []
+
+
 class Called(Exception):
     pass
 

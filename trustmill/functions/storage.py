@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder (spark.checkpoint.dir); where a local session names none, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="trustmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
