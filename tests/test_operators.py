@@ -61,6 +61,33 @@ def test_near_pairs(spark, distance):
     assert got == want
 
 
+@pytest.mark.parametrize("distance", [2, 18])
+def test_near_links_join_what_near_pairs_join(spark, distance):
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 2**62, 6)]
+    values = base * 20 + [b ^ (1 << int(rng.integers(64))) for b in base]
+    rows = [(i, f"{v:016x}") for i, v in enumerate(values)]
+    hi, lo = audit.halves(F.col("h"))
+    df = spark.createDataFrame(rows, "id int, h string").select("id", hi.alias("hi"), lo.alias("lo"))
+    edges = audit.near_links(df, "id", "hi", "lo", distance)
+    pairs = audit.near_pairs(df, "id", "hi", "lo", distance)
+    found = lambda e, a, b: {tuple(r) for r in connected_components(e, a, b).collect()}
+    assert found(edges, "a", "b") == found(pairs, "id_a", "id_b")
+    assert edges.count() < 2 * len(values) < pairs.count()
+
+
+def test_exact_duplicates_and_report(spark):
+    rows = [("s", "a", "x", 1), ("s", "b", "x", 2), ("t", "a", "y", 3), ("s", "c", "z", 4), ("s", "a", "z", 5), ("s", "a", "w", 6), ("s", "a", None, 7), ("s", "a", None, 8)]
+    m = spark.createDataFrame(rows + [("t", "b", "v", 9), ("s", None, "v", 10)], "dataset string, label string, sha256 string, path int")
+    got = audit.exact_duplicates(m)
+    assert {tuple(r) for r in got.select("sha256", "dataset", "path", "count", "scope", "labels").collect()} == {
+        ("x", "s", 1, 2, "within_s", "a;b"), ("x", "s", 2, 2, "within_s", "a;b"), ("z", "s", 4, 2, "within_s", "a;c"), ("z", "s", 5, 2, "within_s", "a;c"),
+        ("v", "t", 9, 2, "cross_dataset", "b"), ("v", "s", 10, 2, "cross_dataset", "b"),
+    }
+    assert {(r["sha256"], r["paths"]) for r in audit.duplicate_report(got).collect()} == {("x", "1;2"), ("z", "4;5"), ("v", "10;9")}
+    assert audit.exact_duplicates(m.limit(0)).count() == 0
+
+
 def test_links_and_groups(spark):
     m = spark.createDataFrame([("a", "source", "1"), ("b", "source", "1"), ("c", "source", "2"), ("d", "target", "2"), ("e", "source", "3"), ("f", "source", "4")], "path string, dataset string, sha256 string")
     reviews = spark.createDataFrame([("e", "f", "unsure"), ("a", "e", "different"), ("d", "f", "different")], "path_a string, path_b string, decision string")

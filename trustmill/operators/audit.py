@@ -26,14 +26,23 @@ def label_problems(labels: DataFrame, files: DataFrame, columns: list[str], key:
 
 
 def exact_duplicates(manifest: DataFrame, digest: str = "sha256", dataset: str = "dataset", label: str = "label", path: str = "path") -> DataFrame:
-    """(digest, count, scope, labels, paths) of digests held by two files or more; paths follow (dataset, path)."""
-    multi = manifest.groupBy(digest).agg(F.count("*").alias("count")).where("count >= 2")
-    groups = manifest.join(multi, digest).groupBy(digest, "count").agg(
-        F.array_sort(F.collect_set(dataset)).alias("_sets"), F.array_sort(F.collect_set(label)).alias("labels"),
-        F.array_sort(F.collect_list(F.struct(F.col(dataset).alias("d"), F.col(path).alias("p")))).alias("_files"),
-    )
-    scope = F.when(F.size("_sets") > 1, "cross_dataset").otherwise(F.concat(F.lit("within_"), F.get("_sets", F.lit(0))))
-    return groups.select(digest, "count", scope.alias("scope"), F.array_join("labels", ";").alias("labels"), F.array_join(F.transform("_files", lambda f: f["p"].cast("string")), ";").alias("paths"))
+    """(digest, dataset, path, count, scope, labels), one row per file whose digest two files or more hold.
+
+    Only sets of labels are gathered, never the files of a digest, however many copies it has.
+    """
+    classes = manifest.groupBy(digest).agg(F.count("*").alias("count"), F.min(dataset).alias("_lo"), F.max(dataset).alias("_hi"), F.array_sort(F.collect_set(label)).alias("_labels"))
+    scope = F.when(F.col("_lo") == F.col("_hi"), F.concat(F.lit("within_"), F.col("_lo"))).otherwise("cross_dataset")
+    # saved, so that the join can split a digest that very many files hold
+    classes = saved(classes.where("count >= 2").select(digest, "count", scope.alias("scope"), F.array_join("_labels", ";").alias("labels")))
+    return manifest.select(digest, dataset, path).join(classes, digest)
+
+
+def duplicate_report(duplicates: DataFrame, digest: str = "sha256", dataset: str = "dataset", path: str = "path") -> DataFrame:
+    """(digest, count, scope, labels, paths): exact_duplicates with the files of a digest in one row, by (dataset, path),
+    as a report to be read lists them. For groups whose size is known to be small."""
+    files = F.array_sort(F.collect_list(F.struct(F.col(dataset).alias("d"), F.col(path).alias("p"))))
+    rows = duplicates.groupBy(digest, "count", "scope", "labels").agg(files.alias("_files"))
+    return rows.select(digest, "count", "scope", "labels", F.array_join(F.transform("_files", lambda f: f["p"].cast("string")), ";").alias("paths"))
 
 
 def halves(hex64: Column) -> tuple[Column, Column]:
@@ -45,14 +54,14 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
-def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> DataFrame:
-    """(key_a, key_b, distance), key_a < key_b: all pairs of 64-bit hashes at max_distance bits or fewer.
+def near_classes(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """(classes (v, k), links (va, vb, distance)): the distinct 64-bit hashes v, each with its smallest key k, and all
+    pairs va < vb of them at max_distance bits or fewer. Membership is equality of hashes; copies are never paired.
 
     Up to 7 bits by bands: of max_distance + 1 disjoint bands of bits one must agree, so pairs meet in an equi-join and
-    are then verified. Copies of one hash meet in one row per distinct hash first, and are expanded at the end.
-    Larger distances have bands too short to select by, and compare distinct hashes in blocks.
+    are then verified. Larger distances have bands too short to select by, and compare distinct hashes in blocks.
     """
-    distinct = saved(items.groupBy(F.col(hi).alias("h"), F.col(lo).alias("l")).agg(F.min(key).alias("k")).select(F.struct("h", "l").alias("v"), "h", "l"))
+    distinct = saved(items.groupBy(F.col(hi).alias("h"), F.col(lo).alias("l")).agg(F.min(key).alias("k")).select(F.struct("h", "l").alias("v"), "h", "l", "k"))
     a = distinct.select(F.col("v").alias("va"), F.col("h").alias("ha"), F.col("l").alias("la"))
     b = distinct.select(F.col("v").alias("vb"), F.col("h").alias("hb"), F.col("l").alias("lb"))
     d = hamming(F.col("ha"), F.col("la"), F.col("hb"), F.col("lb"))
@@ -73,7 +82,23 @@ def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int)
     else:
         met = a.join(b, F.col("va") < F.col("vb"))
     links = met.where(d <= max_distance).select("va", "vb", d.alias("distance")).distinct()
-    links = links.union(distinct.select("v", "v", F.lit(0)))
+    return distinct.select("v", "k"), links
+
+
+def near_links(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> DataFrame:
+    """(a, b): edges whose components are those of near_pairs, in a number that grows with items and not with pairs of
+    copies: every copy to the smallest key of its hash, and one edge per pair of near hashes."""
+    classes, links = near_classes(items, key, hi, lo, max_distance)
+    classes = saved(classes)
+    copies = items.select(F.col(key).alias("b"), F.struct(F.col(hi).alias("h"), F.col(lo).alias("l")).alias("v")).join(classes, "v").where("b <> k").select(F.col("k").alias("a"), "b")
+    side = lambda x: classes.select(F.col("v").alias(f"v{x}"), F.col("k").alias(x))
+    return copies.union(links.join(side("a"), "va").join(side("b"), "vb").select("a", "b"))
+
+
+def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> DataFrame:
+    """(key_a, key_b, distance), key_a < key_b: near_classes expanded to all pairs of items, copies included."""
+    classes, links = near_classes(items, key, hi, lo, max_distance)
+    links = links.union(classes.select("v", "v", F.lit(0)))
     own = items.select(F.col(key).alias("k"), F.struct(F.col(hi).alias("h"), F.col(lo).alias("l")).alias("v"))
     left, right = own.select(F.col("k").alias("k1"), F.col("v").alias("va")), own.select(F.col("k").alias("k2"), F.col("v").alias("vb"))
     pairs = links.join(left, "va").join(right, "vb").where((F.col("va") != F.col("vb")) | (F.col("k1") < F.col("k2")))

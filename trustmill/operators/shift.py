@@ -74,11 +74,14 @@ def shift_summary(scored: DataFrame, domain: str, distance: str, source: str = "
     return stats.crossJoin(beyond).crossJoin(auroc)  # one row each
 
 
+MOMENTS = "n long, s binary, ss binary"
+
+
 def principal_components(df: DataFrame, key: list[str], features: str, source_only, k: int = 2) -> tuple[DataFrame, list[float]]:
     """(key, pc1.., pck) of all rows on the components of the centred source rows, and the explained shares.
 
-    Sums of outer products are added up by partitions, so the driver gets one (dims x dims) matrix. Signs are fixed so
-    that the largest loading of a component is positive.
+    Every partition adds up its sums of outer products, 64 tasks add up those of the partitions, and the driver gets at
+    most 64 matrices of dims x dims. Signs are fixed so that the largest loading of a component is positive.
     """
     src = df.where(source_only)
     dims = src.select(F.size(features)).first()[0]
@@ -91,7 +94,16 @@ def principal_components(df: DataFrame, key: list[str], features: str, source_on
                 n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "ss": [ss.tobytes()]})
 
-    parts = src.select(features).coalesce(64).mapInPandas(moments, "n long, s binary, ss binary").collect()
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, ss = 0, np.zeros(dims), np.zeros(dims * dims)
+        for pdf in batches:
+            n += int(pdf["n"].sum())
+            s = sum(map(np.frombuffer, pdf["s"]), s)
+            ss = sum(map(np.frombuffer, pdf["ss"]), ss)
+        yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "ss": [ss.tobytes()]})
+
+    sums = src.select(features).mapInPandas(moments, MOMENTS).withColumn("_p", F.spark_partition_id())
+    parts = sums.repartition(64, "_p").drop("_p").mapInPandas(added, MOMENTS).collect()
     n = sum(p["n"] for p in parts)
     mean = sum(np.frombuffer(p["s"]) for p in parts) / n
     cov = sum(np.frombuffer(p["ss"]).reshape(dims, dims) for p in parts) / n - np.outer(mean, mean)

@@ -264,8 +264,8 @@ MANIFEST = """m AS (SELECT doc_id AS path, CASE WHEN source IN ('src0', 'src1',
   octet_length(encode(text))::BIGINT AS size_bytes FROM documents)"""
 
 
-@query(f"""WITH {MANIFEST} SELECT sha256, count(*) AS count, CASE WHEN count(DISTINCT dataset) > 1 THEN 'cross_dataset' ELSE 'within_' || min(dataset) END AS scope,
-array_to_string(list_sort(list(DISTINCT label)), ';') AS labels, string_agg(path::VARCHAR, ';' ORDER BY dataset, path) AS paths FROM m GROUP BY 1 HAVING count(*) >= 2""")
+@query(f"""WITH {MANIFEST} SELECT sha256, dataset, path, count(*) OVER g AS count, CASE WHEN min(dataset) OVER g < max(dataset) OVER g THEN 'cross_dataset' ELSE 'within_' || dataset END AS scope,
+array_to_string(list_sort(list_distinct(list(label) OVER g)), ';') AS labels FROM m WINDOW g AS (PARTITION BY sha256) QUALIFY count(*) OVER g >= 2""")
 def exact_duplicates(spark, d):
     return audit.exact_duplicates(manifest(spark, d))
 
@@ -396,8 +396,7 @@ root AS (SELECT v, min(r) AS root FROM reach GROUP BY 1), g AS (SELECT v AS vec_
 SELECT vec_id, 'c' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS group_id, size FROM g""")
 def near_duplicate_clusters(spark, d):
     items = sign_hash(spark, d)
-    links = audit.near_pairs(items, "vec_id", "hi", "lo", 18).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"))
-    return groups.build_groups(items, links, "vec_id", "c")
+    return groups.build_groups(items, audit.near_links(items, "vec_id", "hi", "lo", 18), "vec_id", "c")
 
 
 QUOTAS = "(VALUES (0, 'train', 0.5::DOUBLE), (1, 'train_aux', 0.1::DOUBLE), (2, 'calibration', 0.15::DOUBLE), (3, 'reserve', 0.1::DOUBLE), (4, 'test', 0.15::DOUBLE)) v(i, subset, p)"
