@@ -25,6 +25,22 @@ def label_problems(labels: DataFrame, files: DataFrame, columns: list[str], key:
     return bad.unionByName(missing).unionByName(extra)
 
 
+def listed_files(labels: DataFrame, files: DataFrame, columns: list[str], key: str = "path", folder: str = "", ending: str = "") -> DataFrame:
+    """(key, label, path): listed files that are present, by the label that is 1, with the path folder + key + ending."""
+    path = F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(ending))
+    return labels.join(files.select(key).distinct(), key, "left_semi").select(key, first_label(columns).alias("label"), path.alias("path"))
+
+
+def file_selection(names: DataFrame, found: DataFrame, copied: DataFrame, key: str, size: str, left_out: Column) -> DataFrame:
+    """(key, state) for a filtered copy: of the listed names, 'missing' where there is no file, 'there' where a copy of
+    the same size exists, else 'copy'; 'left out' for files under the condition left_out that no row names. Copying
+    itself is up to the caller."""
+    own = found.select(key, F.col(size).alias("_size"))
+    state = F.when(F.col("_size").isNull(), "missing").when(F.col("_size") == F.col("_copy"), "there").otherwise("copy")
+    rows = names.select(key).join(own, key, "left").join(copied.select(key, F.col(size).alias("_copy")), key, "left").select(key, state.alias("state"))
+    return rows.unionByName(found.where(left_out).join(names, key, "left_anti").select(key, F.lit("left out").alias("state")))
+
+
 def exact_duplicates(manifest: DataFrame, digest: str = "sha256", dataset: str = "dataset", label: str = "label", path: str = "path") -> DataFrame:
     """(digest, dataset, path, count, scope, labels), one row per file whose digest two files or more hold.
 

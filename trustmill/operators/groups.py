@@ -31,6 +31,12 @@ def collect_links(manifest: DataFrame, reviews: DataFrame, source: str = "source
     return copies.unionByName(inner), out
 
 
+def link_counts(links: DataFrame, reasons: list[str]) -> DataFrame:
+    """(reason, links): how many links each reason gave, zeros included."""
+    axis = links.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, reasons))).alias("reason"))
+    return axis.join(links.groupBy("reason").agg(F.count("*").alias("links")), "reason", "left").na.fill(0, ["links"])
+
+
 def build_groups(pool: DataFrame, links: DataFrame, key: str = "path", letter: str = "g") -> DataFrame:
     """(key, group_id, size): components of the links with both ends in the pool, numbered by their smallest key;
     items without a link are groups of one."""

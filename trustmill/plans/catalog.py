@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trustmill.functions import hashing as H
 from trustmill.functions import scores as S
+from trustmill.functions.storage import saved
 from trustmill.operators import audit, calibration, contracts, groups, learn, metrics, prefix, provenance, resample, shift, splits, views
 from trustmill.streaming import events as streaming
 
@@ -356,6 +357,21 @@ def label_problems(spark, d):
     return audit.label_problems(labels, files, ["quality", "toxic"])
 
 
+@query("""SELECT l.doc_id, CASE WHEN quality = 1 THEN 'quality' WHEN toxic = 1 THEN 'toxic' ELSE 'unlabelled' END AS label, 'files/' || l.doc_id || '.txt' AS path
+FROM labels l JOIN documents d USING (doc_id) WHERE lang = 'en'""")
+def listed_files(spark, d):
+    return audit.listed_files(table(spark, d, "labels"), table(spark, d, "documents").where("lang = 'en'"), ["quality", "toxic"], "doc_id", "files/", ".txt")
+
+
+@query("""SELECT l.doc_id, CASE WHEN lang IS NULL OR lang <> 'en' THEN 'missing' WHEN l.doc_id % 3 = 0 THEN 'there' ELSE 'copy' END AS state
+FROM labels l LEFT JOIN documents d USING (doc_id) WHERE l.doc_id % 4 <> 0
+UNION ALL SELECT doc_id, 'left out' FROM documents WHERE lang = 'en' AND source = 'src1' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 4 <> 0)""")
+def file_selection(spark, d):
+    found = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", F.length("text").alias("size"))
+    copied = found.where("doc_id % 3 <> 1").withColumn("size", F.col("size") + F.col("doc_id") % 3)
+    return audit.file_selection(table(spark, d, "labels").where("doc_id % 4 <> 0"), found, copied, "doc_id", "size", F.col("source") == "src1")
+
+
 # --- groups and splits -----------------------------------------------------------------------------------------------
 
 #: Reviews of pairs of neighbours, decided by the id: every seventh a duplicate, every eleventh unsure, the rest different.
@@ -399,6 +415,13 @@ def near_duplicate_clusters(spark, d):
     return groups.build_groups(items, audit.near_links(items, "vec_id", "hi", "lo", 18), "vec_id", "c")
 
 
+@query(f"""WITH {LINKED}, r AS (SELECT 'exact copy' AS reason FROM h WHERE dataset = 'source' AND outside = 0 AND path <> head UNION ALL
+SELECT 'reviewed ' || decision FROM rs WHERE da = 'source' AND db = 'source')
+SELECT v.reason, count(r.reason) AS links FROM (VALUES ('exact copy'), ('reviewed duplicate'), ('reviewed unsure')) v(reason) LEFT JOIN r ON r.reason = v.reason GROUP BY 1""")
+def link_counts(spark, d):
+    return groups.link_counts(groups.collect_links(manifest(spark, d), reviews(spark, d))[0], ["exact copy", "reviewed duplicate", "reviewed unsure"])
+
+
 QUOTAS = "(VALUES (0, 'train', 0.5::DOUBLE), (1, 'train_aux', 0.1::DOUBLE), (2, 'calibration', 0.15::DOUBLE), (3, 'reserve', 0.1::DOUBLE), (4, 'test', 0.15::DOUBLE)) v(i, subset, p)"
 QUOTA_SQL = f"""c AS (SELECT c_mktsegment AS label, count(*) AS size FROM customer GROUP BY 1), x AS (SELECT *, size * p AS exact FROM c, {QUOTAS}),
 q AS (SELECT *, floor(exact) + (row_number() OVER (PARTITION BY label ORDER BY -(exact - floor(exact)), i) <= size - sum(floor(exact)) OVER (PARTITION BY label))::INT AS quota FROM x)"""
@@ -596,6 +619,17 @@ def nearest_source(spark, d):
     return out.select("vec_id", F.round("nearest", 5).alias("nearest"))
 
 
+@query(f"""WITH {SHIFT}, v AS (SELECT vec_id, label < 5 AS src, list(z ORDER BY dim) AS z FROM z GROUP BY ALL),
+n AS (SELECT a.vec_id, a.src, sqrt(min(list_sum(list_transform(list_zip(a.z, b.z), lambda x: pow(x[1] - x[2], 2))))) AS d FROM v a JOIN v b ON b.src AND a.vec_id <> b.vec_id GROUP BY ALL)
+SELECT round(quantile_cont(d, 0.5::DOUBLE) FILTER (src), 5) AS source_p50, round(quantile_cont(d, 0.5::DOUBLE) FILTER (NOT src), 5) AS target_p50,
+round((SELECT avg((d > (SELECT quantile_cont(d, 0.95::DOUBLE) FROM n WHERE src))::INT) FROM n WHERE NOT src), 6) AS beyond_p95 FROM n""")
+def nearest_shift(spark, d):
+    z = saved(z_scored(spark, d).select("vec_id", "domain", "z"))
+    near = shift.nearest_distance(z, z.where("domain = 'source'"), "vec_id", exclude_self=True).join(z.select("vec_id", "domain"), "vec_id")
+    out = shift.shift_summary(saved(near), "domain", "nearest")
+    return out.select(F.round("source_p50", 5).alias("source_p50"), F.round("target_p50", 5).alias("target_p50"), r6("beyond_p95").alias("beyond_p95"))
+
+
 @query()
 def principal_components(spark, d):
     return shift.principal_components(table(spark, d, "embeddings"), ["vec_id", "label"], "embedding", F.col("label") < 5)[0]
