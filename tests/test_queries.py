@@ -112,6 +112,32 @@ def test_stopped_head_keeps_its_best_epoch():
     assert stopped["epochs_used"] == first + 1
 
 
+def test_failure_grid_judges_held_rows_by_every_method(spark):
+    rows, z, y, seed = vectors(spark)
+    held = np.array([r["vec_id"] % 5 == 0 for r in rows])
+    fail = np.array([float(r["pred"] != r["label"]) for r in rows])
+    got = {(r["seed"], r["method"], r["inputs"], r["recipe"]): r for r in catalog.failure_grid(spark, DIR).collect()}
+    assert len(got) == 3 * (3 + 3 * 2)
+    for s in (0, 1, 2):
+        own, check = (seed == s) & ~held, (seed == s) & held
+        msp = 1 - (np.exp(z) / np.exp(z).sum(1, keepdims=True)).max(1)
+        assert np.isclose(got[s, "msp", "logits", "none"]["auprc"], learn.average_precision(fail[check], msp[check]), equal_nan=True)
+        for recipe, (raw, stopped) in learn.RECIPES.items():
+            r = got[s, "head", "logits", recipe]
+            assert r["n"] == check.sum() and r["errors"] == fail[check].sum() and 1 <= r["epochs_used"] <= 30
+            assert stopped or r["epochs_used"] == 30
+
+
+def test_raw_head_takes_inputs_as_they_are():
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 3, (60, 4))
+    y = (x[:, 0] > 5).astype(float)
+    raw = learn._train(x, y, 8, 3, 0.01, 16, 0.0, 1, raw=True)
+    assert set(raw["mean"]) == {0.0} and set(raw["std"]) == {1.0}
+    scaled = learn._train((x - x.mean(0)) / x.std(0), y, 8, 3, 0.01, 16, 0.0, 1, raw=True)
+    assert np.allclose(scaled["w1"], learn._train(x, y, 8, 3, 0.01, 16, 0.0, 1)["w1"])
+
+
 def test_contract_gates(spark):
     with pytest.raises(ValueError, match="sums: {'bad': 2}"):
         contracts.require_zero(spark.sql("SELECT 0 AS fine, 2 AS bad"), "sums")

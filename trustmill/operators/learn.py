@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from statistics import median
 
 import numpy as np
@@ -35,13 +36,15 @@ def _forward(head: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(h @ np.asarray(head["w2"]) + head["b2"])))
 
 
-def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float, batch: int, l2: float, seed: int, check: tuple[np.ndarray, np.ndarray] | None = None, patience: int = 5) -> dict:
-    """A one-layer ReLU head with a logistic output: Adam on class-weighted cross-entropy, inputs standardised. With rows
-    to check on, the epoch of the best average precision there is kept, and training ends after so many without a
+def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float, batch: int, l2: float, seed: int, check: tuple[np.ndarray, np.ndarray] | None = None, patience: int = 5, raw: bool = False) -> dict:
+    """A one-layer ReLU head with a logistic output: Adam on class-weighted cross-entropy, inputs standardised if not
+    raw. With rows to check on, the epoch of the best average precision there is kept, and training ends after so many without a
     strictly better one."""
     rng = np.random.default_rng(seed)
     mean, std = x.mean(0), x.std(0)
     std[std < 1e-6] = 1.0
+    if raw:
+        mean, std = np.zeros_like(mean), np.ones_like(std)
     z = (x - mean) / std
     pos = min(5.0, (y == 0).sum() / max(1, (y == 1).sum()))
     w = [rng.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
@@ -73,9 +76,9 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, rate: float,
 HEAD = "mean array<double>, std array<double>, w1 array<double>, b1 array<double>, w2 array<double>, b2 double, epochs_used long"
 
 
-def train_heads(df: DataFrame, by: str, features: str, failure: str, hidden: int = 16, epochs: int = 30, rate: float = 5e-4, batch: int = 64, l2: float = 1e-4, seed: int = 42, min_positives: int = 1, checked: str | None = None, patience: int = 5) -> DataFrame:
+def train_heads(df: DataFrame, by: str, features: str, failure: str, hidden: int = 16, epochs: int = 30, rate: float = 5e-4, batch: int = 64, l2: float = 1e-4, seed: int = 42, min_positives: int = 1, checked: str | None = None, patience: int = 5, raw: bool = False) -> DataFrame:
     """(by, weights, epochs_used): one head per group, each in one pandas frame; a group with fewer positives is an
-    error. Rows where the flag `checked` holds aren't trained on, but tell when to stop."""
+    error. Inputs are standardised if not raw. Rows where the flag `checked` holds aren't trained on, but tell when to stop."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy().astype(float)
@@ -83,15 +86,16 @@ def train_heads(df: DataFrame, by: str, features: str, failure: str, hidden: int
             raise ValueError(f"{int(y.sum())} positives; {min_positives} are needed")
         held = pdf["held"].to_numpy().astype(bool)
         check = (x[held], y[held]) if held.any() else None
-        return pd.DataFrame([{"by": pdf["by"].iloc[0], **_train(x[~held], y[~held], hidden, epochs, rate, batch, l2, seed, check, patience)}])
+        return pd.DataFrame([{"by": pdf["by"].iloc[0], **_train(x[~held], y[~held], hidden, epochs, rate, batch, l2, seed, check, patience, raw)}])
 
     kind = df.schema[by].dataType.simpleString()
     rows = df.select(F.col(by).alias("by"), F.col(features).alias("x"), F.col(failure).cast("int").alias("y"), (F.coalesce(F.col(checked), F.lit(False)) if checked else F.lit(False)).alias("held"))
     return rows.groupBy("by").applyInPandas(one, f"by {kind}, {HEAD}").withColumnRenamed("by", by)
 
 
-def head_scores(df: DataFrame, heads: DataFrame, by: str, features: str, out: str = "head_score") -> DataFrame:
-    """df plus sigmoid(w2 relu(w1 z + b1) + b2), z the standardised features; heads has one row per group."""
+def head_scores(df: DataFrame, heads: DataFrame, by: str, features: str, out: str = "head_score", keep_epochs: bool = False) -> DataFrame:
+    """df plus sigmoid(w2 relu(w1 z + b1) + b2), z the standardised features; heads has one row per group. With
+    keep_epochs, also plus epochs_used."""
 
     @F.pandas_udf("double")
     def forward(x: pd.Series, mean: pd.Series, std: pd.Series, w1: pd.Series, b1: pd.Series, w2: pd.Series, b2: pd.Series) -> pd.Series:
@@ -105,7 +109,25 @@ def head_scores(df: DataFrame, heads: DataFrame, by: str, features: str, out: st
         return pd.Series(out)
 
     joined = df.join(heads, by)
-    return joined.withColumn(out, forward(features, "mean", "std", "w1", "b1", "w2", "b2")).drop("mean", "std", "w1", "b1", "w2", "b2", "epochs_used")
+    return joined.withColumn(out, forward(features, "mean", "std", "w1", "b1", "w2", "b2")).drop("mean", "std", "w1", "b1", "w2", "b2", *([] if keep_epochs else ["epochs_used"]))
+
+
+#: Recipes of head_grid: whether inputs stay raw, and whether the held rows tell when to stop (else all epochs are used).
+RECIPES = {"raw, stopped early": (True, True), "standardised, all epochs": (False, False)}
+
+
+def head_grid(df: DataFrame, by: str, keys: list[str], inputs: dict[str, Column | str], failure: str, held: str, epochs: int = 30, **settings) -> DataFrame:
+    """(by, keys, failure, inputs, recipe, epochs_used, score) of the held rows: a head for every group, every set of
+    inputs (name -> array column) and every recipe, each trained on the group's other rows."""
+    rows = df.select(by, *keys, failure, F.coalesce(F.col(held), F.lit(False)).alias("_held"), F.inline(F.array(*[F.struct(F.lit(n).alias("inputs"), (F.col(c) if isinstance(c, str) else c).cast("array<double>").alias("_x")) for n, c in inputs.items()])))
+    rows = rows.withColumn("_key", F.concat_ws("|", F.col(by).cast("string"), "inputs"))
+    out = []
+    for recipe, (raw, stopped) in RECIPES.items():
+        own = rows if stopped else rows.where("NOT _held")
+        heads = train_heads(own, "_key", "_x", failure, epochs=epochs, checked="_held" if stopped else None, raw=raw, **settings)
+        scored = head_scores(rows.where("_held"), heads, "_key", "_x", "score", keep_epochs=True)
+        out.append(scored.select(by, *keys, failure, "inputs", F.lit(recipe).alias("recipe"), "epochs_used", "score"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def logistic_regression(df: DataFrame, features: str, label: str, c: float = 1.0):

@@ -671,6 +671,21 @@ def failure_head_stopped(spark, d):
     return learn.head_scores(rows, heads, "seed", "x").select("vec_id", "seed", "failure", "head_score")
 
 
+@query()
+def failure_grid(spark, d):
+    """Ranking metrics on every fifth vector of untrained scores and of heads over three sets of inputs by two recipes."""
+    rows = logits(spark, d).withColumns({"error": (F.col("pred") != F.col("label")).cast("int"), "held": F.col("vec_id") % 5 == 0})
+    rows = saved(rows.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id"))
+    wide = rows.where("held").withColumns({"msp": 1 - F.array_max("probs"), "entropy": S.entropy("probs"), "margin": S.margin("probs")})
+    plain = metrics.method_scores(wide, ["seed", "error"], {m: m for m in ("msp", "entropy", "margin")}).withColumns({"inputs": F.lit("logits"), "recipe": F.lit("none"), "epochs_used": F.lit(None).cast("long")})
+    inputs = {"logits": "logits", "features": "embedding", "features and logits": F.concat(F.col("embedding").cast("array<double>"), "logits")}
+    heads = learn.head_grid(rows, "seed", ["vec_id"], inputs, "error", "held").drop("vec_id").withColumn("method", F.lit("head"))
+    keys = ["seed", "method", "inputs", "recipe"]
+    both = saved(plain.unionByName(heads))
+    used = both.groupBy(*keys).agg(F.max("epochs_used").alias("epochs_used"))
+    return metrics.ranking_metrics(both, keys).join(used, keys).select(*keys, "epochs_used", "n", "errors", "auroc", "auprc")
+
+
 @query()
 def failure_logistic(spark, d):
     rows = logits(spark, d).withColumn("failure", (F.col("pred") != F.col("label")).cast("int"))
