@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import conversations, decontaminate, language_id, pii, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
+from trustmill.llm import conversations, decontaminate, language_id, periodic_runs, pii, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
     "op11_conversation_repair": conversations.ORACLE,
+    "op12_periodic_runs": periodic_runs.ORACLE,
 }
