@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustmill.llm import conversations, decontaminate, language_id, periodic_runs, pii, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
+from trustmill.llm import conversations, decontaminate, language_id, periodic_runs, pii, quality, quality_model, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_quality_classifier": quality_model.op13_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
