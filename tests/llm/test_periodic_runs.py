@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustmill.llm import periodic_runs
+from trustmill.llm import common, periodic_runs
 
 
 def some_texts(seed, n, longest=60):
@@ -110,4 +110,4 @@ def test_query_on_odd_texts(spark, duck, tmp_path):
 
 def test_portions():
     texts = ["a" * 5, None, "b" * 9, "", "c" * 30, "d"]
-    assert [len(p) for p in periodic_runs.in_portions(texts, 10)] == [2, 2, 1, 1]
+    assert [len(p) for p in common.in_portions(texts, 10)] == [2, 2, 1, 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def literal_rows(spark: SparkSession, rows_json: str, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows_json), f"array<struct<{schema}>>")))
 
 
+def in_portions(texts: list[str | None], limit: int) -> Iterator[list[str | None]]:
+    """texts in their order, in lists of at most limit characters or of one text."""
+    held, total = [], 0
+    for t in texts:
+        if held and total + len(t or "") > limit:
+            yield held
+            held, total = [], 0
+        held.append(t)
+        total += len(t or "")
+    if held:
+        yield held
+
+
 def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Arrow batches of a few MB at most, however long the texts are: bounds what a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")

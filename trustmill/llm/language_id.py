@@ -16,12 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
-from trustmill.llm.common import small_batches, table
+from trustmill.llm.common import in_portions, table
 
 WINDOW = 256
 FILTERS = 24
@@ -32,6 +32,8 @@ WIDTHS = (2, 4)
 SAMPLE_PER_LANG, PIECES_PER_ROW, SAMPLE_ROWS, SHORTEST = 400, 3, 80_000, 12
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
+#: Texts are taken together up to so many characters.
+TOGETHER = 1_000_000
 
 
 @dataclass
@@ -167,15 +169,16 @@ def classify(net: Network, tables, texts: list[str | None]) -> list[tuple[str, f
 
 
 def training_sample(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """(piece, language): PIECES_PER_ROW pieces of at most SAMPLE_PER_LANG rows of each language. Rows, and the places of
-    pieces in the whole texts, are drawn by hashes of id and text. Rows without a label or without a letter teach
-    nothing; without any other, the sample is empty."""
+    """(piece, language): PIECES_PER_ROW pieces of at most SAMPLE_PER_LANG different rows of each language, those with the
+    smallest hashes of id and text; the places of pieces in the whole texts are drawn by the same hash. Rows that are equal
+    in both count once, so every language with a usable row is learned, however often its rows are repeated. Rows without
+    a label or without a letter teach nothing; without any other, the sample is empty."""
     rows = docs.where(usable).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
-    counts = saved(rows.groupBy("lang").count())
-    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, counts.count())))
-    # the hash thins each language to about four times its sample before anything is ranked
-    rows = rows.join(counts, "lang").where(F.pmod("draw", "count") < 4 * each)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("draw"), "text"))).where(F.col("rank") <= each)
+    draws = saved(rows.select("lang", "draw").distinct())
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, draws.select("lang").distinct().count())))
+    # each task keeps the smallest of a language that it sees, before a language's rows meet
+    chosen = draws.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= each)
+    rows = rows.join(saved(chosen), ["lang", "draw"]).groupBy("lang", "draw", "rank").agg(F.min("text").alias("text"))
     size = lambda k: F.lit(WINDOW) if k == 0 else SHORTEST + F.pmod(F.xxhash64("draw", F.lit(2 * k)), F.lit(WINDOW - SHORTEST))
     start = lambda k: 1 + F.pmod(F.xxhash64("draw", F.lit(2 * k + 1)), F.greatest(F.lit(1), F.length("text") - size(k) + 1))
     pieces = F.array_distinct(F.array(*[F.substring("text", start(k).cast("int"), size(k).cast("int")) for k in range(PIECES_PER_ROW)]))
@@ -188,19 +191,18 @@ def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
     text if nothing was there to learn from. Of languages with equal scores the first by name is taken. Texts of any
     length are read whole; repeated rows are judged alike; an empty table gives an empty one. Columns of these names are
     replaced, others passed on; none may be named _judged."""
-    spark = docs.sparkSession
-    small_batches(spark, 2)
-    held = spark.sparkContext.broadcast(vars(net))  # plain arrays; the pair tables are made on the worker: 65536 x FILTERS floats each
+    held = docs.sparkSession.sparkContext.broadcast(vars(net))  # plain arrays; the pair tables are made on the worker: 65536 x FILTERS floats each
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Network(**held.value)
         tables = pair_tables(own) if own.langs else []
-        for texts in batches:
-            yield pd.DataFrame(classify(own, tables, [t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
+        for batch in batches:
+            langs, scores = zip(*[x for texts in in_portions(batch.to_pylist(), TOGETHER) for x in classify(own, tables, texts)], strict=True) if len(batch) else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     # not to be run again for a filter on its result
-    return docs.drop("lang_pred", "score").withColumn("_judged", judge.asNondeterministic()(F.col(text_col))).select("*", "_judged.lang_pred", "_judged.score").drop("_judged")
+    judge = F.arrow_udf(judge, "lang_pred string, score double").asNondeterministic()
+    return docs.drop("lang_pred", "score").withColumn("_judged", judge(F.col(text_col).cast("string"))).select("*", "_judged.lang_pred", "_judged.score").drop("_judged")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -208,6 +210,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each row of `documents`, learned from labelled rows that aren't held out. Null texts and those
+    without a letter are `und`; rows with null ids are learned from; repeated rows are judged alike; other columns are
+    ignored; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     net = trained(training_sample(docs, ~held_out()))
     return predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")

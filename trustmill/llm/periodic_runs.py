@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustmill.llm.common import table, words_of
+from trustmill.llm.common import in_portions, table, words_of
 
 #: A run has at least so many words, and so many times its period.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -229,23 +229,10 @@ def examined(texts: list[str | None]) -> tuple[list[np.ndarray], list[str]]:
     return found, left
 
 
-def in_portions(texts: list[str | None], limit: int = TOGETHER) -> Iterator[list[str | None]]:
-    """texts in their order, in lists of at most limit characters or of one text."""
-    held, total = [], 0
-    for t in texts:
-        if held and total + len(t or "") > limit:
-            yield held
-            held, total = [], 0
-        held.append(t)
-        total += len(t or "")
-    if held:
-        yield held
-
-
 def _examine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         found, left = [], []
-        for texts in in_portions(batch.to_pylist()):
+        for texts in in_portions(batch.to_pylist(), TOGETHER):
             for out, more in zip((found, left), examined(texts), strict=True):
                 out += more
         flat = np.concatenate(found) if found else np.zeros((0, 3), np.int64)

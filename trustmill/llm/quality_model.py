@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
 from trustmill.llm.common import table
-from trustmill.llm.periodic_runs import in_portions
 
 #: Random features; folds of the labelled rows, by a hash of the text, so that copies are in one; bins of the histogram
 #: of scores, over a range that most scores of labels 0 and 1 are in (those outside count to the first and last).
@@ -61,7 +60,7 @@ def described(docs: DataFrame, text_col: str = "text", out: str = "stats") -> Da
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([list(map(float, statistics(t))) for some in in_portions(batch.to_pylist()) for t in some], pa.list_(pa.float64()))
+            yield pa.array([list(map(float, statistics(t))) for t in map(pa.StringScalar.as_py, batch)], pa.list_(pa.float64()))
 
     return docs.withColumn(out, F.arrow_udf(run, "array<double>").asNondeterministic()(F.col(text_col).cast("string")))
 
