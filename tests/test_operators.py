@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustmill.functions.hashing import stable_seed
-from trustmill.operators import audit, calibration, groups, learn, prefix, provenance, shift, splits
+from trustmill.operators import audit, calibration, groups, hamming, learn, prefix, provenance, shift, splits
 from trustmill.operators.components import connected_components
 from trustmill.sources import files
 from trustmill.streaming import events
@@ -48,7 +48,43 @@ def test_quotas_and_subset_sums(spark):
         assert abs(got - target) == min(abs(x - target) for x in every)
 
 
-@pytest.mark.parametrize("distance", [1, 5, 7, 12])
+def test_bands_lose_no_pair():
+    """Any split of a distance over the bands leaves one within its radius; and no smaller radii would do."""
+    for distance in range(25):
+        for many in range(2, 34):
+            plan = hamming.bands(distance, many)
+            assert sum(b.radius + 1 for b in plan) == distance + 1 and all(b.width <= 32 and b.ball() == len(set(b.masks())) for b in plan if b.ball() < 5000)
+    few, lots = hamming.best_bands(6, 1000), hamming.best_bands(6, 10**8)
+    assert len(few) > len(lots) and hamming.rows_made(lots, 10**8) < 1e-3 * 10**16 / 2
+    assert hamming.best_bands(18, 10**6)
+
+
+@pytest.mark.parametrize("many", [2, 3, 4, 5, 8, 13])
+def test_any_number_of_bands_finds_all(spark, many):
+    rng = np.random.default_rng(many)
+    base = [int(x) for x in rng.integers(0, 2**63, 25)] + [0, 2**64 - 1]
+    flip = lambda v, n: v ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False))
+    values = list({*base, *[flip(b, n) for b in base for n in range(1, 9)]})
+    df = spark.createDataFrame([(i, v >> 32, v & (2**32 - 1)) for i, v in enumerate(values)], "v int, h long, l long")
+    got = [tuple(r) for r in hamming.close_pairs(df, 7, hamming.bands(7, many)).collect()]
+    want = {(a, b, (values[a] ^ values[b]).bit_count()) for b in range(len(values)) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 7}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_no_pairwise_comparison_in_the_plan(spark):
+    df = spark.range(3000).select(F.col("id").alias("v"), (F.col("id") * 7919 % 4294967296).alias("h"), (F.col("id") * 104729 % 4294967296).alias("l"))
+    plan = hamming.close_pairs(df, 18)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sweep_without_exact_copies(spark):
+    rows = [(1, 5, 0, "x"), (2, 5, 0, "x"), (3, 5, 1, "x"), (4, 5, 1, "y"), (5, 5, 1, None), (6, None, 1, "z")]
+    items = spark.createDataFrame(rows, "id int, hi long, lo long, sha string")
+    got = {tuple(r) for r in audit.near_pairs(items, "id", "hi", "lo", 3, "sha").collect()}
+    assert got == {(1, 4, 1), (2, 4, 1), (3, 4, 0), (1, 5, 1), (2, 5, 1), (3, 5, 0), (4, 5, 0)}
+
+
+@pytest.mark.parametrize("distance", [0, 1, 5, 7, 12])
 def test_near_pairs(spark, distance):
     rng = np.random.default_rng(4)
     base = [int(x) for x in rng.integers(0, 2**62, 20)]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
+from trustmill.operators.hamming import close_pairs
 from trustmill.operators.prefix import numbered
 
 
@@ -66,39 +67,13 @@ def halves(hex64: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(hex64, 1, 8), 16, 10).cast("long"), F.conv(F.substring(hex64, 9, 8), 16, 10).cast("long")
 
 
-def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
-    return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
-
-
 def near_classes(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
     """(classes (v, k), links (va, vb, distance)): the distinct 64-bit hashes v, each with its smallest key k, and all
     pairs va < vb of them at max_distance bits or fewer. Membership is equality of hashes; copies are never paired.
-
-    Up to 7 bits by bands: of max_distance + 1 disjoint bands of bits one must agree, so pairs meet in an equi-join and
-    are then verified. Larger distances have bands too short to select by, and compare distinct hashes in blocks.
-    """
-    distinct = saved(items.groupBy(F.col(hi).alias("h"), F.col(lo).alias("l")).agg(F.min(key).alias("k")).select(F.struct("h", "l").alias("v"), "h", "l", "k"))
-    a = distinct.select(F.col("v").alias("va"), F.col("h").alias("ha"), F.col("l").alias("la"))
-    b = distinct.select(F.col("v").alias("vb"), F.col("h").alias("hb"), F.col("l").alias("lb"))
-    d = hamming(F.col("ha"), F.col("la"), F.col("hb"), F.col("lb"))
-    if max_distance <= 7:
-        n = max_distance + 1
-        cuts = [32 * 2 * i // n for i in range(n + 1)]
-
-        def band(h: Column, low: Column, i: int) -> Column:
-            parts = []
-            for start, col in ((0, h), (32, low)):
-                s, e = max(cuts[i], start), min(cuts[i + 1], start + 32)
-                if s < e:
-                    parts.append(F.shiftright(col, s - start).bitwiseAND(F.lit((1 << (e - s)) - 1).cast("long")))
-            return F.struct(F.lit(i).alias("i"), parts[0].alias("x"), (parts[1] if len(parts) > 1 else F.lit(0).cast("long")).alias("y"))
-
-        banded = lambda t, h, low: t.withColumn("band", F.explode(F.array(*[band(F.col(h), F.col(low), i) for i in range(n)])))
-        met = banded(a, "ha", "la").join(banded(b, "hb", "lb"), "band").where(F.col("va") < F.col("vb"))
-    else:
-        met = a.join(b, F.col("va") < F.col("vb"))
-    links = met.where(d <= max_distance).select("va", "vb", d.alias("distance")).distinct()
-    return distinct.select("v", "k"), links
+    Items without a hash are in no class."""
+    known = items.where(F.col(hi).isNotNull() & F.col(lo).isNotNull())
+    distinct = saved(known.groupBy(F.col(hi).alias("h"), F.col(lo).alias("l")).agg(F.min(key).alias("k")).select(F.struct("h", "l").alias("v"), "h", "l", "k"))
+    return distinct.select("v", "k"), close_pairs(distinct.select("v", "h", "l"), max_distance)
 
 
 def near_links(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> DataFrame:
@@ -111,13 +86,16 @@ def near_links(items: DataFrame, key: str, hi: str, lo: str, max_distance: int)
     return copies.union(links.join(side("a"), "va").join(side("b"), "vb").select("a", "b"))
 
 
-def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> DataFrame:
-    """(key_a, key_b, distance), key_a < key_b: near_classes expanded to all pairs of items, copies included."""
+def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int, digest: str | None = None) -> DataFrame:
+    """(key_a, key_b, distance), key_a < key_b: near_classes expanded to all pairs of items, copies included. With digest,
+    pairs whose digests are equal are left out: exact copies have a list of their own (exact_duplicates)."""
     classes, links = near_classes(items, key, hi, lo, max_distance)
     links = links.union(classes.select("v", "v", F.lit(0)))
-    own = items.select(F.col(key).alias("k"), F.struct(F.col(hi).alias("h"), F.col(lo).alias("l")).alias("v"))
-    left, right = own.select(F.col("k").alias("k1"), F.col("v").alias("va")), own.select(F.col("k").alias("k2"), F.col("v").alias("vb"))
+    own = items.select(F.col(key).alias("k"), F.struct(F.col(hi).alias("h"), F.col(lo).alias("l")).alias("v"), (F.col(digest) if digest else F.lit(None).cast("string")).alias("s"))
+    left, right = own.select(F.col("k").alias("k1"), F.col("v").alias("va"), F.col("s").alias("s1")), own.select(F.col("k").alias("k2"), F.col("v").alias("vb"), F.col("s").alias("s2"))
     pairs = links.join(left, "va").join(right, "vb").where((F.col("va") != F.col("vb")) | (F.col("k1") < F.col("k2")))
+    if digest:
+        pairs = pairs.where(F.coalesce(F.col("s1") != F.col("s2"), F.lit(True)))
     return pairs.select(F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -132,17 +110,19 @@ def pair_scope(a: Column, b: Column) -> Column:
     return F.when(a == b, F.concat_ws("-", a, b)).otherwise("cross")
 
 
-def distance_sweep(pairs: DataFrame, max_distance: int) -> DataFrame:
-    """(distance, pairs, within, cross, different_label, not_reviewed) for every distance from 0, zeros included.
+def distance_sweep(pairs: DataFrame, max_distance: int, scopes: list[str]) -> DataFrame:
+    """(distance, pairs, one column per scope with its pairs, different_label, not_reviewed, pairs_up_to) for every distance
+    from 0, zeros included; pairs_up_to counts those of smaller distances too, so its last value is the total.
 
     pairs has distance, scope, same_label and already_reviewed.
     """
     counts = pairs.groupBy("distance").agg(
-        F.count("*").alias("pairs"), F.count_if(F.col("scope") != "cross").alias("within"), F.count_if(F.col("scope") == "cross").alias("cross"),
+        F.count("*").alias("pairs"), *[F.count_if(F.col("scope") == s).alias(s) for s in scopes],
         F.count_if(~F.col("same_label")).alias("different_label"), F.count_if(~F.col("already_reviewed")).alias("not_reviewed"),
     )
     axis = pairs.sparkSession.range(max_distance + 1).select(F.col("id").cast("int").alias("distance"))
-    return axis.join(counts, "distance", "left").na.fill(0)
+    out = axis.join(counts, "distance", "left").na.fill(0)
+    return out.withColumn("pairs_up_to", F.sum("pairs").over(Window.orderBy("distance")))  # a row for each distance
 
 
 def review_sheet(pairs: DataFrame, order: list[str], per_sheet: int = 6) -> DataFrame:

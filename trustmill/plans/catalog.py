@@ -282,9 +282,9 @@ n AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, (bit_count(xor(a.hi, b.
   a.label AS label_a, b.label AS label_b FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 18)"""
 
 
-def labelled_pairs(spark, d) -> DataFrame:
-    items = sign_hash(spark, d)
-    pairs = audit.near_pairs(items, "vec_id", "hi", "lo", 18)
+def labelled_pairs(spark, d, items=None, digest=None) -> DataFrame:
+    items = sign_hash(spark, d) if items is None else items
+    pairs = audit.near_pairs(items, "vec_id", "hi", "lo", 18, digest)
     side = lambda s: items.select(F.col("vec_id").alias(f"vec_id_{s}"), F.col("label").alias(f"label_{s}"))
     return pairs.join(side("a"), "vec_id_a").join(side("b"), "vec_id_b").withColumn("same_label", F.col("label_a") == F.col("label_b"))
 
@@ -294,15 +294,20 @@ def near_duplicate_pairs(spark, d):
     return labelled_pairs(spark, d).select("vec_id_a", "vec_id_b", "distance", "same_label")
 
 
-@query(f"""WITH {SIGNS}, w AS (SELECT n.*, (vec_id_a + vec_id_b) % 5 = 0 AS reviewed, CASE WHEN (label_a < 5) = (label_b < 5) THEN 'within' ELSE 'cross' END AS scope FROM n)
-SELECT k::INT AS distance, count(distance) AS pairs, count(*) FILTER (scope = 'within' AND distance IS NOT NULL) AS within, count(*) FILTER (scope = 'cross') AS "cross",
-count(*) FILTER (NOT same_label) AS different_label, count(*) FILTER (NOT reviewed) AS not_reviewed FROM range(19) r(k) LEFT JOIN w ON distance = k GROUP BY 1""")
+@query(f"""WITH {SIGNS}, f AS (SELECT doc_id AS k, sha256(text) AS sha FROM documents),
+w AS (SELECT n.*, (vec_id_a + vec_id_b) % 5 = 0 AS reviewed, CASE WHEN (label_a < 5) <> (label_b < 5) THEN 'cross' WHEN label_a < 5 THEN 'source-source' ELSE 'target-target' END AS scope
+  FROM n LEFT JOIN f x ON x.k = vec_id_a LEFT JOIN f y ON y.k = vec_id_b WHERE coalesce(x.sha <> y.sha, true))
+SELECT k::INT AS distance, count(distance) AS pairs, count(*) FILTER (scope = 'source-source') AS "source-source", count(*) FILTER (scope = 'target-target') AS "target-target",
+count(*) FILTER (scope = 'cross') AS "cross", count(*) FILTER (NOT same_label) AS different_label, count(*) FILTER (NOT reviewed) AS not_reviewed,
+(sum(count(distance)) OVER (ORDER BY k))::BIGINT AS pairs_up_to FROM range(19) r(k) LEFT JOIN w ON distance = k GROUP BY k""")
 def distance_sweep(spark, d):
-    pairs = labelled_pairs(spark, d)
+    """Items are the vectors, whose exact copies are those of the document of the same number."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.sha2("text", 256).alias("sha"))
+    pairs = labelled_pairs(spark, d, sign_hash(spark, d).join(texts, "vec_id", "left"), "sha")
     half = lambda c: F.when(F.col(c) < 5, "source").otherwise("target")
     pairs = pairs.withColumn("scope", audit.pair_scope(half("label_a"), half("label_b")))
     reviews = pairs.where((F.col("vec_id_a") + F.col("vec_id_b")) % 5 == 0).select(F.col("vec_id_b").alias("vec_id_a"), F.col("vec_id_a").alias("vec_id_b"))
-    return audit.distance_sweep(audit.with_reviewed(pairs, reviews, "vec_id_a", "vec_id_b"), 18)
+    return audit.distance_sweep(audit.with_reviewed(pairs, reviews, "vec_id_a", "vec_id_b"), 18, ["source-source", "target-target", "cross"])
 
 
 @query(f"WITH {SIGNS} SELECT row_number() OVER (ORDER BY distance, vec_id_a, vec_id_b) AS pair_id, vec_id_a, vec_id_b, distance, floor((row_number() OVER (ORDER BY distance, vec_id_a, vec_id_b) - 1) / 6)::BIGINT AS sheet, '' AS decision FROM n")
