@@ -202,9 +202,18 @@ def _edges_between(members: DataFrame, sets: DataFrame) -> DataFrame:
     return _similar(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), rooted)
 
 
-def _torn(crowded: DataFrame, found: DataFrame) -> DataFrame:
+def _merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node, root) after the components at the two ends of each edge (a, b) have become one: only components are
+    searched, not their nodes again. A root is the smallest node of its component."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = edges.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b").select("root_a", "root_b").distinct()
+    found = connected_components(between, "root_a", "root_b").withColumnRenamed("node", "root")
+    return saved(nodes.join(found, "root", "left").select("node", F.coalesce("component", "root").alias("root")))
+
+
+def _torn(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     """(k, node, root) of the keys whose nodes are in several components."""
-    rooted = saved(crowded.join(found, "node", "left").select("k", "node", F.coalesce("component", "node").alias("root")))
+    rooted = saved(crowded.join(nodes, "node").select("k", "node", "root"))
     keys = saved(rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
     return saved(rooted.join(keys, "k", "left_semi"))
 
@@ -244,21 +253,21 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = alike.join(wanted, "node").select("node", F.col("at.id").alias("_id"), F.col("at.key").alias("_key"))
     texts = own.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text")
     sets = saved(texts.dropDuplicates(["node"]).mapInArrow(_sets, "node long, shingles array<long>"))
-    edges = saved(_similar(near, sets))
-    found = saved(connected_components(edges, "a", "b"))
-    torn = _torn(crowded, found)
-    draw = lambda r: F.min(F.struct(F.xxhash64("root" if r % 2 else "node", F.lit(r)).alias("h"), F.col("node").alias("a"), F.col("root").alias("root_a")))
+    edges = _similar(near, sets)
+    nodes = _merged(alike.select("node", F.col("node").alias("root")), edges)
+    # sketches travel with the nodes of torn keys, so that a pair that they rule out is never made
+    torn = _torn(crowded, nodes).join(alike.select("node", "n", "odd"), "node")
+    torn = saved(torn.select("k", F.col("node").alias("b"), "root", F.col("n").alias("nb"), F.col("odd").alias("ob")))
+    draw = lambda r: F.min(F.struct(F.xxhash64("root" if r % 2 else "b", F.lit(r)).alias("h"), F.col("b").alias("a"), F.col("root").alias("root_a"), F.col("nb").alias("na"), F.col("ob").alias("oa")))
     leaders = saved(torn.groupBy("k").agg(F.array(*[draw(r) for r in range(LEADERS)]).alias("drawn")).select("k", F.inline("drawn")).drop("h").distinct())
-    met = torn.join(leaders, "k").where("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    met = saved(met.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar()).select("a", "b"))
-    edges = saved(edges.union(_similar(met, sets)))
-    found = saved(connected_components(edges, "a", "b"))
-    rest = saved(_edges_between(_torn(crowded, found).select("node", "root").distinct(), sets))
+    met = torn.join(leaders, "k").where(F.col("root") != F.col("root_a")).where(_may_be_similar())
+    met = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = _merged(nodes, _similar(met, sets))
+    rest = saved(_edges_between(_torn(crowded, nodes).select("node", "root").distinct(), sets))
     if not rest.isEmpty():
-        found = connected_components(edges.union(rest), "a", "b")
-    grouped = alike.join(found, "node", "left").where("component IS NOT NULL OR copies > 1")
-    grouped = saved(grouped.select("digest", "at", F.coalesce("component", "node").alias("root")))
-    keepers = saved(grouped.groupBy("root").agg(F.min("at").alias("keeper")))
+        nodes = _merged(nodes, rest)
+    grouped = saved(alike.join(nodes, "node").select("digest", "at", "copies", "root"))
+    keepers = saved(grouped.groupBy("root").agg(F.min("at").alias("keeper"), F.sum("copies").alias("rows")).where("rows > 1"))
     stays = grouped.join(keepers, "root").select("digest", F.col("keeper.id").alias("keeper"), F.col("keeper.key").alias("keeper_key"))
     return sketches.select("id", "key", "digest").join(stays, "digest").drop("digest")
 
