@@ -41,11 +41,63 @@ def test_quotas_and_subset_sums(spark):
     parts = {"train": 0.5, "train_aux": 0.1, "calibration": 0.15, "reserve": 0.1, "test": 0.15}
     q = splits.subset_quotas(spark.createDataFrame([("h", 1645)], "label string, size long"), ["label"], "size", parts)
     assert {r["subset"]: r["quota"] for r in q.collect()} == {"train": 823, "train_aux": 164, "calibration": 247, "reserve": 164, "test": 247}
-    sizes = [5, 3, 9, 2]
-    for target in range(20):
-        got = sum(sizes[i] for i in splits.closest_subset(sizes, target))
-        every = {sum(s for i, s in enumerate(sizes) if m >> i & 1) for m in range(16)}
-        assert abs(got - target) == min(abs(x - target) for x in every)
+
+
+def one_by_one(sizes, counts, want, ties):
+    """Group by group, biggest first: the part that lacks most, of equal ones that of the least rank."""
+    want, out = list(want), []
+    for s, c, rank in zip(sizes, counts, ties, strict=True):
+        own = [0] * len(want)
+        for _ in range(c):
+            i = min(range(len(want)), key=lambda i: (-want[i], rank[i]))
+            want[i] -= s
+            own[i] += 1
+        out.append(own)
+    return out
+
+
+def test_greedy_counts_equal_one_group_at_a_time():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        sizes = sorted({int(x) for x in rng.integers(1, 12, rng.integers(1, 6))}, reverse=True)
+        counts = [int(x) for x in rng.integers(1, 15, len(sizes))]
+        want = [int(x) for x in rng.integers(0, 60, rng.integers(1, 6))]
+        ties = [[int(x) for x in rng.permutation(len(want))] for _ in sizes]
+        assert splits.greedy_counts(sizes, counts, want, ties) == one_by_one(sizes, counts, want, ties)
+    many = splits.greedy_counts([7, 1], [10**9, 10**10], [10**10, 6 * 10**9, 10**9], [[0, 1, 2]] * 2)
+    assert [sum(x) for x in many] == [10**9, 10**10] and [7 * a + b for a, b in zip(*many, strict=True)] == [10**10, 6 * 10**9, 10**9]
+
+
+def test_closest_counts(monkeypatch):
+    """The sum is the closest that any subset has, of two the lower one; few of the numbers are far from their share. So it
+    is too where most groups are fixed by their share beforehand."""
+    rng = np.random.default_rng(9)
+    for most in (1 << 26, 0):
+        monkeypatch.setattr(splits, "MOST_SUMS", most)
+        for _ in range(150):
+            sizes = [int(x) for x in rng.permutation(np.arange(1, 30) * int(rng.integers(1, 4)))[: rng.integers(1, 5)]]
+            counts = [int(x) for x in rng.integers(1, 400 if most == 0 else 9, len(sizes))]
+            sums = {0}
+            for s, c in zip(sizes, counts, strict=True):
+                sums = {t + s * m for t in sums for m in range(c + 1)} if len(sums) * c < 3e5 else sums | {t + s * m for t in sums for m in range(0, c + 1)}
+            for target in (0, 1, int(sum(s * c for s, c in zip(sizes, counts, strict=True)) * 0.2), int(rng.integers(0, 200)), 10**7):
+                taken = splits.closest_counts(sizes, counts, target)
+                got = sum(s * m for s, m in zip(sizes, taken, strict=True))
+                assert all(0 <= m <= c for m, c in zip(taken, counts, strict=True)) and got == min(sums, key=lambda t: (abs(t - target), t > target))
+    assert splits.closest_counts([], [], 3) == []
+    monkeypatch.setattr(splits, "MOST_SUMS", 1 << 26)
+    assert splits.closest_counts([1, 3], [10**11, 10**10], 26 * 10**9) == [20 * 10**9, 2 * 10**9]
+
+
+def test_group_splits_of_odd_rows(spark):
+    rows = [("a", 1, "x"), ("b", 1, "x"), ("c", 3, "x"), ("d", 2, None), ("e", 1, "y")]
+    df = spark.createDataFrame(rows, "k string, size int, label string")
+    out = {r["k"]: r["subset"] for r in splits.assign_greedily(df, "label", "size", "k", {"p": 0.6, "q": 0.4}).collect()}
+    assert set(out) == {"a", "b", "c", "e"} and out["c"] == out["e"] == "p" and {out["a"], out["b"]} == {"q"}
+    assert splits.assign_greedily(df.limit(0), "label", "size", "k", {"p": 1.0}).count() == 0
+    members = spark.createDataFrame([(g, label) for g, n, label in [("g1", 4, "x"), ("g2", 1, "x"), ("g3", 5, None), ("g4", 5, "x")] for _ in range(n)], "g string, label string")
+    got = {r["g"]: (r["size"], r["part"]) for r in splits.secondary_split(members, "label", "g").collect()}
+    assert got == {"g1": (4, "train"), "g2": (1, "val"), "g4": (5, "train")}
 
 
 def test_bands_lose_no_pair():
@@ -204,11 +256,23 @@ def test_heads_and_history(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 4))
     df = spark.createDataFrame([(1, v.tolist(), int(v[0] + v[1] > 0)) for v in x], "seed int, x array<double>, failure int")
-    heads = learn.train_heads(df, "seed", "x", "failure", epochs=40, rate=0.01)
+    heads = learn.train_heads(df, "seed", "x", "failure", learn.Recipe(epochs=40, rate=0.01))
     scored = learn.head_scores(df, heads, "seed", "x").select("failure", "head_score").toPandas()
     assert ((scored["head_score"] > 0.5) == scored["failure"]).mean() > 0.9
-    history = spark.createDataFrame([(1, e, m) for e, m in enumerate([0.1, 0.3, 0.2, 0.3, 0.2, 0.9])], "seed int, epoch long, auprc double")
-    assert tuple(learn.best_epoch(history, ["seed"], "epoch", "auprc", 3).first()) == (1, 1, 0.3)
+    with pytest.raises(ValueError, match="50 positives"):
+        learn.train_heads(df.limit(60), "seed", "x", "failure")
+
+
+def test_best_epoch(spark):
+    histories = {1: [0.1, 0.3, 0.2, 0.3, 0.2, 0.9], 2: [0.5, None, float("nan"), 0.6, 0.7], 3: [None, None], 4: [0.2, 0.1, 0.1, 0.1, 0.3], 5: [0.1, 0.2, 0.3]}
+    rows = [(s, e, m) for s, h in histories.items() for e, m in enumerate(h)]
+    got = {tuple(r) for r in learn.best_epoch(spark.createDataFrame(rows, "seed int, epoch long, auprc double"), ["seed"], "epoch", "auprc", 3).collect()}
+    assert got == {(1, 1, 0.3), (2, 4, 0.7), (3, None, None), (4, 0, 0.2), (5, 2, 0.3)}
+
+
+def test_timed():
+    ticks = []
+    assert learn.timed(lambda: ticks.append(1), warm=2, runs=3) >= 0 and len(ticks) == 5
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -46,14 +46,27 @@ def test_temperature_bootstrap_equals_plain_search(spark):
 
 
 def test_logistic_is_at_the_optimum(spark):
-    """The gradient of the penalised, class-weighted loss is zero where the model stands."""
-    rows, z, y, _ = vectors(spark)
-    got = [r["weight"] for r in catalog.failure_logistic(spark, DIR).orderBy("term").collect()]
-    fail = np.array([int(r["pred"] != r["label"]) for r in rows])
-    weight = np.where(fail == 1, len(fail) / (2 * fail.sum()), len(fail) / (2 * (len(fail) - fail.sum())))
-    p = 1 / (1 + np.exp(-(z @ np.array(got[1:]) + got[0])))
-    e = weight * (p - fail)
-    assert abs(e.sum()) < 0.05 * len(fail) ** 0.5 and np.abs(z.T @ e + np.array(got[1:])).max() < 0.05 * len(fail) ** 0.5
+    """The gradient of the penalised loss, failures weighted by min(5, negatives / positives), is zero for each seed."""
+    _, z, y, seed = vectors(spark)
+    fail = np.array([float(r["pred"] != r["label"]) for r in vectors(spark)[0]])
+    out = catalog.failure_logistic(spark, DIR).orderBy("seed", "term").collect()
+    for s in (0, 1, 2):
+        w = np.array([r["weight"] for r in out if r["seed"] == s])
+        own, true = z[seed == s], fail[seed == s]
+        x = np.column_stack([np.ones(len(own)), (own - own.mean(0)) / own.std(0)])
+        weight = np.where(true == 1, min(5, (true == 0).sum() / (true == 1).sum()), 1.0)
+        gradient = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - true)) + np.append(0, w[1:])
+        assert len(w) == z.shape[1] + 1 and np.abs(gradient).max() < 1e-6
+
+
+def test_logistic_of_odd_rows(spark):
+    rows = [(1, [float(i), 2.0], i % 3 == 0) for i in range(40)] + [(1, None, True), (1, [1.0, 2.0], None), (None, [1.0, 1.0], True), (2, [1.0, 5.0], False), (2, [2.0, 5.0], False)]
+    df = spark.createDataFrame([(g, x, None if y is None else int(y)) for g, x, y in rows], "g int, x array<double>, y int")
+    models = learn.logistic_models(df, "g", "x", "y")
+    got = {r["g"]: r for r in models.collect()}
+    assert set(got) == {1, 2} and got[1]["weights"][2] == 0 and got[2]["weights"][0] < -5
+    scores = learn.logistic_scores(df.where("x IS NOT NULL"), models, "g", "x").collect()
+    assert len(scores) == 43 and all(0 <= r["score"] <= 1 for r in scores)
 
 
 def test_principal_components_equal_svd(spark):
@@ -101,41 +114,130 @@ def test_paired_bootstrap_equals_plain_loop(spark):
     assert np.allclose([r["aurc"] for r in reps], want, atol=1e-12)
 
 
-def test_stopped_head_keeps_its_best_epoch():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(200, 5))
-    y = (x[:, 0] + rng.normal(size=200) > 0.5).astype(float)
-    check = (x[150:], y[150:])
-    stopped = learn._train(x[:150], y[:150], 8, 40, 0.05, 32, 0.0, 3, check, patience=5)
-    values = [learn.average_precision(y[150:], learn._forward(learn._train(x[:150], y[:150], 8, e, 0.05, 32, 0.0, 3), x[150:])) for e in range(1, 41)]
-    first = next(e for e in range(40) if e + 5 >= 40 or max(values[e + 1 : e + 6]) <= max(values[: e + 1]) and values[e] == max(values[: e + 1]))
-    assert stopped["epochs_used"] == first + 1
+def plain_head(group, shards, held, positive, recipe):
+    """(weights by epoch, average precision by epoch on held) of a loop over batches, all shards averaged after each
+    epoch; written out with matrices of its own."""
+    h, d = recipe.hidden, shards[0][0].shape[1]
+    crc = zlib.crc32(str(group).encode())
+    first = np.random.default_rng([recipe.seed, crc])
+    w = [first.uniform(-1, 1, d * h).reshape(d, h) / d**0.5, first.uniform(-1, 1, h) / d**0.5, first.uniform(-1, 1, h) / h**0.5, first.uniform(-1, 1, 1) / h**0.5]
+    m, v, t = [0 * a for a in w], [0 * a for a in w], 0
+    states, marks = [], []
+    for epoch in range(1, recipe.epochs + 1):
+        ends = []
+        for k, (x, y) in enumerate(shards):
+            own, mm, vv, tt = [a.copy() for a in w], [a.copy() for a in m], [a.copy() for a in v], t
+            draw = np.random.default_rng([recipe.seed, crc, epoch, k])
+            order = draw.permutation(len(y))
+            while len(order):
+                rows, order = order[: recipe.batch], order[recipe.batch :]
+                kept = draw.random((len(rows), h)) >= recipe.dropout
+                before = x[rows] @ own[0] + own[1]
+                hidden = np.where(before > 0, before, 0) * kept / (1 - recipe.dropout)
+                p = 1 / (1 + np.exp(-(hidden @ own[2] + own[3])))
+                e = (p - y[rows]) * np.where(y[rows] > 0, positive, 1) / len(rows)
+                back = e[:, None] * own[2][None] * kept / (1 - recipe.dropout) * (before > 0)
+                tt += 1
+                for i, g in enumerate([x[rows].T @ back + 2 * recipe.l2 * own[0], back.sum(0), hidden.T @ e, e.sum(keepdims=True)]):
+                    mm[i], vv[i] = 0.9 * mm[i] + 0.1 * g, 0.999 * vv[i] + 0.001 * g**2
+                    own[i] = own[i] - recipe.rate * mm[i] / (1 - 0.9**tt) / ((vv[i] / (1 - 0.999**tt)) ** 0.5 + 1e-8)
+            ends.append((len(y), own, mm, vv, tt))
+        total = sum(e[0] for e in ends)
+        mean = lambda j: [sum(e[0] * e[j][i] for e in ends) / total for i in range(4)]
+        w, m, v, t = mean(1), mean(2), mean(3), sum(e[0] * e[4] for e in ends) / total
+        states.append([a.copy() for a in w])
+        if held is not None:
+            score = 1 / (1 + np.exp(-(np.maximum(held[0] @ w[0] + w[1], 0) @ w[2] + w[3])))
+            marks.append(learn.average_precision(held[1], score))
+    return states, marks
+
+
+def best_of(marks, patience):
+    best, at = -np.inf, 0
+    for e, x in enumerate(marks, 1):
+        if x > best:
+            best, at = x, e
+        elif e - at >= patience:
+            break
+    return at
+
+
+def head_rows(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(2, 3, size=(n, 5))
+    y = (x[:, 0] + rng.normal(size=n) * 2 > 3).astype(int)
+    held = np.arange(n) % 4 == 0
+    df = spark.createDataFrame([(7, v.tolist(), int(f), bool(k)) for v, f, k in zip(x, y, held, strict=True)], "g int, x array<double>, y int, held boolean").coalesce(1)
+    return x, y.astype(float), held, df
+
+
+@pytest.mark.parametrize(("shard_rows", "raw", "checked"), [(10_000, False, None), (10_000, True, "held"), (200, False, None), (200, True, "held")])
+def test_heads_equal_a_plain_loop(spark, shard_rows, raw, checked):
+    """A group in one piece and one in three shards; with and without early stopping."""
+    x, y, held, df = head_rows(spark, 600, 3)
+    recipe = learn.Recipe(hidden=6, epochs=9, rate=0.03, patience=2, raw=raw)
+    head = learn.train_heads(df, "g", "x", "y", recipe, checked=checked, shard_rows=shard_rows).collect()
+    train = ~held if checked else np.ones(600, bool)
+    mean, std = (x[train].mean(0), x[train].std(0)) if not raw else (np.zeros(5), np.ones(5))
+    z = (x - mean) / std
+    if shard_rows == 10_000:
+        order = np.lexsort([y, *x.T[::-1]])
+        order = order[train[order]]
+        shards = [(z[order], y[order])]
+    else:
+        shards = [(z[(np.arange(600) % 3 == k) & train], y[(np.arange(600) % 3 == k) & train]) for k in range(3)]
+    positive = min(5, (y[train] == 0).sum() / (y[train] == 1).sum())
+    states, marks = plain_head(7, shards, (z[held], y[held]) if checked else None, positive, recipe)
+    at = best_of(marks, recipe.patience) if checked else recipe.epochs
+    assert len(head) == 1 and head[0]["epochs_used"] == at
+    got = learn.Head(5, recipe, np.array(head[0]["state"]))
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(got.parts(got.weights), states[at - 1], strict=True))
+    assert np.allclose(head[0]["mean"], mean) and np.allclose(head[0]["std"], std)
+    scored = learn.head_scores(df.union(df.limit(1).selectExpr("99", "x", "y", "held")), spark.createDataFrame(head), "g", "x", keep_epochs=True).collect()
+    assert len(scored) == 600 and {r["epochs_used"] for r in scored} == {at}
+
+
+def test_heads_in_slices(spark, monkeypatch):
+    """More heads than are sent at once give the same scores."""
+    rows = [(g, [float(i), float(g)], i % 2) for g in range(7) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, x array<double>, y int")
+    heads = learn.train_heads(df, "g", "x", "y", learn.Recipe(hidden=3, epochs=2), min_positives=1)
+    score = lambda: sorted((r["g"], r["x"][0], r["head_score"]) for r in learn.head_scores(df, heads, "g", "x").collect())
+    whole = score()
+    monkeypatch.setattr(learn, "HEADS_AT_ONCE", 2)
+    assert score() == whole and len(whole) == len(rows)
 
 
 def test_failure_grid_judges_held_rows_by_every_method(spark):
     rows, z, y, seed = vectors(spark)
-    held = np.array([r["vec_id"] % 5 == 0 for r in rows])
+    ids = np.array([r["vec_id"] for r in rows])
+    held = ids % 5 == 0
     fail = np.array([float(r["pred"] != r["label"]) for r in rows])
     got = {(r["seed"], r["method"], r["inputs"], r["recipe"]): r for r in catalog.failure_grid(spark, DIR).collect()}
-    assert len(got) == 3 * (3 + 3 * 2)
+    assert len(got) == 3 * (3 + 1 + 3 * 2)
+    picks = {}
+    for r in catalog.resample.draws(spark.createDataFrame([(int(i),) for i in sorted(set(ids[held] // 30))], "original long"), "original", 500, seed=12345).collect():
+        picks.setdefault(r["resample"], []).extend([r["original"]] * r["weight"])
     for s in (0, 1, 2):
-        own, check = (seed == s) & ~held, (seed == s) & held
+        check = (seed == s) & held
         msp = 1 - (np.exp(z) / np.exp(z).sum(1, keepdims=True)).max(1)
         assert np.isclose(got[s, "msp", "logits", "none"]["auprc"], learn.average_precision(fail[check], msp[check]), equal_nan=True)
+        values = []
+        for pick in picks.values():
+            some = np.concatenate([np.flatnonzero(check & (ids // 30 == o)) for o in pick]) if pick else np.zeros(0, int)
+            if 0 < fail[some].sum() < len(some):
+                values.append(learn.average_precision(fail[some], msp[some]))
+        assert np.allclose([got[s, "msp", "logits", "none"][f"auprc_{k}"] for k in ("low", "high")], np.percentile(values, [2.5, 97.5]))
         for recipe, (raw, stopped) in learn.RECIPES.items():
             r = got[s, "head", "logits", recipe]
-            assert r["n"] == check.sum() and r["errors"] == fail[check].sum() and 1 <= r["epochs_used"] <= 30
+            assert r["n"] == check.sum() and r["errors"] == fail[check].sum() and 1 <= r["epochs_used"] <= 30 and r["auprc_low"] <= r["auprc"] <= r["auprc_high"]
             assert stopped or r["epochs_used"] == 30
 
 
-def test_raw_head_takes_inputs_as_they_are():
-    rng = np.random.default_rng(2)
-    x = rng.normal(5, 3, (60, 4))
-    y = (x[:, 0] > 5).astype(float)
-    raw = learn._train(x, y, 8, 3, 0.01, 16, 0.0, 1, raw=True)
-    assert set(raw["mean"]) == {0.0} and set(raw["std"]) == {1.0}
-    scaled = learn._train((x - x.mean(0)) / x.std(0), y, 8, 3, 0.01, 16, 0.0, 1, raw=True)
-    assert np.allclose(scaled["w1"], learn._train(x, y, 8, 3, 0.01, 16, 0.0, 1)["w1"])
+def test_heads_have_the_size_of_the_workload():
+    r = learn.Recipe()
+    assert (r.hidden, r.dropout, r.batch, r.rate, r.l2, r.epochs, r.patience, r.cap) == (64, 0.30, 64, 5e-4, 1e-4, 30, 5, 5.0)
+    assert inspect.signature(learn.train_heads).parameters["min_positives"].default == 50
 
 
 def test_contract_gates(spark):
@@ -145,7 +247,6 @@ def test_contract_gates(spark):
     with pytest.raises(ValueError):
         contracts.require_none(spark.range(1), "rows")
     contracts.require_none(spark.range(0), "rows")
-    assert splits.closest_subset([], 3) == []
 
 
 class Called(Exception):
@@ -158,7 +259,7 @@ class Called(Exception):
         ("temperature_bootstrap", calibration, "temperature_intervals", "resamples", 500),
         ("bootstrap_interval", resample, "draws", "resamples", 2000),
         ("paired_bootstrap", resample, "numpy_draws", "resamples", 2000),
-        ("failure_head", learn, "train_heads", "epochs", 30),
+        ("failure_head", learn, "train_heads", "recipe", learn.Recipe()),
     ],
 )
 def test_whole_job(spark, monkeypatch, name, module, function, parameter, value):

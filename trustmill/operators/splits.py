@@ -48,64 +48,127 @@ def assign_in_order(groups: DataFrame, label: str, size: str, key: str, parts: d
     return out.select(*groups.columns, "subset")
 
 
+def greedy_counts(sizes: list[int], counts: list[int], want: list[int], ties: list[list[int]]) -> list[list[int]]:
+    """How many groups of each size go to each part, if groups come biggest first and each goes to the part that lacks
+    most: one list a size, sizes falling. ties: for each size, the rank of each part among parts that lack the same.
+
+    Groups of a size s are alike: a part that lacks d would take one at d, d - s, d - 2s, ..., and the count highest of
+    these of all parts are taken. So a level is searched for that so many lie at or above, however many groups there are.
+    """
+    lacks, out = list(want), []
+    for s, c, rank in zip(sizes, counts, ties, strict=True):
+        above = lambda level, s=s: [max(0, (d - level) // s + 1) for d in lacks]  # noqa: E731, B023
+        low, high = min(lacks) - s * c, max(lacks) + 1  # at low all are taken, at high none
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if sum(above(middle)) >= c else (low, middle)
+        taken = above(low + 1)
+        left = c - sum(taken)
+        level = [i for i, (x, y) in enumerate(zip(above(low), taken, strict=True)) if x > y]
+        for i in sorted(level, key=lambda i: rank[i])[:left]:
+            taken[i] += 1
+        lacks = [d - s * n for d, n in zip(lacks, taken, strict=True)]
+        out.append(taken)
+    return out
+
+
+def _dealt(groups: DataFrame, numbers: DataFrame, label: str, size: str, key: str, seed: int) -> DataFrame:
+    """groups plus the column part of numbers (label, size, part, first, many): in each label and size, the groups whose
+    place in hash order is first or one of the many - 1 after it."""
+    own = groups.withColumn("_draw", hash32(F.lit(seed), F.col(key))).withColumn("_one", F.lit(1).cast("long"))
+    placed = running_before(own, [label, size], ["_draw", key], {"_place": "_one"})
+    ranges = numbers.select(F.col(label).alias("_l"), F.col(size).alias("_s"), "part", "first", "many")
+    met = placed.join(ranges, (F.col(label) == F.col("_l")) & (F.col(size) == F.col("_s")))
+    return met.where((F.col("_place") >= F.col("first")) & (F.col("_place") < F.col("first") + F.col("many"))).select(*groups.columns, "part")
+
+
 def assign_greedily(groups: DataFrame, label: str, size: str, key: str, parts: dict[str, float], seed: int = 42) -> DataFrame:
-    """(key, label, size, subset): per label, groups shuffled, biggest first, each to the subset with the largest deficit,
-    ties drawn. Sequential by nature: one pandas frame per label, so labels must fit in memory; see assign_in_order."""
-    names, shares = list(parts), np.array(list(parts.values()))
+    """(groups, subset): per label, biggest groups first, each to the subset with the largest deficit against its quota, of
+    equal ones the one with the least hash of seed, label, size and name; groups of one size in an order by hash.
+
+    Groups of one size are alike, so only how many of each size go where is worked out, from a table of the sizes of a
+    label; groups are then dealt by their places, over any number of tasks. Groups without a label are left out.
+    """
+    names = list(parts)
+    known = groups.where(F.col(label).isNotNull()).withColumn(size, F.col(size).cast("long"))
+    sizes = saved(known.groupBy(label, size).agg(F.count("*").alias("n")))
+    quota = subset_quotas(sizes.groupBy(label).agg(F.sum(F.col(size) * F.col("n")).alias("_n")), [label], "_n", parts)
+    want = quota.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct("subset", "quota"))).alias("want")).select(label, F.array(*[F.col("want")[s] for s in names]).alias("want"))
+    table = sizes.join(want, label).select(F.col(label).alias("label"), F.col(size).alias("size"), "n", "want", F.array(*[hash32(F.lit(seed), F.col(label), F.col(size), F.lit(s)) for s in names]).alias("ties"))
+    kind = groups.schema[label].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, sum(map(ord, str(pdf["label"].iloc[0])))])
-        pdf = pdf.sort_values("key").iloc[rng.permutation(len(pdf))].sort_values("size", ascending=False, kind="stable")
-        exact = pdf["size"].sum() * shares
-        want = np.floor(exact)
-        for i in np.argsort(-(exact - want), kind="stable")[: int(round(pdf["size"].sum() - want.sum()))]:
-            want[i] += 1
-        chosen = []
-        for s in pdf["size"]:
-            best = np.flatnonzero(want == want.max())
-            i = int(best[rng.integers(len(best))]) if len(best) > 1 else int(best[0])
-            want[i] -= s
-            chosen.append(names[i])
-        return pdf.assign(subset=chosen)
-
-    rows = groups.select(F.col(key).cast("string").alias("key"), F.col(label).cast("string").alias("label"), F.col(size).cast("long").alias("size"))
-    return rows.groupBy("label").applyInPandas(one, "key string, label string, size long, subset string").select(F.col("key").alias(key), F.col("label").alias(label), F.col("size").alias(size), "subset")
-
-
-def closest_subset(sizes: list[int], target: int) -> list[int]:
-    """Positions of sizes whose sum is closest to target; of equals the one not above it, then the earliest found."""
-    # for each sum, the position that first made it; no sum beyond target and the largest size can be closest
-    most = max(target, 0) + max(sizes, default=0)
-    first = np.full(most + 1, -1, np.int64)
-    reached = np.zeros(most + 1, bool)
-    reached[0] = True
-    for i, s in enumerate(sizes):
-        if 0 <= target and reached[target]:
-            break  # later positions can't change how it is made
-        fresh = np.flatnonzero(reached[: most + 1 - s]) + s
-        fresh = fresh[~reached[fresh]]
-        first[fresh], reached[fresh] = i, True
-    total = min(np.flatnonzero(reached).tolist(), key=lambda t: (abs(t - target), t > target, t))
-    out = []
-    while total:
-        out.append(int(first[total]))
-        total -= sizes[out[-1]]
-    return sorted(out)
+        pdf = pdf.sort_values("size", ascending=False)
+        counts = greedy_counts(pdf["size"].tolist(), pdf["n"].tolist(), [int(x) for x in pdf["want"].iloc[0]], [list(x) for x in pdf["ties"]])
+        rows = [(label, s, names[i], sum(own[:i]), own[i]) for label, s, own in zip(pdf["label"], pdf["size"], counts, strict=True) for i in range(len(names))]
+        return pd.DataFrame(rows, columns=["label", "size", "part", "first", "many"])
+
+    numbers = saved(table.groupBy("label").applyInPandas(one, f"label {kind}, size long, part string, first long, many long"))
+    numbers = numbers.where("many > 0").withColumnsRenamed({"label": label, "size": size} if (label, size) != ("label", "size") else {})
+    return _dealt(known, numbers, label, size, key, seed).withColumnRenamed("part", "subset")
+
+
+#: Sums up to which all are marked in one bit set; above, counts far from the parts' shares are fixed first.
+MOST_SUMS = 1 << 26
+
+
+def closest_counts(sizes: list[int], counts: list[int], target: int) -> list[int]:
+    """How many groups of each size to take so that the sum comes closest to target; of two equally close sums the one not
+    above it. From the largest size down, as near as possible to the size's share of groups (of two numbers as near, the
+    smaller) such that smaller ones can make up the rest.
+
+    Whatever the number of groups: where sums are too many to mark, all but so many groups of each size are taken or left
+    by their share. A closest sum is still found: the steps from there to one need never pass the same difference twice.
+    """
+    total, target = sum(s * c for s, c in zip(sizes, counts, strict=True)), max(target, 0)
+    if not total:
+        return [0] * len(sizes)
+    if min(total, target) + max(sizes) > MOST_SUMS:
+        free = (len(sizes) + 3) * max(sizes) + 1
+        base = [max(0, c * min(target, total) // total - free) for c in counts]
+        rest = [min(c - b, 2 * free) for b, c in zip(base, counts, strict=True)]
+        if base != [0] * len(base) or rest != counts:
+            more = closest_counts(sizes, rest, target - sum(s * b for s, b in zip(sizes, base, strict=True)))
+            return [b + m for b, m in zip(base, more, strict=True)]
+    order = np.argsort(sizes, kind="stable").tolist()
+    most = min(total, target + max(sizes))
+    reached = [1]  # bit t: a sum of t; one entry after each size, from the smallest
+    for i in order:
+        bits, left, step = reached[-1], counts[i], 1
+        while left and sizes[i] * step <= most:
+            now = min(step, left)
+            bits |= bits << (sizes[i] * now)
+            left, step = left - now, step * 2
+        reached.append(bits & ((1 << (most + 1)) - 1))
+    below = (reached[-1] & ((1 << (target + 1)) - 1)).bit_length() - 1
+    beyond = reached[-1] >> target
+    above = target + (beyond & -beyond).bit_length() - 1 if beyond else None
+    rest = above if above is not None and above - target < target - below else below
+    out = [0] * len(sizes)
+    for k in range(len(order) - 1, -1, -1):
+        i = order[k]
+        fits = (m for m in sorted(range(min(counts[i], rest // sizes[i]) + 1), key=lambda m: (abs(m * total - counts[i] * target), m)) if reached[k] >> (rest - m * sizes[i]) & 1)
+        out[i] = next(fits)
+        rest -= out[i] * sizes[i]
+    return out
 
 
 def secondary_split(members: DataFrame, label: str, group: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """(group, label, size, part): 'val' groups per label by subset sums closest to largest-remainder targets, the rest
-    'train'. Groups are taken in hash order; one pandas frame per label."""
-    groups = saved(members.groupBy(group).agg(F.min(label).alias("label"), F.count("*").alias("size")))
-    targets = largest_remainder(groups.groupBy("label").agg(F.sum("size").alias("n")), "label", "n", fraction).select("label", "target")
-    rows = groups.join(targets, "label").select(F.col(group).cast("string").alias("grp"), F.col("label").cast("string").alias("label"), "size", "target", hash32(F.lit(seed), F.col(group)).alias("draw"))
+    """(group, label, size, part): whole groups in 'val', per label with the sum of sizes closest to its largest-remainder
+    target, the rest in 'train'. How many groups of each size are taken comes from a table of the sizes of a label
+    (closest_counts); which ones, from an order by hash. A group's label is its smallest; groups without one are left out."""
+    groups = saved(members.groupBy(group).agg(F.min(label).alias("label"), F.count("*").alias("size")).where("label IS NOT NULL"))
+    sizes = saved(groups.groupBy("label", "size").agg(F.count("*").alias("n")))
+    targets = largest_remainder(sizes.groupBy("label").agg(F.sum(F.col("size") * F.col("n")).alias("n")), "label", "n", fraction).select("label", "target")
+    kind = groups.schema["label"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "grp"]).reset_index(drop=True)
-        val = set(closest_subset(pdf["size"].tolist(), int(pdf["target"].iloc[0])))
-        return pdf.assign(part=["val" if i in val else "train" for i in range(len(pdf))])[["grp", "label", "size", "part"]]
+        taken = closest_counts(pdf["size"].tolist(), pdf["n"].tolist(), int(pdf["target"].iloc[0]))
+        rows = [x for label, s, n, m in zip(pdf["label"], pdf["size"], pdf["n"], taken, strict=True) for x in ((label, s, "val", 0, m), (label, s, "train", m, n - m))]
+        return pd.DataFrame(rows, columns=["label", "size", "part", "first", "many"])
 
-    return rows.groupBy("label").applyInPandas(one, "grp string, label string, size long, part string").withColumnRenamed("grp", group)
+    numbers = sizes.join(targets, "label").groupBy("label").applyInPandas(one, f"label {kind}, size long, part string, first long, many long")
+    return _dealt(groups, saved(numbers), "label", "size", group, seed)
 
 
 def split_violations(assigned: DataFrame, allowed: list[str], path: str = "path", group: str = "group_id", subset: str = "subset", links: DataFrame | None = None) -> DataFrame:

@@ -453,13 +453,39 @@ def stratified_split(spark, d):
     return splits.assign_in_order(rows, "label", "size", "c_custkey", PARTS)
 
 
-@query()
+H32 = "('0x' || substr(sha256({}), 1, 8))::BIGINT"
+ORDER_GROUPS = f"""o AS (SELECT o_custkey, min(o_orderpriority) AS label, count(*) AS size, {H32.format("'42:' || o_custkey")} AS draw FROM orders GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {ORDER_GROUPS}, c AS (SELECT label, sum(size) AS size FROM o GROUP BY 1), x AS (SELECT *, size * p AS exact FROM c, {QUOTAS}),
+q AS (SELECT label, list(floor(exact)::BIGINT + (k <= missing)::BIGINT ORDER BY i) AS want FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY -(exact - floor(exact)), i) AS k,
+  size - sum(floor(exact)) OVER (PARTITION BY label) AS missing FROM x) GROUP BY 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, draw, o_custkey) AS k, row_number() OVER (PARTITION BY label, size ORDER BY draw, o_custkey) - 1 AS place FROM o),
+t AS (SELECT label, size, list({H32.format("'42:' || label || ':' || size || ':' || subset")} ORDER BY i) AS ties FROM (SELECT DISTINCT label, size FROM o), {QUOTAS} GROUP BY 1, 2),
+walk AS (SELECT label, 0::BIGINT AS k, 0::BIGINT AS size, want, 0::BIGINT AS chosen FROM q
+  UNION ALL SELECT label, k, size, list_transform(want, lambda w, i: CASE WHEN i = best.i THEN w - size ELSE w END), best.i
+  FROM (SELECT w.label, g.k, g.size, w.want, list_min(list_transform(w.want, lambda x, i: {{'d': -x, 't': t.ties[i], 'i': i::BIGINT}})) AS best
+    FROM walk w JOIN g ON g.label = w.label AND g.k = w.k + 1 JOIN t ON t.label = g.label AND t.size = g.size)),
+m AS (SELECT label, size, chosen, count(*) AS many FROM walk WHERE k > 0 GROUP BY 1, 2, 3), n AS (SELECT *, sum(many) OVER (PARTITION BY label, size ORDER BY chosen) - many AS first FROM m)
+SELECT o_custkey, g.label, g.size, v.subset FROM g JOIN n ON n.label = g.label AND n.size = g.size AND place >= first AND place < first + many JOIN {QUOTAS} ON v.i = chosen - 1""")
 def greedy_group_split(spark, d):
     rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("label"), F.count("*").alias("size"))
     return splits.assign_greedily(rows, "label", "size", "o_custkey", PARTS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDER_GROUPS}, c0 AS (SELECT label, sum(size) AS n FROM o GROUP BY 1), c AS (SELECT *, round_even(sum(n) OVER () * 0.2::DOUBLE, 0) AS t FROM c0), x AS (SELECT *, n * 0.2::DOUBLE AS e FROM c),
+l AS (SELECT label, n, (floor(e) + (row_number() OVER (ORDER BY -(e - floor(e)), label) <= t - sum(floor(e)) OVER ())::INT)::BIGINT AS target FROM x),
+h AS (SELECT label, size, count(*) AS c, row_number() OVER (PARTITION BY label ORDER BY size) AS k FROM o GROUP BY 1, 2),
+reach AS (SELECT label, 0::BIGINT AS k, 0::BIGINT AS s FROM l UNION SELECT r.label, h.k, r.s + m.m * h.size FROM reach r JOIN h ON h.label = r.label AND h.k = r.k + 1 JOIN l ON l.label = r.label
+  JOIN range(1000) m(m) ON m.m <= h.c AND r.s + m.m * h.size <= l.target + (SELECT max(size) FROM h)),
+sums AS (SELECT label, k, list(s) AS reached FROM reach GROUP BY 1, 2), top AS (SELECT label, max(k) AS k FROM h GROUP BY 1),
+best AS (SELECT label, k, list_min(list_transform(reached, lambda s: {{'d': abs(s - target), 'o': s > target, 's': s}})).s AS rest FROM top JOIN sums USING (label, k) JOIN l USING (label)),
+pick AS (SELECT label, k + 1 AS k, rest, 0::BIGINT AS m FROM best
+  UNION ALL SELECT label, k, rest - m * size, m FROM (SELECT p.label, h.k, p.rest, h.size,
+    list_min(list_transform(list_filter(range(h.c + 1), lambda m: list_contains(s.reached, p.rest - m * h.size)), lambda m: {{'d': abs(m * l.n - h.c * l.target), 'm': m}})).m AS m
+    FROM pick p JOIN h ON h.label = p.label AND h.k = p.k - 1 JOIN sums s ON s.label = p.label AND s.k = h.k - 1 JOIN l ON l.label = p.label))
+SELECT o_custkey, o.label, o.size, CASE WHEN row_number() OVER (PARTITION BY o.label, o.size ORDER BY draw, o_custkey) <= pick.m THEN 'val' ELSE 'train' END AS part
+FROM o JOIN h ON h.label = o.label AND h.size = o.size JOIN pick ON pick.label = o.label AND pick.k = h.k""")
 def secondary_split(spark, d):
     return splits.secondary_split(table(spark, d, "orders"), "o_orderpriority", "o_custkey")
 
@@ -678,24 +704,36 @@ def failure_head_stopped(spark, d):
 
 @query()
 def failure_grid(spark, d):
-    """Ranking metrics on every fifth vector of untrained scores and of heads over three sets of inputs by two recipes."""
-    rows = logits(spark, d).withColumns({"error": (F.col("pred") != F.col("label")).cast("int"), "held": F.col("vec_id") % 5 == 0})
+    """Ranking metrics on every fifth vector, with intervals of the average precision over 500 resamples of originals (30
+    numbers in a row), of untrained scores, a logistic reference, and heads over three sets of inputs by two recipes."""
+    rows = logits(spark, d).withColumns({"error": (F.col("pred") != F.col("label")).cast("int"), "held": F.col("vec_id") % 5 == 0, "original": F.floor(F.col("vec_id") / 30)})
     rows = saved(rows.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id"))
     wide = rows.where("held").withColumns({"msp": 1 - F.array_max("probs"), "entropy": S.entropy("probs"), "margin": S.margin("probs")})
-    plain = metrics.method_scores(wide, ["seed", "error"], {m: m for m in ("msp", "entropy", "margin")}).withColumns({"inputs": F.lit("logits"), "recipe": F.lit("none"), "epochs_used": F.lit(None).cast("long")})
+    named = {"inputs": F.lit("logits"), "recipe": F.lit("none"), "epochs_used": F.lit(None).cast("long")}
+    plain = metrics.method_scores(wide, ["seed", "original", "error"], {m: m for m in ("msp", "entropy", "margin")}).withColumns(named)
+    models = learn.logistic_models(rows.where("NOT held"), "seed", "logits", "error")
+    logistic = learn.logistic_scores(rows.where("held"), models, "seed", "logits").select("seed", "original", "error", F.lit("logistic").alias("method"), "score").withColumns(named)
     inputs = {"logits": "logits", "features": "embedding", "features and logits": F.concat(F.col("embedding").cast("array<double>"), "logits")}
-    heads = learn.head_grid(rows, "seed", ["vec_id"], inputs, "error", "held").drop("vec_id").withColumn("method", F.lit("head"))
+    heads = learn.head_grid(rows, "seed", ["original"], inputs, "error", "held").withColumn("method", F.lit("head"))
     keys = ["seed", "method", "inputs", "recipe"]
-    both = saved(plain.unionByName(heads))
-    used = both.groupBy(*keys).agg(F.max("epochs_used").alias("epochs_used"))
-    return metrics.ranking_metrics(both, keys).join(used, keys).select(*keys, "epochs_used", "n", "errors", "auroc", "auprc")
+    every = saved(plain.unionByName(logistic).unionByName(heads))
+    used = every.groupBy(*keys).agg(F.max("epochs_used").alias("epochs_used"))
+    low_high = metrics_intervals(every, keys, resamples=500)
+    return metrics.ranking_metrics(every, keys).join(used, keys).join(low_high, keys).select(*keys, "epochs_used", "n", "errors", "auroc", "auprc", "auprc_low", "auprc_high")
+
+
+def metrics_intervals(scored: DataFrame, keys: list[str], resamples: int) -> DataFrame:
+    """Intervals of the average precision over resamples of originals, those without both outcomes left out."""
+    reps = resample.replicates(scored, saved(resample.draws(scored, "original", resamples, seed=12345)), keys, "original")
+    return resample.intervals(reps.where("errors > 0 AND errors < n"), keys, ["auprc"])
 
 
 @query()
 def failure_logistic(spark, d):
+    """The logistic reference of each seed: term 0 is the intercept, the others are of standardised logits."""
     rows = logits(spark, d).withColumn("failure", (F.col("pred") != F.col("label")).cast("int"))
-    model = learn.logistic_regression(rows, "logits", "failure")
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate([model.intercept, *model.coefficients])], "term int, weight double")
+    models = learn.logistic_models(rows, "seed", "logits", "failure")
+    return models.select("seed", F.posexplode("weights").alias("term", "weight"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
