@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustmill.functions.hashing import stable_seed
-from trustmill.operators import audit, calibration, groups, hamming, learn, prefix, provenance, shift, splits
+from trustmill.operators import audit, calibration, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
 from trustmill.operators.components import connected_components
 from trustmill.sources import files
 from trustmill.streaming import events
@@ -194,6 +194,17 @@ def test_stable_seed(spark):
     assert spark.range(1).select(stable_seed(F.lit(42), F.lit("p/q.jpg"), F.lit("blur"), F.lit(1))).first()[0] == want
 
 
+def bisected(z, y):
+    """1/T where the slope of the loss is zero."""
+    low, high = calibration.LOW, calibration.HIGH
+    for _ in range(60):
+        middle = (low + high) / 2
+        e = np.exp(middle * (z - z.max(1, keepdims=True)))
+        falls = ((e * z).sum(1) / e.sum(1) - z[np.arange(len(y)), y]).sum() < 0
+        low, high = (middle, high) if falls else (low, middle)
+    return (low + high) / 2
+
+
 def test_temperature(spark):
     rng = np.random.default_rng(5)
     z = rng.normal(0, 3, (400, 3))
@@ -201,7 +212,36 @@ def test_temperature(spark):
     y = [int(rng.choice(3, p=row)) for row in p]
     df = spark.createDataFrame([(1, a.tolist(), b) for a, b in zip(z, y, strict=True)], "seed int, logits array<double>, label int")
     t = calibration.fit_temperature(df, ["seed"]).first()
-    assert t["temperature"] == pytest.approx(1 / calibration.best_inverse(z, np.array(y), np.ones((1, len(y))))[0], rel=1e-9) and not t["hit_limit"]
+    assert t["temperature"] == pytest.approx(1 / bisected(z, np.array(y)), rel=1e-9) and not t["hit_limit"]
+
+
+def test_nearest_by_pivots(spark):
+    """Clusters, copies, several blocks in a cell, rows without vectors; equal to all distances, and not all blocks meet."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 3)) * 40
+    x = np.vstack([c + rng.normal(size=(60, 3)) for c in centres] + [centres[:1].repeat(30, 0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    a = spark.createDataFrame(rows[::2] + [(9999, None)], "id long, z array<double>")
+    b = spark.createDataFrame(rows + [(None, [0.0, 0.0, 0.0])], "id long, z array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for exclude in (False, True):
+        own = d + np.where(np.eye(len(x)) > 0, np.inf, 0) if exclude else d
+        got = {r["id"]: r["nearest"] for r in shift.nearest_distance(a, b, "id", exclude_self=exclude, pivots=40, block=25).collect()}
+        assert set(got) == set(range(0, len(x), 2)) and all(abs(got[i] - own[i].min()) < 1e-6 for i in got)
+    one = spark.createDataFrame(rows[:1], "id long, z array<double>")
+    assert shift.nearest_distance(one, one, "id", exclude_self=True).count() == 0 and shift.nearest_distance(a, b.limit(0), "id").count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(7)
+    groups = {"wide": rng.normal(size=5000) * 10.0 ** rng.integers(-9, 9, 5000), "few": rng.integers(0, 3, 900).astype(float), "one": np.array([2.5]), "same": np.full(50, 7.0), "huge": np.array([-1e308, 1e308, 0.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("few", float("nan")), ("none", None), (None, 3.0), (None, 5.0)]
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {(r["g"], r["share"]): r["quantile"] for r in quantiles.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", shares).collect()}
+    want = {(g, p): np.quantile(v, p) for g, v in (groups | {None: np.array([3.0, 5.0])}).items() for p in shares}
+    assert set(got) >= {k for k in want if k[0] is not None} and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want if k in got)
+    with pytest.raises(ValueError):
+        quantiles.exact_quantiles(spark.createDataFrame([(1.0,), (float("inf"),)], "v double"), [], "v", [0.5])
 
 
 def test_pca_and_nearest(spark):

@@ -30,19 +30,46 @@ def vectors(spark):
     return rows, z, y, seed
 
 
-def test_temperature_bootstrap_equals_plain_search(spark):
-    """A few resamples of one group, each by trying many values of 1/T."""
-    rows, z, y, seed = vectors(spark)
-    got = {r["seed"]: r for r in calibration.temperature_intervals(catalog.logits(spark, DIR), "seed", resamples=6).collect()}
+@pytest.mark.parametrize("block_rows", [2048, 16])
+def test_temperature_bootstrap_equals_plain_search(spark, block_rows):
+    """Every resample's draws written out, each optimum by trying many values of 1/T; in one block and in many."""
+    _, z, y, seed = vectors(spark)
+    some = calibration.temperature_intervals(catalog.logits(spark, DIR), "seed", resamples=6, block_rows=block_rows)
+    got = {r["seed"]: r for r in some.collect()}
+    assert len(got) == 3
     for s in sorted(set(seed.tolist())):
         own, true = z[seed == s], y[seed == s]
         order = np.array(sorted(range(len(true)), key=lambda i: (*own[i], true[i])))
-        own, true = own[order], true[order]
-        rng = np.random.default_rng([2026, zlib.crc32(str(s).encode())])
-        grid = np.linspace(0.05, 20, 20_001)
-        each = np.array([np.log(np.exp(b * (own - own.max(1, keepdims=True))).sum(1)) + b * (own.max(1) - own[np.arange(len(true)), true]) for b in grid])
-        fits = [1 / grid[each[:, rng.integers(0, len(true), len(true))].mean(axis=1).argmin()] for _ in range(6)]
-        assert np.allclose([got[s]["interval_low"], got[s]["interval_high"]], np.percentile(fits, [2.5, 97.5]), rtol=2e-2, atol=1e-3)
+        own, true, n = own[order], true[order], len(true)
+        weights = np.hstack([calibration.block_weights(s, n, 6, 2026, block_rows, b) for b in range(-(-n // block_rows))])
+        assert weights.shape == (6, n) and (weights.sum(1) == n).all() and weights.min() == 0
+        grid = np.linspace(0.05, 20, 40_001)
+        each = np.array([np.log(np.exp(b * (own - own.max(1, keepdims=True))).sum(1)) + b * (own.max(1) - own[np.arange(n), true]) for b in grid])
+        fits = [1 / grid[(each @ w).argmin()] for w in weights]
+        assert np.allclose([got[s]["interval_low"], got[s]["interval_high"]], np.percentile(fits, [2.5, 97.5]), rtol=1e-2, atol=1e-3)
+        assert np.isclose(got[s]["temperature"], 1 / grid[each.sum(1).argmin()], rtol=1e-2)
+
+
+def test_resampled_optima_are_exact():
+    """Roots by interpolation equal a long bisection on the weighted slopes."""
+    rng = np.random.default_rng(4)
+    z, y, w = rng.normal(size=(80, 5)) * 2, rng.integers(0, 5, 80), rng.integers(0, 4, (9, 80)).astype(float)
+    y[:60] = z[:60].argmax(1)
+    nodes = np.geomspace(0.3, 9, calibration.NODES)
+    got = calibration._roots(nodes, w @ calibration._slopes(z, y, nodes))
+    for g, own in zip(got, w, strict=True):
+        low, high = 0.05, 20.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (own @ calibration._slopes(z, y, np.array([middle])))[0] < 0 else (low, middle)
+        assert np.isclose(g, low, rtol=1e-8)
+
+
+def test_draws_are_even():
+    """Over many resamples each row is drawn once on average, with the variance of draws with replacement, across blocks too."""
+    w = np.hstack([calibration.block_weights("g", 100, 20_000, 1, 13, b) for b in range(8)])
+    assert (w.sum(1) == 100).all() and np.abs(w.mean(0) - 1).max() < 0.05 and np.abs(w.var(0) - 0.99).max() < 0.06
+    assert np.abs(np.corrcoef(w[:, 0], w[:, 99])[0, 1] + 1 / 99) < 0.03
 
 
 def test_logistic_is_at_the_optimum(spark):
@@ -99,9 +126,10 @@ def test_paired_bootstrap_equals_plain_loop(spark):
     pdf = docs.toPandas()
     names = sorted(pdf["source"].unique())
     rng = np.random.default_rng(5)
-    want = []
-    for _ in range(4):
+    want, weights = [], []
+    for r in range(4):
         pick = [names[i] for i in rng.integers(0, len(names), len(names))]
+        weights += [(r, c, pick.count(c)) for c in set(pick)]
         rows = np.concatenate([np.flatnonzero(pdf["source"] == c) for c in pick])
         error, score = pdf["error"].to_numpy()[rows].astype(float), pdf["score"].to_numpy()[rows]
         total, b, n0 = 0.0, 0.0, 0
@@ -110,7 +138,7 @@ def test_paired_bootstrap_equals_plain_loop(spark):
             total += sum((b + j / sz * g) / (n0 + j) for j in range(1, sz + 1))
             b, n0 = b + g, n0 + sz
         want.append(total / n0)
-    reps = resample.replicates(docs, resample.numpy_draws(docs, "source", 4, 5), [], "source").orderBy("resample").collect()
+    reps = resample.replicates(docs, spark.createDataFrame(weights, "resample int, source string, weight long"), [], "source").orderBy("resample").collect()
     assert np.allclose([r["aurc"] for r in reps], want, atol=1e-12)
 
 
@@ -258,7 +286,7 @@ class Called(Exception):
     [
         ("temperature_bootstrap", calibration, "temperature_intervals", "resamples", 500),
         ("bootstrap_interval", resample, "draws", "resamples", 2000),
-        ("paired_bootstrap", resample, "numpy_draws", "resamples", 2000),
+        ("paired_bootstrap", resample, "draws", "resamples", 2000),
         ("failure_head", learn, "train_heads", "recipe", learn.Recipe()),
     ],
 )

@@ -25,19 +25,6 @@ def draws(clusters: DataFrame, cluster: str, resamples: int, seed: int = 0) -> D
     return picked.groupBy("resample", "_i").agg(F.count("*").alias("weight")).join(index, "_i").select("resample", cluster, "weight")
 
 
-def numpy_draws(clusters: DataFrame, cluster: str, resamples: int, seed: int = 0) -> DataFrame:
-    """The same table with the draws of numpy's default_rng(seed).integers, made on the driver: for few clusters."""
-    import numpy as np
-
-    names = [r[0] for r in clusters.select(cluster).distinct().orderBy(cluster).collect()]
-    rng, rows = np.random.default_rng(seed), []
-    for r in range(resamples):
-        count = np.bincount(rng.integers(0, len(names), len(names)), minlength=len(names))
-        rows += [(r, names[i], int(count[i])) for i in np.flatnonzero(count)]
-    kind = clusters.schema[cluster].dataType.simpleString()
-    return clusters.sparkSession.createDataFrame(rows, f"resample int, {cluster} {kind}, weight long")
-
-
 def replicates(df: DataFrame, weights: DataFrame, by: list[str], cluster: str, error: str = "error", score: str = "score") -> DataFrame:
     """(by, resample, n, errors, aurc, auroc, auprc) of every resample."""
     small = df.groupBy(*by, cluster, F.col(score).alias("score"), F.col(error).alias("error")).agg(F.count("*").alias("_rows"))

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustmill.functions.storage import saved
 from trustmill.operators.metrics import ranking_metrics
+from trustmill.operators.quantiles import exact_quantiles
 
 
 def column_stats(df: DataFrame, features: str, floor: float = 1e-6) -> DataFrame:
@@ -37,40 +39,104 @@ def shifted_share(target: DataFrame, z: str = "z") -> DataFrame:
     return means.agg(F.avg((F.abs("m") > 1).cast("double")).alias("shifted_share"))
 
 
-def nearest_distance(a: DataFrame, b: DataFrame, key: str, z: str = "z", exclude_self: bool = False) -> DataFrame:
-    """(key, nearest): smallest Euclidean distance of each row of a to the rows of b, exactly.
+#: Pivots, and rows of a block.
+PIVOTS, BLOCK = 256, 2000
 
-    Both sides are cut into blocks of about 2,000 rows; every pair of blocks is one matrix product, and minima are
-    merged by a grouped minimum. The work is |a| x |b| by nature; memory and shuffle are per block.
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x to all of y."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+def nearest_distance(a: DataFrame, b: DataFrame, key: str, z: str = "z", exclude_self: bool = False, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(key, nearest): smallest Euclidean distance of each row of a to the rows of b, exactly; with exclude_self, to those
+    of other keys. Rows without a key or vector are left out; without a row to compare with there is no result. Rows of a
+    that share a key share the smallest of their distances.
+
+    Rows of b near to one of a few pivots, themselves rows of b, form a cell. Each row of a first meets the cell of its own
+    pivot, which gives a bound. By the triangle inequality, from its distances to the pivots and the cells' radii, it then
+    needs other cells only where something closer may be, and only blocks of both sides with such a pair are sent to meet.
+    How much that prunes is up to the data; all pairs at worst.
     """
-    size = 2000
-    blocks = lambda df, n: df.select(F.col(key).alias("k"), F.col(z).alias("v")).withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    na, nb = max(1, -(-a.count() // size)), max(1, -(-b.count() // size))
-    left = blocks(a, na).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = blocks(b, nb).withColumnRenamed("_b", "_c").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
+    spark = a.sparkSession
+    rows = lambda df: df.select(F.col(key).alias("k"), F.col(z).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+    left, right = rows(a), rows(b)
+    kind = left.schema["k"].dataType.simpleString()
+    drawn = right.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
+    if not drawn:
+        return left.select(F.col("k").alias(key), F.lit(None).cast("double").alias("nearest")).limit(0)
+    centres = np.array([r["v"] for r in drawn])
+    held = spark.sparkContext.broadcast(centres)
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = _apart(np.stack(pdf["v"].to_numpy()), held.value)
+                yield pdf.assign(cell=d.argmin(1), r=d.min(1))
+
+    celled = lambda df: saved(df.mapInPandas(to_cells, f"k {kind}, v array<double>, cell int, r double").withColumn("_n", F.monotonically_increasing_id()))
+    left, right = celled(left), celled(right)
+    parts = lambda df: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.max("r").alias("radius"))
+    a_parts, b_parts = saved(parts(left)), saved(parts(right))
+    named = lambda df, sizes, to: df.join(sizes.select("cell", "parts"), "cell").select("k", "v", "cell", F.pmod(F.xxhash64("_n"), F.col("parts")).cast("int").alias("part")).select("k", "v", "cell", F.struct("cell", "part").alias(to))
+    left, right = saved(named(left, a_parts, "x")), saved(named(right, b_parts, "y"))
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
             return pd.DataFrame({"k": [], "d": []})
-        p, q = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
-        d = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
+        x, y = np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())
+        d = _apart(x, y)
         if exclude_self:
-            d[x["k"].to_numpy()[:, None] == y["k"].to_numpy()[None, :]] = np.inf
-        return pd.DataFrame({"k": x["k"], "d": np.sqrt(np.maximum(d.min(axis=1), 0))})
-
-    kind = a.schema[key].dataType.simpleString()
-    met = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(meet, f"k {kind}, d double")
-    return met.groupBy("k").agg(F.min("d").alias("nearest")).withColumnRenamed("k", key)
+            d[p["k"].to_numpy()[:, None] == q["k"].to_numpy()[None, :]] = np.inf
+        # the product loses digits where rows are close; the nearest one is measured again
+        return pd.DataFrame({"k": p["k"], "d": np.where(np.isinf(d.min(1)), np.inf, np.sqrt(((x - y[d.argmin(1)]) ** 2).sum(1)))})
+
+    def met(p: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(k, d) of rows (k, v, x) with the blocks of b that pairs (x, y) has."""
+        both = p.join(pairs, "x").groupBy("x", "y").cogroup(right.join(pairs, "y").groupBy("x", "y"))
+        return both.applyInPandas(meet, f"k {kind}, d double")
+
+    own = left.select("x", "cell").distinct().join(b_parts.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "cell").select("x", F.struct("cell", "part").alias("y"))
+    found = saved(met(left, saved(own)).groupBy("k").agg(F.min("d").alias("bound")))
+    radius = np.full(len(centres), -1.0)
+    for r in b_parts.collect():  # one row a pivot
+        radius[r["cell"]] = r["radius"]
+    between, most = _apart(centres, centres), float(np.sqrt((centres * centres).sum(1)).max())
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            bound, cell = pdf["bound"].fillna(np.inf).to_numpy(), pdf["cell"].to_numpy()
+            x = np.stack(pdf["v"].to_numpy())
+            d, scale = _apart(x, held.value), np.sqrt((x * x).sum(1)) + most
+            at = d[np.arange(len(d)), cell]
+            # a row of cell j is at least this far: by the cell's radius, and by the plane between the pivots
+            far = d - radius[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(between[cell] > 1e-4 * scale[:, None], (d * d - (at * at)[:, None]) / (2 * between[cell]), -np.inf)
+            need = (np.maximum(far, plane) <= (bound + 1e-7 * scale)[:, None]) & (radius >= 0)[None, :]
+            need[np.arange(len(d)), cell] = False
+            yield pd.DataFrame({"k": pdf["k"], "v": pdf["v"], "x": pdf["x"], "cells": [np.flatnonzero(n).tolist() for n in need]})
+
+    bounded = left.join(found.withColumnRenamed("k", "_k"), F.col("k") == F.col("_k"), "left").select("k", "v", "x", "cell", "bound")
+    wants = saved(bounded.mapInPandas(needed, f"k {kind}, v array<double>, x struct<cell:int,part:int>, cells array<int>").where(F.size("cells") > 0))
+    pairs = wants.select("x", F.explode("cells").alias("cell")).distinct().join(b_parts, "cell").select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell")
+    more = met(wants.select("k", "v", "x"), saved(pairs.select("x", F.struct("cell", "part").alias("y"))))
+    out = found.select("k", F.col("bound").alias("d")).union(more).where("d < double('Infinity')")
+    return out.groupBy("k").agg(F.min("d").alias("nearest")).withColumnRenamed("k", key)
 
 
 def shift_summary(scored: DataFrame, domain: str, distance: str, source: str = "source") -> DataFrame:
     """One row: median, p5 and p95 of a distance in both domains, the target's share beyond the source's p95, and the
     AUROC of the distance as a detector of the target."""
-    q = lambda d, p: F.percentile(F.when(d, F.col(distance)), F.lit(p))
     src = F.col(domain) == source
-    stats = scored.agg(*[q(c, p).alias(f"{name}_p{int(p * 100)}") for name, c in (("source", src), ("target", ~src)) for p in (0.05, 0.5, 0.95)])
-    beyond = scored.crossJoin(F.broadcast(stats)).where(~src).agg(F.avg((F.col(distance) > F.col("source_p95")).cast("double")).alias("beyond_p95"))
-    auroc = ranking_metrics(scored.select((~src).cast("int").alias("error"), F.col(distance).alias("score")), []).select("auroc")
+    rows = saved(scored.select(F.when(src, "source").otherwise("target").alias("side"), F.col(distance).alias("score")))
+    q = exact_quantiles(rows, ["side"], "score", [0.05, 0.5, 0.95])
+    pick = lambda side, p: F.max(F.when((F.col("side") == side) & (F.col("share") == p), F.col("quantile"))).alias(f"{side}_p{int(p * 100)}")
+    stats = saved(q.agg(*[pick(side, p) for side in ("source", "target") for p in (0.05, 0.5, 0.95)]))
+    beyond = rows.crossJoin(F.broadcast(stats)).where("side = 'target'").agg(F.avg((F.col("score") > F.col("source_p95")).cast("double")).alias("beyond_p95"))
+    auroc = ranking_metrics(rows.select((F.col("side") == "target").cast("int").alias("error"), "score"), []).select("auroc")
     return stats.crossJoin(beyond).crossJoin(auroc)  # one row each
 
 

@@ -238,13 +238,23 @@ def statistic_bootstrap(spark, d):
     return resample.intervals(reps, ["lang"], ["rate"]).select("lang", r6("rate_low").alias("rate_low"), r6("rate_high").alias("rate_high"))
 
 
-@query()
+@query(f"""WITH {DOCS} cl AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT source FROM s)),
+dr AS (SELECT r, k, ('0x' || substr(sha256('2026:' || r || ':' || k), 1, 8))::BIGINT % (SELECT max(g) FROM cl) AS i FROM range({RESAMPLES}) a(r), range((SELECT max(g) FROM cl)) b(k)),
+w AS (SELECT r, source, count(*) AS w FROM dr JOIN cl USING (i) GROUP BY ALL),
+m AS (SELECT source, lang, error, 'length' AS method, score::DOUBLE AS score FROM s UNION ALL SELECT source, lang, error, 'shortness', -score::DOUBLE FROM s),
+t AS (SELECT lang, method, r, score, sum(w) AS sz, sum(w * error) AS g FROM m JOIN w USING (source) GROUP BY ALL),
+c AS (SELECT *, sum(sz) OVER x - sz AS n0, sum(g) OVER x - g AS b FROM t WINDOW x AS (PARTITION BY lang, method, r ORDER BY score)),
+a AS (SELECT lang, method, r, sum(list_sum(list_transform(range(1, sz::BIGINT + 1), lambda j: (b + j * g::DOUBLE / sz) / (n0 + j)))) / sum(sz) AS aurc FROM c GROUP BY 1, 2, 3),
+j AS (SELECT a.method, r, avg(a.aurc) AS aurc, avg(a.aurc - f.aurc) AS delta FROM a JOIN (SELECT lang, r, aurc FROM a WHERE method = 'length') f USING (lang, r) GROUP BY 1, 2)
+SELECT method, {", ".join(f"round(quantile_cont({c}, {p}::DOUBLE), 6) AS {n}_{side}" for c, n in (("aurc", "aurc"), ("delta", "delta_aurc")) for side, p in (("low", 0.025), ("high", 0.975)))} FROM j GROUP BY 1""")
 def paired_bootstrap(spark, d):
+    """Two methods on the same resamples, the difference in each, and averages over languages before the percentiles."""
     docs = judged_documents(spark, d)
     both = metrics.method_scores(docs.withColumn("other", -F.col("score")), ["source", "lang", "error"], {"length": "score", "shortness": "other"})
-    reps = resample.replicates(both, resample.numpy_draws(docs, "source", RESAMPLES, 2026), ["lang", "method"], "source")
+    reps = resample.replicates(both, resample.draws(docs, "source", RESAMPLES, 2026), ["lang", "method"], "source")
     reps = resample.paired_difference(reps, ["lang"], "length")
-    return resample.intervals(resample.joint_mean(reps, ["method"], ["aurc", "delta_aurc"]), ["method"], ["aurc", "delta_aurc"])
+    out = resample.intervals(resample.joint_mean(reps, ["method"], ["aurc", "delta_aurc"]), ["method"], ["aurc", "delta_aurc"])
+    return out.select("method", *[r6(c).alias(c) for c in ("aurc_low", "aurc_high", "delta_aurc_low", "delta_aurc_high")])
 
 
 @query(f"WITH {DOCS} x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM s) SELECT doc_id, source, lang, error, score FROM x WHERE k = 1")
