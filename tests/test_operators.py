@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustmill.functions.hashing import stable_seed
-from trustmill.operators import audit, calibration, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
+from trustmill.operators import audit, calibration, components, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
 from trustmill.operators.components import connected_components
 from trustmill.sources import files
 from trustmill.streaming import events
@@ -100,6 +100,24 @@ def test_group_splits_of_odd_rows(spark):
     assert got == {"g1": (4, "train"), "g2": (1, "val"), "g4": (5, "train")}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_with_hubs(spark, kind, monkeypatch):
+    """A star of very many leaves, a long chain, copies of edges; contracted portions of few edges."""
+    monkeypatch.setattr(components, "PORTION", 1000)
+    star = spark.range(1, 60_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(100_000, 100_200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    edges = star.union(chain).union(chain).union(spark.createDataFrame([(7, 7), (None, 3), (500_000, 500_000)], "src long, dst long"))
+    edges = edges.select(F.col("src").cast(kind), F.col("dst").cast(kind)).repartition(8)
+    got = connected_components(edges, hubs=True)
+    want = [("0", 60_001), ("100000", 201), ("500000", 1)]
+    assert sorted((str(r["component"]), r["count"]) for r in got.groupBy("component").count().collect()) == sorted(want)
+    few = components.contracted(chain.union(chain).coalesce(1).toDF("u", "v"))
+    assert few.count() == 200 and {r["v"] for r in few.collect()} == {100_000}
+    # the hub's join reads saved tables, which can be split
+    plan = components._large_star(edges.toDF("u", "v"), components.saved)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[1]
+
+
 def test_bands_lose_no_pair():
     """Any split of a distance over the bands leaves one within its radius; and no smaller radii would do."""
     for distance in range(25):

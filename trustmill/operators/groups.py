@@ -17,8 +17,10 @@ def collect_links(manifest: DataFrame, reviews: DataFrame, source: str = "source
     Copies in the source are linked to their smallest path. A source file with a copy, or a reviewed duplicate, outside
     the source is excluded instead; a review's reason replaces a copy's. Pairs outside the source don't matter.
     """
+    # saved, so that the join can split a digest that very many files hold
     by_sha = manifest.groupBy("sha256").agg(F.min(F.when(F.col("dataset") == source, F.col("path"))).alias("head"), F.max((F.col("dataset") != source).cast("int")).alias("outside"), F.count("*").alias("n"))
-    members = manifest.where(F.col("dataset") == source).join(by_sha.where("n > 1"), "sha256")
+    by_sha = saved(by_sha.where("n > 1"))
+    members = manifest.where(F.col("dataset") == source).join(by_sha, "sha256")
     copies = members.where("outside = 0 AND path <> head").select(F.col("head").alias("a"), F.col("path").alias("b"), F.lit("exact copy").alias("reason"))
     out_copy = members.where("outside = 1").select("path", F.lit("exact copy").alias("reason"), F.lit(1).alias("_rank"))
     side = lambda p: manifest.select(F.col("path").alias(p), F.col("dataset").alias(f"_{p}"))
@@ -42,7 +44,7 @@ def build_groups(pool: DataFrame, links: DataFrame, key: str = "path", letter: s
     items without a link are groups of one."""
     ids = pool.select(key)
     inside = links.select("a", "b").join(ids.withColumnRenamed(key, "a"), "a", "left_semi").join(ids.withColumnRenamed(key, "b"), "b", "left_semi")
-    found = connected_components(inside, "a", "b")
+    found = connected_components(inside, "a", "b", hubs=True)
     rooted = saved(ids.join(found, ids[key] == found["node"], "left").select(key, F.coalesce("component", key).alias("root")))
     roots = numbered(rooted.groupBy("root").agg(F.count("*").alias("size")), ["root"], "_number")
     return rooted.join(roots, "root").select(key, code(F.col("_number"), letter).alias("group_id"), "size")
