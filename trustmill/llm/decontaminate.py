@@ -4,6 +4,10 @@ A mask picks some of the token positions of a short span and ignores the others,
 an ignored position. Seeds of all benchmark positions and masks are joined with those of all training positions. A hit
 fixes an alignment of a document with an item; aligned tokens around it are then compared one by one, and a document
 is contaminated by an item if, somewhere, 80 % of REACH aligned tokens (of the whole item, if shorter) agree.
+
+A phrase that very many items share would align each document that holds it with all of them. At such seeds an item is
+met only by the tokens around the seed that few items have there, or, for what all these items have in common, by
+the signature of its common tokens, where that alone suffices (common_pairs).
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ WHOLE = 4
 MASKS += [((0, 1, 2), 3, 3), ((0, 1), 2, 2), ((0,), 1, 1)]
 #: Above this many distinct benchmark seeds, the join shuffles both sides instead of broadcasting the seeds.
 BROADCAST_SEEDS = 1_000_000
+#: A seed at more benchmark positions than this, as of a phrase that many items share, doesn't make pairs by itself.
+COMMON = 100
 
 
 def tokens_of(text: Column) -> Column:
@@ -49,6 +55,42 @@ def _seeds(df: DataFrame, masks: list[tuple[tuple[int, ...], int, int]]) -> Data
     return df.withColumn("seeds", F.when(n > 0, seeds)).drop("_h")
 
 
+def _around(df: DataFrame, at: str) -> DataFrame:
+    """df plus near: of the tokens at most REACH - 1 places from position `at`, (r, hash), those outside the text left out."""
+    df = df.withColumn("_h", F.transform("tokens", lambda t: F.xxhash64(t)))
+    near = F.transform(F.sequence(F.lit(1 - REACH), F.lit(REACH - 1)), lambda r: F.struct(r.alias("r"), F.get("_h", F.col(at) + r).alias("t")))
+    return df.withColumn("near", F.filter(near, lambda x: x["t"].isNotNull())).drop("_h", "tokens")
+
+
+def common_pairs(found: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id, n, shift): the alignments at common seeds that can be an overlap; none that is one is
+    lost. found: (doc_id, text_key, p, seed, tokens) of documents; held: (item_id, n, q, seed, tokens) of items.
+
+    Around a seed, a token at a place is rare if COMMON items or fewer have it there. An overlap agrees in a rare token,
+    and then a join on seed, place and token finds it, with COMMON items a token at most; or all tokens that agree are
+    common, and then the common tokens of both sides suffice by themselves. Rows with the same common tokens are one
+    signature, and signatures of a seed are compared instead of rows.
+    """
+    found, held = saved(_around(found, "p")), saved(_around(held, "q"))
+    tokens = lambda df: df.select("*", F.explode("near").alias("_x")).select("*", F.col("_x.r").alias("r"), F.col("_x.t").alias("t")).drop("near", "_x")
+    counts = saved(tokens(held).groupBy("seed", "r", "t").agg(F.count("*").alias("df")))
+    rare, common = counts.where(F.col("df") <= COMMON).drop("df"), counts.where(F.col("df") > COMMON).drop("df")
+    place = ["seed", "r", "t"]
+    by_token = tokens(found).join(tokens(held).join(rare, place), place).select("doc_id", "text_key", "item_id", "n", (F.col("p") - F.col("q")).alias("shift"))
+    usual = saved(common.groupBy("seed").agg(F.collect_list(F.struct("r", "t")).alias("usual")))
+    signature = lambda df: saved(df.join(usual, "seed").withColumn("near", F.array_sort(F.array_intersect("near", "usual"))).drop("usual"))
+    left, right = signature(found), signature(held)
+    reach = F.least(F.col("n"), F.lit(REACH))
+    kinds = lambda df, *more: df.groupBy("seed", "near", *more).agg(F.count("*").alias("_rows")).drop("_rows")
+    meet = kinds(left).withColumnRenamed("near", "a").join(kinds(right, reach.alias("reach")).withColumnRenamed("near", "b"), "seed")
+    need = F.ceil(F.lit(AGREE) * F.col("reach"))
+    meet = meet.where((F.size("a") >= need) & (F.size("b") >= need)).withColumn("same", F.transform(F.array_intersect("a", "b"), lambda x: x["r"])).where(F.size("same") >= need)
+    best = F.array_max(F.transform("same", lambda r: F.size(F.filter("same", lambda o: (o >= r) & (o < r + REACH)))))
+    meet = saved(meet.where(best >= need).select("seed", "a", "b", "reach"))
+    by_signature = left.withColumnRenamed("near", "a").join(meet, ["seed", "a"]).join(right.withColumnRenamed("near", "b").withColumn("reach", reach), ["seed", "b", "reach"])
+    return by_token.union(by_signature.select("doc_id", "text_key", "item_id", "n", (F.col("p") - F.col("q")).alias("shift")))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id): which document holds which item, once each.
 
@@ -66,8 +108,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("text_key"), tokens_of(F.col("text")).alias("tokens"))
     placed = _seeds(own, masks).select("doc_id", "text_key", F.posexplode_outer("seeds").alias("p", "seed"))
-    right = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    hits = placed.join(right, "seed").select("doc_id", "text_key", "item_id", "n", (F.floor(F.col("p") / m).cast("int") - F.col("q")).alias("shift"))
+    common = saved(seeds.groupBy("seed").agg(F.count("*").alias("_n")).where(F.col("_n") > COMMON).select("seed"))
+    shared = not common.isEmpty()
+    own_seeds = seeds.join(common, "seed", "left_anti") if shared else seeds
+    right = F.broadcast(own_seeds) if seeds.count() <= BROADCAST_SEEDS else own_seeds
+    at = F.floor(F.col("p") / m).cast("int")
+    hits = placed.join(right, "seed").select("doc_id", "text_key", "item_id", "n", (at - F.col("q")).alias("shift"))
+    if shared:
+        same_doc = lambda x: F.col("doc_id").eqNullSafe(x["_id"]) & F.col("text_key").eqNullSafe(x["_key"])
+        texts = own.distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "tokens")
+        found = saved(placed.join(common, "seed").select("doc_id", "text_key", at.alias("p"), "seed").distinct())
+        found = found.join(texts, same_doc(texts)).drop("_id", "_key")
+        named = items.select(F.col("item_id").alias("_item"), "tokens").distinct()
+        held = seeds.join(common, "seed").distinct().join(named, F.col("item_id").eqNullSafe(F.col("_item"))).where(F.size("tokens") == F.col("n")).drop("_item")
+        hits = hits.union(common_pairs(found, held))
     # a whole item at one place is enough; a longer one is tried at all alignments
     # one key per document; its alignments are bounded by its own hits
     hits = hits.groupBy("doc_id", "text_key", "item_id", "n", F.when(F.col("n") > WHOLE, F.col("shift")).alias("_s")).agg(F.min("shift").alias("shift"))
@@ -101,6 +155,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items of `benchmark` each row of `documents` holds. Null and empty texts hold none; rows with null ids and
+    repeated rows are kept and judged by their texts; other columns are ignored; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = overlaps(docs, table(spark, sf_dir, "benchmark")).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     out = _keyed(docs, saved(found), "left", "doc_id", "text").select(
@@ -112,11 +168,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_items", F.greatest("n_items", F.lit(0).cast("long")))
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]) -> dict[int, list[int]]:
-    """For tests: doc_id to the sorted item_ids, by trying every alignment."""
+def re_split(text: str | None) -> list[str]:
+    """For tests: the tokens of a text."""
     import re
 
-    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]) -> dict[int, list[int]]:
+    """For tests: doc_id to the sorted item_ids, by trying every alignment."""
+    split = re_split
     want = {i: split(t) for i, t in items}
     out = {}
     for d, t in docs:
@@ -129,5 +190,5 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]
                 if sum(same) and max(sum(same[s : s + reach]) for s in range(len(item) - reach + 1)) >= math.ceil(AGREE * reach):
                     hit.append(i)
                     break
-        out[d] = sorted(hit)
+        out[d] = sorted(hit, key=lambda i: (i is None, i))
     return out
