@@ -72,15 +72,19 @@ def common_pairs(found: DataFrame, held: DataFrame) -> DataFrame:
     signature, and signatures of a seed are compared instead of rows.
     """
     found, held = saved(_around(found, "p")), saved(_around(held, "q"))
-    tokens = lambda df: df.select("*", F.explode("near").alias("_x")).select("*", F.col("_x.r").alias("r"), F.col("_x.t").alias("t")).drop("near", "_x")
-    counts = saved(tokens(held).groupBy("seed", "r", "t").agg(F.count("*").alias("df")))
+    tokens = lambda df, *more: df.select("*", F.explode("near").alias("_x")).select(*more, F.col("_x.r").alias("r"), F.col("_x.t").alias("t"))
+    counts = saved(tokens(held, "seed").groupBy("seed", "r", "t").agg(F.count("*").alias("df")))
     rare, common = counts.where(F.col("df") <= COMMON).drop("df"), counts.where(F.col("df") > COMMON).drop("df")
-    place = ["seed", "r", "t"]
-    by_token = tokens(found).join(tokens(held).join(rare, place), place).select("doc_id", "text_key", "item_id", "n", (F.col("p") - F.col("q")).alias("shift"))
     usual = saved(common.groupBy("seed").agg(F.collect_list(F.struct("r", "t")).alias("usual")))
-    signature = lambda df: saved(df.join(usual, "seed").withColumn("near", F.array_sort(F.array_intersect("near", "usual"))).drop("usual"))
-    left, right = signature(found), signature(held)
+    signed = lambda df: saved(df.join(usual, "seed").withColumn("mine", F.array_sort(F.array_intersect("near", "usual"))).drop("usual"))
+    found, held = signed(found), signed(held)
     reach = F.least(F.col("n"), F.lit(REACH))
+    # what both sides' common tokens can't make up must be rare ones
+    place, pair = ["seed", "r", "t"], ["seed", "doc_id", "text_key", "p", "item_id", "n", "q", "a", "b"]
+    met = tokens(found, "doc_id", "text_key", "p", "seed", F.size("mine").alias("a")).join(tokens(held, "item_id", "n", "q", "seed", F.size("mine").alias("b")).join(rare, place), place)
+    met = met.groupBy(*pair).agg(F.count("*").alias("_rare")).where(F.col("_rare") >= F.ceil(F.lit(AGREE) * reach) - F.least("a", "b"))
+    by_token = met.select("doc_id", "text_key", "item_id", "n", (F.col("p") - F.col("q")).alias("shift"))
+    left, right = found.withColumn("near", F.col("mine")).drop("mine"), held.withColumn("near", F.col("mine")).drop("mine")
     kinds = lambda df, *more: df.groupBy("seed", "near", *more).agg(F.count("*").alias("_rows")).drop("_rows")
     meet = kinds(left).withColumnRenamed("near", "a").join(kinds(right, reach.alias("reach")).withColumnRenamed("near", "b"), "seed")
     need = F.ceil(F.lit(AGREE) * F.col("reach"))
