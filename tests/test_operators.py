@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trustmill.functions.hashing import stable_seed
 from trustmill.operators import audit, calibration, components, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
 from trustmill.operators.components import connected_components
-from trustmill.sources import files
+from trustmill.sources import arrays, files
 from trustmill.streaming import events
 
 
@@ -284,7 +284,7 @@ def test_files(spark, tmp_path):
     files.write_settings(rows, str(tmp_path / "s"))
     assert files.read_settings(spark, str(tmp_path / "s")).collect() == rows.collect()
     np.savez(tmp_path / "a.npz", x=np.arange(6.0).reshape(3, 2), y=np.array(["a", "b", "c"]))
-    assert files.load_arrays(spark, str(tmp_path / "a.npz")).count() == 3
+    assert arrays.load_arrays(spark, str(tmp_path / "a.npz")).count() == 3
     (tmp_path / "c.csv").write_text("a,b,f\nx,,TRUE\n,y,false\n")
     got = files.read_csv(spark, str(tmp_path / "c.csv"), "a string, b string, f boolean", keep_blanks=True).collect()
     assert [tuple(r) for r in got] == [("x", "", True), ("", "y", False)]
@@ -310,6 +310,92 @@ def test_write_checked(spark, tmp_path):
         provenance.sealed_join(spark.range(3), spark.createDataFrame([(0, 1)], "id long, label int"), "id")
 
 
+def test_committed_outputs(spark, tmp_path):
+    """Half-written, changed, enlarged and unrecorded outputs are refused, and so is a second run."""
+    path = str(tmp_path / "out")
+    df = spark.range(50).selectExpr("id", "id % 3 AS label").repartition(3)
+    provenance.write_committed(df, path, lambda written: None)
+    seal = provenance.manifest_digest(spark, path)
+    assert provenance.read_committed(spark, path, seal).count() == 50
+    with pytest.raises(FileExistsError):
+        provenance.write_committed(df, path)
+    with pytest.raises(ValueError, match="recorded"):
+        provenance.read_committed(spark, path, "0" * 64)
+    df.write.parquet(str(tmp_path / "half"))
+    with pytest.raises(ValueError, match="no manifest"):
+        provenance.read_committed(spark, str(tmp_path / "half"))
+
+    def refuse(written):
+        raise ValueError("refused")
+
+    with pytest.raises(ValueError, match="refused"):
+        provenance.write_committed(df, str(tmp_path / "bad"), refuse)
+    with pytest.raises(ValueError, match="no manifest"):
+        provenance.read_committed(spark, str(tmp_path / "bad"))
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    whole = parts[0].read_bytes()
+    (tmp_path / "out" / "part-extra.parquet").write_bytes(whole)
+    with pytest.raises(ValueError, match="observed only"):
+        provenance.read_committed(spark, path)
+    (tmp_path / "out" / "part-extra.parquet").unlink()
+    parts[0].unlink()
+    with pytest.raises(ValueError, match="expected only"):
+        provenance.read_committed(spark, path)
+    for hidden in (tmp_path / "out").glob(".part-*"):
+        hidden.unlink()
+    parts[0].write_bytes(whole[:-5] + b"wrong")
+    with pytest.raises(ValueError, match="differs"):
+        provenance.read_committed(spark, path)
+    provenance.write_committed(df.limit(0), str(tmp_path / "none"))
+    assert provenance.read_committed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_label_gate(spark, tmp_path):
+    path, read = str(tmp_path / "pred"), []
+    provenance.write_committed(spark.range(5).selectExpr("id", "id * 2 AS score"), path)
+    seal = provenance.manifest_digest(spark, path)
+
+    def labels():
+        read.append(1)
+        return spark.createDataFrame([(i, None if i == 2 else i % 2) for i in range(5)], "id long, label long")
+
+    out = provenance.opened_labels(spark, {path: seal}, labels, "id", [str(tmp_path / "result")])[path]
+    assert out.count() == 5 and out.where("label IS NULL").count() == 1 and out.columns == ["id", "score", "label"]
+    problems = lambda: spark.createDataFrame([("model", "changed")], "name string, problem string")
+    for seals, results, checks, kind in (({path: "0" * 64}, [], None, ValueError), ({path: seal}, [path], None, FileExistsError), ({path: seal}, [], problems, ValueError)):
+        with pytest.raises(kind):
+            provenance.opened_labels(spark, seals, labels, "id", results, checks)
+    assert read == [1]
+    with pytest.raises(ValueError, match="several"):
+        provenance.sealed_join(spark.range(2), spark.createDataFrame([(0, 1), (1, 1), (1, 2)], "id long, label long"), "id")
+
+
+def test_array_bundles(spark, tmp_path):
+    """Ranges of rows of every kind of array, compressed or not, and back; the driver's frame is never built."""
+    n = 2500
+    rng = np.random.default_rng(1)
+    data = {"features": rng.normal(size=(n, 5)).astype(np.float32), "logits": rng.normal(size=(n, 3)), "label": rng.integers(0, 9, n), "ok": rng.random(n) > 0.5, "path": np.array([f"p{i}é" for i in range(n)]), "small": rng.integers(0, 99, n).astype(">i2"), "seed": np.array(42)}
+    np.savez(tmp_path / "a.npz", **data)
+    np.savez_compressed(tmp_path / "b.npz", **data)
+    for name in ("a", "b"):
+        df = arrays.load_arrays(spark, str(tmp_path / f"{name}.npz"), partition_rows=700)
+        assert df.rdd.getNumPartitions() == 4 and dict(df.dtypes)["features"] == "array<float>" and dict(df.dtypes)["seed"] == "bigint"
+        got = df.orderBy("row").collect()
+        assert [r["row"] for r in got] == list(range(n)) and all(np.array_equal([r[c] for r in got], data[c]) for c in data if c != "seed") and {r["seed"] for r in got} == {42}
+    folder = str(tmp_path / "folder")
+    written = arrays.save_arrays(df, folder, "row", rows=1000)
+    assert [r["rows"] for r in written.collect()] == [1000, 1000, 500]
+    back = arrays.load_arrays(spark, folder, key="place").orderBy("place").drop("place")
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.orderBy("row").select(*back.columns).collect()]
+    with np.load(tmp_path / "folder" / "part-00000002.npz") as last:
+        assert last["features"].shape == (500, 5) and np.array_equal(last["logits"], data["logits"][2000:])
+    with pytest.raises(FileExistsError):
+        arrays.save_arrays(df, folder, "row")
+    np.savez(tmp_path / "bad.npz", a=np.zeros(3), b=np.zeros(4))
+    with pytest.raises(Exception, match="different lengths"):
+        arrays.load_arrays(spark, str(tmp_path / "bad.npz")).count()
+
+
 def test_heads_and_history(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 4))

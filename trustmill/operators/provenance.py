@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -56,10 +60,95 @@ def write_checked(df: DataFrame, path: str, check) -> None:
         fs.delete(staged, True)
 
 
+#: The file that makes an output whole: written last, it names all others.
+MANIFEST = "_manifest.json"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, size_bytes) of the data files of an output; files whose names begin with _ or . aren't data."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+
+
+def write_committed(df: DataFrame, path: str, check: Callable[[DataFrame], None] = lambda written: None) -> None:
+    """Writes df as Parquet where nothing is yet, checks what was written, and commits it by a manifest of the files, their
+    digests and the rows. Only the manifest makes it an output (read_committed), so one that is cut short, or whose check
+    fails, is none; no rename is needed, which object stores lack. One row a file meets in the manifest."""
+    spark = df.sparkSession
+    fs, folder = _file_system(spark, path)
+    if fs.exists(folder):
+        raise FileExistsError(path)
+    df.write.parquet(path)
+    check(spark.read.parquet(path))
+    rows = spark.read.parquet(path).count()
+    files = [r.asDict() for r in _parts(spark, path).orderBy("name").collect()]
+    text = json.dumps({"rows": rows, "schema": df.schema.json(), "files": files}, sort_keys=True)
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}"), False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _manifest(spark: SparkSession, path: str) -> str:
+    fs, _ = _file_system(spark, path)
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if not fs.exists(file):
+        raise ValueError(f"{path} isn't committed: it has no manifest")
+    stream = fs.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def manifest_digest(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of an output's manifest, which stands for all its files: to be recorded elsewhere."""
+    return hashlib.sha256(_manifest(spark, path).encode()).hexdigest()
+
+
+def read_committed(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
+    """A committed output, after all its files were compared with its manifest, and the manifest with a recorded digest if
+    one is given. Raises if it isn't committed, or if a file is missing, changed or not listed."""
+    text = _manifest(spark, path)
+    if digest is not None and hashlib.sha256(text.encode()).hexdigest() != digest:
+        raise ValueError(f"{path}: the manifest isn't the recorded one")
+    manifest = json.loads(text)
+    kind = "name string, sha256 string, size_bytes long"
+    want = spark.createDataFrame([(f["name"], f["sha256"], f["size_bytes"]) for f in manifest["files"]], kind)
+    if odd := differences(want, _parts(spark, path) if manifest["files"] else want.limit(0)).limit(5).collect():
+        raise ValueError(f"{path} differs from its manifest: {[(r['name'], r['side']) for r in odd]}")
+    return spark.read.schema(T.StructType.fromJson(json.loads(manifest["schema"]))).parquet(path)
+
+
 def sealed_join(predictions: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """predictions with their labels; raises if one has none."""
-    out = predictions.join(labels, key, "left")
-    new = next(c for c in labels.columns if c != key)
-    if missing := out.where(F.col(new).isNull()).count():
+    """predictions with their labels, which may be null; raises if a prediction has no row of labels, or several."""
+    known = labels.withColumn("_there", F.lit(True))
+    out = predictions.join(known, key, "left")
+    if missing := out.where(F.col("_there").isNull()).count():
         raise ValueError(f"{missing} predictions have no label")
-    return out
+    if twice := labels.join(predictions.select(key), key, "left_semi").groupBy(key).count().where("count > 1").count():
+        raise ValueError(f"{twice} predictions have several labels")
+    return out.drop("_there")
+
+
+def opened_labels(spark: SparkSession, predictions: dict[str, str], labels: Callable[[], DataFrame], key: str, results: list[str], problems: Callable[[], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The gate before labels of a target are read, in one call: path -> predictions with their labels.
+
+    No result may exist yet (the analysis is run once), every problem that the caller's checks list is an error, and each
+    file of predictions must be committed and equal to the digest recorded when it was made. Only then is labels called.
+    """
+    for path in results:
+        fs, there = _file_system(spark, path)
+        if fs.exists(there):
+            raise FileExistsError(f"{path}: results exist already")
+    if problems is not None and (some := problems().limit(5).collect()):
+        raise ValueError(f"not as frozen: {[tuple(r) for r in some]}")
+    sealed = {path: read_committed(spark, path, digest) for path, digest in predictions.items()}
+    known = labels()
+    return {path: sealed_join(df, known, key) for path, df in sealed.items()}

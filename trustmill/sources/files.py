@@ -57,21 +57,5 @@ def write_settings(thresholds: DataFrame, path: str) -> None:
     whole.select(F.to_json("m")).coalesce(1).write.text(path)
 
 
-def load_arrays(spark: SparkSession, path: str, key: str = "row") -> DataFrame:
-    """A NumPy .npz bundle of equally long arrays as rows; row positions become a key. Read on the driver."""
-    import io
-
-    import numpy as np
-
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as bundle:
-        import pandas as pd
-
-        data = {k: bundle[k].tolist() if bundle[k].ndim > 1 else bundle[k] for k in bundle.files if bundle[k].ndim}
-    frame = pd.DataFrame(data)
-    frame.insert(0, key, range(len(frame)))
-    return spark.createDataFrame(frame)
-
-
 def append_history(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
