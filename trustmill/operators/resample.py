@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.functions.hashing import hash32
-from trustmill.operators.metrics import ranking_metrics
+from trustmill.functions.storage import saved
+from trustmill.operators.metrics import delta_to, method_scores, ranking_metrics
 from trustmill.operators.prefix import numbered
 
 
@@ -60,3 +61,13 @@ def one_per_cluster(df: DataFrame, cluster: str, order: list[str]) -> DataFrame:
     """The first row of each cluster."""
     first = F.min(F.struct(*order, *[c for c in df.columns if c not in order]))
     return df.groupBy(cluster).agg(first.alias("_f")).select(*[F.col(f"_f.{c}").alias(c) if c != cluster else F.col(cluster) for c in df.columns])
+
+
+def cluster_sensitivity(df: DataFrame, by: list[str], cluster: str, order: list[str], methods: dict[str, str], reference: str, weights: DataFrame, error: str = "error") -> DataFrame:
+    """(by, method, n, aurc, delta_aurc, delta_aurc_low, delta_aurc_high): methods (name -> score column) compared on the first
+    row of each cluster alone, with intervals of the difference to the reference over resamples of the clusters."""
+    first = saved(one_per_cluster(df, cluster, order))
+    scored = method_scores(first, [*by, cluster, error], methods)
+    whole = delta_to(ranking_metrics(scored, [*by, "method"], error), by, "aurc", reference).select(*by, "method", "n", "aurc", "delta_aurc")
+    reps = paired_difference(replicates(scored, weights, [*by, "method"], cluster, error), by, reference)
+    return whole.join(intervals(reps, [*by, "method"], ["delta_aurc"]), [*by, "method"])

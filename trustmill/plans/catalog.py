@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from trustmill.functions import hashing as H
 from trustmill.functions import scores as S
-from trustmill.functions.storage import saved
+from trustmill.functions.storage import saved, shared_folder
 from trustmill.operators import audit, calibration, contracts, groups, learn, metrics, prefix, provenance, resample, shift, splits, views
+from trustmill.sources import arrays
 from trustmill.streaming import events as streaming
 
 FLAGSHIP = "risk_summary"
@@ -197,6 +199,22 @@ def calibration_thresholds(spark, d):
     return calibration.calibrate(logits(spark, d), ["seed"], [0.8, 0.9])[1].withColumn("tau", r6("tau"))
 
 
+@query(f"""WITH RECURSIVE {FITTED}, u AS (SELECT vec_id, seed, 'B1 MSP' AS method, 1 - list_max(p) AS score FROM p
+  UNION ALL SELECT vec_id, seed, 'B2 Entropy', -list_sum(list_transform(p, lambda x: x * ln(x + 1e-12::DOUBLE))) FROM p
+  UNION ALL SELECT vec_id, seed, 'B3 Margin', 1 - (list_reverse_sort(p)[1] - list_reverse_sort(p)[2]) FROM p UNION ALL SELECT vec_id, seed, 'B4 Temperature MSP', 1 - list_max(p) FROM wp
+  UNION ALL SELECT vec_id, seed, 'head ' || k, p[k::INT] FROM p, (VALUES ('1'), ('2'), ('3')) v(k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY seed, method ORDER BY score) AS k, count(*) OVER (PARTITION BY seed, method) AS n FROM u),
+t AS (SELECT seed, method, target, score AS tau FROM o, (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) v(target) WHERE k = ceil(target * n)),
+w AS (SELECT vec_id, (list_position(z, list_max(z)) - 1 <> label)::INT AS error FROM z)
+SELECT t.seed, t.method, target, round(tau, 6) AS tau, round(avg((score <= tau)::INT), 6) AS coverage, count(*) FILTER (score <= tau AND error = 1) AS wrong_answered
+FROM t JOIN u USING (seed, method) JOIN w USING (vec_id) GROUP BY ALL""")
+def calibration_stage(spark, d):
+    """Seven methods: four without training, three heads (here three of the probabilities)."""
+    rows = logits(spark, d).withColumns({"error": (F.col("pred") != F.col("label")).cast("int")} | {f"head{k}": F.get("probs", F.lit(k - 1)) for k in (1, 2, 3)})
+    _, reached = calibration.calibration_stage(rows, "seed", [0.8, 0.9], {f"head {k}": f"head{k}" for k in (1, 2, 3)})
+    return reached.withColumns({"tau": r6("tau"), "coverage": r6("coverage")})
+
+
 @query()
 def temperature_bootstrap(spark, d):
     return calibration.temperature_intervals(logits(spark, d), "seed")
@@ -257,6 +275,24 @@ def paired_bootstrap(spark, d):
     return out.select("method", *[r6(c).alias(c) for c in ("aurc_low", "aurc_high", "delta_aurc_low", "delta_aurc_high")])
 
 
+@query(f"""WITH {DOCS} o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1),
+cl AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS g FROM (SELECT DISTINCT source FROM s)),
+dr AS (SELECT r, k, ('0x' || substr(sha256('2027:' || r || ':' || k), 1, 8))::BIGINT % (SELECT max(g) FROM cl) AS i FROM range({RESAMPLES}) a(r), range((SELECT max(g) FROM cl)) b(k)),
+w AS (SELECT r, source, count(*) AS w FROM dr JOIN cl USING (i) GROUP BY ALL UNION ALL SELECT -1, source, 1 FROM cl),
+m AS (SELECT source, error, 'length' AS method, score FROM o UNION ALL SELECT source, error, 'shortness', -score FROM o),
+t AS (SELECT method, r, score, sum(w) AS sz, sum(w * error) AS g FROM m JOIN w USING (source) GROUP BY ALL),
+c AS (SELECT *, sum(sz) OVER x - sz AS n0, sum(g) OVER x - g AS b FROM t WINDOW x AS (PARTITION BY method, r ORDER BY score)),
+a AS (SELECT method, r, sum(sz) AS n, sum(list_sum(list_transform(range(1, sz::BIGINT + 1), lambda j: (b + j * g::DOUBLE / sz) / (n0 + j)))) / sum(sz) AS aurc FROM c GROUP BY 1, 2),
+j AS (SELECT a.*, a.aurc - f.aurc AS delta FROM a JOIN (SELECT r, aurc FROM a WHERE method = 'length') f USING (r))
+SELECT method, max(n) FILTER (r = -1)::BIGINT AS n, round(max(aurc) FILTER (r = -1), 6) AS aurc, round(max(delta) FILTER (r = -1), 6) AS delta_aurc,
+round(quantile_cont(delta, 0.025::DOUBLE) FILTER (r >= 0), 6) AS delta_aurc_low, round(quantile_cont(delta, 0.975::DOUBLE) FILTER (r >= 0), 6) AS delta_aurc_high FROM j GROUP BY 1""")
+def cluster_sensitivity(spark, d):
+    docs = judged_documents(spark, d).withColumns({"other": -F.col("score")})
+    weights = saved(resample.draws(docs, "source", RESAMPLES, 2027))
+    out = resample.cluster_sensitivity(docs, [], "source", ["doc_id"], {"length": "score", "shortness": "other"}, "length", weights)
+    return out.select("method", "n", *[r6(c).alias(c) for c in ("aurc", "delta_aurc", "delta_aurc_low", "delta_aurc_high")])
+
+
 @query(f"WITH {DOCS} x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM s) SELECT doc_id, source, lang, error, score FROM x WHERE k = 1")
 def one_per_cluster(spark, d):
     return resample.one_per_cluster(judged_documents(spark, d), "source", ["doc_id"])
@@ -698,6 +734,63 @@ def table_differences(spark, d):
     return provenance.differences(n.where("n_regionkey <> 1"), n.where("n_regionkey <> 0"))
 
 
+@query(f"""WITH {LOGITS} SELECT seed, label, count(*) AS n, count(*) FILTER (list_position(z, list_max(z)) - 1 <> label) AS wrong FROM z GROUP BY 1, 2""")
+def label_gate(spark, d):
+    """Predictions are written and committed, their digest recorded; labels are joined once all gates are passed."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    provenance.write_committed(logits(spark, d).select("vec_id", "seed", "pred"), path)
+    sealed = provenance.manifest_digest(spark, path)
+    truth = lambda: table(spark, d, "embeddings").select("vec_id", "label")
+    out = provenance.opened_labels(spark, {path: sealed}, truth, "vec_id", [f"{path}-results"])[path]
+    return out.groupBy("seed", "label").agg(F.count("*").alias("n"), F.count_if(F.col("pred") != F.col("label")).alias("wrong"))
+
+
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
+def array_bundle(spark, d):
+    """Vectors as a folder of array bundles, and back."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-bundles"
+    arrays.save_arrays(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), path, "vec_id", rows=1000)
+    back = arrays.load_arrays(spark, path, partition_rows=500)
+    return back.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+
+
+@query(f"""WITH {SIGNS}, w AS (SELECT n.*, (vec_id_a + vec_id_b) % 5 = 0 AS reviewed, (label_a < 5) <> (label_b < 5) AS other FROM n)
+SELECT vec_id_a, vec_id_b, distance FROM w WHERE (distance = 17 OR other) AND NOT reviewed""")
+def review_queue(spark, d):
+    """Pairs still to be reviewed: at one distance, or across domains."""
+    pairs = labelled_pairs(spark, d)
+    half = lambda c: F.when(F.col(c) < 5, "source").otherwise("target")
+    pairs = pairs.withColumn("scope", audit.pair_scope(half("label_a"), half("label_b")))
+    known = pairs.where((F.col("vec_id_a") + F.col("vec_id_b")) % 5 == 0).select(F.col("vec_id_b").alias("vec_id_a"), F.col("vec_id_a").alias("vec_id_b"))
+    return audit.to_review(audit.with_reviewed(pairs, known, "vec_id_a", "vec_id_b"), [17]).select("vec_id_a", "vec_id_b", "distance")
+
+
+@query("""SELECT count(*) FILTER (d = '') AS empty, count(*) FILTER (d NOT IN ('', 'user', 'assistant')) AS invalid
+FROM (SELECT lower(trim(CASE WHEN turn % 4 = 3 THEN '  ' WHEN turn % 3 = 0 THEN ' ' || upper(role) ELSE role END)) AS d FROM conversations)""")
+def decision_states(spark, d):
+    """Entries typed by hand, trimmed and lower-cased: how many are empty, how many not allowed."""
+    turn = F.col("turn")
+    typed = F.when(turn % 4 == 3, "  ").when(turn % 3 == 0, F.concat(F.lit(" "), F.upper("role"))).otherwise(F.col("role"))
+    return audit.checked_decisions(table(spark, d, "conversations").select(typed.alias("decision")), ["user", "assistant"])[1]
+
+
+@query("SELECT l_linestatus, round(avg(rate), 6) AS mean_rate FROM (SELECT l_linestatus, l_suppkey % 3 AS g, avg((l_returnflag = 'R')::INT) AS rate FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def seed_means(spark, d):
+    """A metric of each group, averaged over groups and not over rows."""
+    rates = table(spark, d, "lineitem").groupBy("l_linestatus", (F.col("l_suppkey") % 3).alias("g")).agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("rate"))
+    return metrics.mean_over(rates, ["l_linestatus"], ["rate"]).select("l_linestatus", r6("mean_rate").alias("mean_rate"))
+
+
+@query("""SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / 64, 5) AS difference,
+CASE a.label WHEN 0 THEN 'healthy' WHEN 1 THEN 'scab' WHEN 2 THEN 'rust' END AS name FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def pixel_differences(spark, d):
+    """Mean absolute difference of each vector to the next, and class names by index (null beyond the names)."""
+    rows = table(spark, d, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    wide = F.transform("embedding", lambda x: x.cast("double")), F.transform("next", lambda x: x.cast("double"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(S.mean_abs_difference(*wide), 5).alias("difference"), S.class_name("label", ["healthy", "scab", "rust"]).alias("name"))
+
+
 @query()
 def failure_head(spark, d):
     rows = logits(spark, d).withColumns({"failure": (F.col("pred") != F.col("label")).cast("int"), "x": F.concat("logits", "probs")})
