@@ -153,6 +153,8 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each row of `documents`. Null and empty texts have none; rows with null ids and repeated
+    rows are kept, the latter with the same spans; other columns are ignored; an empty table gives an empty one."""
     found = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(of_rank("base", i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(listed(by_kind(F.col("base"))), 256).alias("base_sha256"), listed(by_kind(F.col("all"))).alias("spans"))

@@ -99,6 +99,8 @@ def quality_rules(docs: DataFrame, thresholds: list[Threshold] = THRESHOLDS, id_
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each row of `documents`. Null and empty texts have zero counts and fail the base rule; texts of any
+    length are read whole; repeated rows are judged alike; other columns are ignored; an empty table gives an empty one."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 

@@ -86,6 +86,9 @@ def scan_history(versions: DataFrame, increment: str, increments: list, ledger:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each row of `documents`, the table taken as two increments. Null and empty texts have none; rows
+    with null ids and repeated rows are kept, the latter scanned once; other columns are ignored; an empty table gives an
+    empty one."""
     docs = table(spark, sf_dir, "documents")
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(INCREMENTS)).cast("int")
     found, _ = scan_history(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"), turn.alias("turn")), "turn", list(range(INCREMENTS)))

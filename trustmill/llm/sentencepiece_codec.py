@@ -257,7 +257,8 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col
 
 def decoded(docs: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs plus the text that each array of ids stands for; a null array gives an empty text. Control ids stand for
-    nothing. Blanks survive; the blank sign U+2581 itself comes back as a blank."""
+    nothing. Blanks survive; the blank sign U+2581 itself comes back as a blank. A column named as text_col is replaced,
+    others are passed on; an empty table gives an empty one."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model_pieces(model))
 
@@ -294,7 +295,8 @@ DIGEST = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string,
 
 def digests(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: count and SHA-256 (little-endian 32-bit) of its ids, SHA-256 of what they decode to, and
-    whether that is the text. Null and empty texts have no pieces and decode to the empty text."""
+    whether that is the text. Null and empty texts have no pieces and decode to the empty text; texts of any length are
+    taken whole; repeated rows give repeated rows; other columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
     small_batches(spark, 2)
     held = spark.sparkContext.broadcast(model_pieces(model))
@@ -316,4 +318,6 @@ def digests(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids of each row of `documents`. Null and empty texts have no ids; texts of any length are
+    encoded whole; repeated rows alike; other columns are ignored; an empty table gives an empty one."""
     return digests(table(spark, sf_dir, "documents"))

@@ -128,6 +128,8 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and slot for each row of `documents`. A null text has no bytes; repeated rows and rows with null ids are placed
+    each for itself; other columns are ignored; an empty table gives an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",

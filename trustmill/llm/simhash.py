@@ -295,6 +295,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row of `documents`. Null and blank texts have fingerprint zero; texts of any length
+    are taken whole; repeated rows share a fingerprint; a component whose ids are all null has a null id; other columns are
+    ignored; an empty table gives an empty one."""
     out = near_duplicates(fingerprints(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -230,13 +230,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text replaced by the words that stay, joined by one space, in the documents that lose words."""
+    """docs with the text replaced by the words that stay, joined by one space, in the documents that lose words. Repeated
+    rows are kept; other columns are passed on, but none may be named _id, _key or _kept. Ids must cast to long."""
     changed = repeated_passages(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept_text").alias("_kept"))
     out = docs.join(changed, (F.col(id_col).cast("long") == F.col("_id")) & (_key(text_col) == F.col("_key")), "left")
     return out.withColumn(text_col, F.coalesce("_kept", text_col)).drop("_id", "_key", "_kept")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from each row of `documents`. Null and short texts and rows with null ids lose nothing; repeated rows are
+    kept and lose the same; texts of any length are taken whole; other columns are ignored; an empty table gives an empty
+    one. Ids must cast to long."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     changed = repeated_passages(docs).select(
         "doc_id", "key",

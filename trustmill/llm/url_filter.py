@@ -180,6 +180,8 @@ def _joined(own: DataFrame, rules: list[Rule], default: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each row of `pages`. A null url, or one without ://, has an empty host and path and the default verdict;
+    repeated rows are judged alike; other columns are ignored; an empty table gives an empty one."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, BASE_RULES + PATTERN_RULES).select("page_id", "host", "path", "rule", "verdict")
 
