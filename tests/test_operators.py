@@ -1,3 +1,7 @@
+import math
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +9,7 @@ from pyspark.sql import functions as F
 from trustmill.functions.hashing import stable_seed
 from trustmill.operators import audit, calibration, components, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
 from trustmill.operators.components import connected_components
-from trustmill.sources import arrays, files
+from trustmill.sources import arrays, files, images
 from trustmill.streaming import events
 
 
@@ -370,6 +374,53 @@ def test_label_gate(spark, tmp_path):
         provenance.sealed_join(spark.range(2), spark.createDataFrame([(0, 1), (1, 1), (1, 2)], "id long, label long"), "id")
 
 
+def png(width, height, colour=2, depth=8, cut=0, flip=None):
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    data = images.PNG_START + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * 50)) + chunk(b"IEND", b"")
+    data = data[: len(data) - cut]
+    return data if flip is None else data[:flip] + bytes([data[flip] ^ 1]) + data[flip + 1 :]
+
+
+def jpeg(width, height, parts=3, end=b"\xff\xd9", frame=0xC0):
+    head = b"\xff\xd8\xff\xe0\x00\x10JFIF\0\1\1\0\0\1\0\1\0\0"
+    return head + b"\xff\xff" + bytes([frame]) + struct.pack(">HBHHB", 8 + 3 * parts, 8, height, width, parts) + b"\1\x11\0" * parts + b"\xff\xda\0\x02data" + end
+
+
+def test_image_properties(spark):
+    cases = [
+        (png(300, 200), ("PNG", 300, 200, "RGB", 3, None)), (png(1, 2, 6), ("PNG", 1, 2, "RGBA", 4, None)), (png(9, 9, 0, 1), ("PNG", 9, 9, "1", 1, None)), (png(9, 9, 3), ("PNG", 9, 9, "P", 1, None)),
+        (png(0, 5), ("PNG", None, None, None, None, "bad header")), (png(3, 3, cut=5), ("PNG", None, None, None, None, "truncated")), (png(3, 3, flip=40), ("PNG", None, None, None, None, "checksum")),
+        (jpeg(640, 480), ("JPEG", 640, 480, "RGB", 3, None)), (jpeg(7, 5, 1, frame=0xC2), ("JPEG", 7, 5, "L", 1, None)), (jpeg(7, 5, end=b""), ("JPEG", None, None, None, None, "truncated")),
+        (jpeg(7, 5)[:30], ("JPEG", None, None, None, None, "truncated")), (b"\xff\xd8\xff\xd9\0\0\0\0", ("JPEG", None, None, None, None, "no header")), (b"\xff\xd8abcdef", ("JPEG", None, None, None, None, "no marker")),
+        (b"GIF89a", (None, None, None, None, None, "unknown format")), (b"", (None, None, None, None, None, "empty")), (None, (None, None, None, None, None, "empty")),
+    ]
+    df = spark.createDataFrame([(i, c, "clash") for i, (c, _) in enumerate(cases)], "path int, content binary, mode string")
+    got = images.inspected(df).orderBy("path")
+    assert [tuple(r)[2:] for r in got.collect()] == [w for _, w in cases] and got.columns[:2] == ["path", "content"]
+    problems = {r["path"]: r["problem"] for r in images.decode_problems(got, least=6).collect()}
+    assert problems[1] == "mode RGBA" and problems[2] == "mode 1" and problems[8] == "mode L" and 0 not in problems and 7 not in problems and len(problems) == len(cases) - 2
+    rng = np.random.default_rng(1)
+    for data in (png(30, 20), jpeg(30, 20)):  # whatever the bytes, it doesn't raise
+        for _ in range(300):
+            at = int(rng.integers(len(data)))
+            assert set(images.properties(data[:at] + bytes(rng.integers(0, 256, 3).tolist()) + data[at + 2 :])) == {"format", "width", "height", "mode", "channels", "error"}
+
+
+def test_dct_hash(spark):
+    """By the sums written out; small changes flip few bits, other pictures about half."""
+    rng = np.random.default_rng(2)
+    a, b = (np.cumsum(np.cumsum(rng.normal(size=(32, 32)), 0), 1) for _ in range(2))
+    near = a + rng.normal(size=(32, 32)) * 0.01
+    rows = [(i, x.ravel().tolist()) for i, x in enumerate((a, near, b))] + [(3, None), (4, [1.0])]
+    got = {r["id"]: r["h"] for r in spark.createDataFrame(rows, "id int, x array<double>").select("id", images.dct_hash("x").alias("h")).collect()}
+    low = [sum(a[y, x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    assert got[0] == f"{int(''.join('1' if x > np.median(low) else '0' for x in low), 2):016x}" and got[3] is None and got[4] is None
+    apart = lambda i, j: (int(got[i], 16) ^ int(got[j], 16)).bit_count()
+    assert apart(0, 1) <= 4 and apart(0, 2) > 10
+
+
 def test_array_bundles(spark, tmp_path):
     """Ranges of rows of every kind of array, compressed or not, and back; the driver's frame is never built."""
     n = 2500

@@ -12,7 +12,7 @@ from trustmill.functions import hashing as H
 from trustmill.functions import scores as S
 from trustmill.functions.storage import saved, shared_folder
 from trustmill.operators import audit, calibration, contracts, groups, learn, metrics, prefix, provenance, resample, shift, splits, views
-from trustmill.sources import arrays
+from trustmill.sources import arrays, images
 from trustmill.streaming import events as streaming
 
 FLAGSHIP = "risk_summary"
@@ -754,6 +754,16 @@ def array_bundle(spark, d):
     return back.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
+@query("""WITH c AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16) AS c FROM range(8) a(u), range(8) b(x)),
+g AS (SELECT vec_id, (k // 8) AS y, k % 8 AS x, v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS k FROM embeddings)),
+h AS (SELECT vec_id, y, u, sum(v * c) AS s FROM g JOIN c USING (x) GROUP BY ALL), f AS (SELECT vec_id, c.u AS p, h.u AS q, sum(s * c) AS s FROM h JOIN c ON c.x = h.y GROUP BY ALL),
+m AS (SELECT vec_id, p, (s > median(s) OVER (PARTITION BY vec_id))::INT << (7 - q)::INT AS b FROM f), w AS (SELECT vec_id, p, sum(b) AS b FROM m GROUP BY 1, 2)
+SELECT vec_id, string_agg(lpad(lower(to_hex(b::BIGINT)), 2, '0'), '' ORDER BY p) AS hash FROM w GROUP BY 1""")
+def dct_hashes(spark, d):
+    """Hashes of vectors taken as grey pictures of 8 x 8."""
+    return table(spark, d, "embeddings").select("vec_id", images.dct_hash("embedding", side=8).alias("hash"))
+
+
 @query(f"""WITH {SIGNS}, w AS (SELECT n.*, (vec_id_a + vec_id_b) % 5 = 0 AS reviewed, (label_a < 5) <> (label_b < 5) AS other FROM n)
 SELECT vec_id_a, vec_id_b, distance FROM w WHERE (distance = 17 OR other) AND NOT reviewed""")
 def review_queue(spark, d):
