@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustmill.functions.hashing import stable_seed
-from trustmill.operators import audit, calibration, components, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
+from trustmill.operators import audit, calibration, components, contracts, groups, hamming, learn, prefix, provenance, quantiles, shift, splits
 from trustmill.operators.components import connected_components
 from trustmill.sources import arrays, files, images
 from trustmill.streaming import events
@@ -354,6 +354,39 @@ def test_committed_outputs(spark, tmp_path):
     assert provenance.read_committed(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_sidecars_and_requirements(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n")
+    digest = provenance.file_digests(spark, str(tmp_path / "t.csv")).first()["sha256"]
+    (tmp_path / "t.sha256").write_text(f"{digest}  t.csv\n")
+    (tmp_path / "bad.sha256").write_text("none\n")
+    provenance.verify_sidecar(spark, str(tmp_path / "t.csv"), str(tmp_path / "t.sha256"))
+    with pytest.raises(ValueError, match="no digest"):
+        provenance.verify_sidecar(spark, str(tmp_path / "t.csv"), str(tmp_path / "bad.sha256"))
+    (tmp_path / "t.csv").write_text("a,b\n1,3\n")
+    with pytest.raises(ValueError, match="differs"):
+        provenance.verify_sidecar(spark, str(tmp_path / "t.csv"), str(tmp_path / "t.sha256"))
+    rows = spark.createDataFrame([("x", 1, False), ("x", 1, True), ("y", 0, False), ("y", 1, False)], "k string, f int, held boolean")
+    contracts.require_columns(rows, ["k", "f"], "rows")
+    with pytest.raises(ValueError, match="lacks columns"):
+        contracts.require_columns(rows, ["k", "z"], "rows")
+    fine = spark.createDataFrame([("x", 2), ("y", 2)], "k string, expected long")
+    contracts.require_counts(rows, fine, "k", "classes")
+    for bad in ([("x", 2), ("y", 3)], [("x", 2)], [("x", 2), ("y", 2), ("z", 1)]):
+        with pytest.raises(ValueError, match="classes"):
+            contracts.require_counts(rows, spark.createDataFrame(bad, "k string, expected long"), "k", "classes")
+    contracts.require_positives(rows, ["k"], "f", 1)
+    for least, held in ((2, None), (1, "held")):
+        with pytest.raises(ValueError, match="positives"):
+            contracts.require_positives(rows.where("k = 'y'"), ["k"], "f", least, held)
+    assert [r[0] for r in spark.createDataFrame([(1.5,), (-0.25,), (0.0,)], "x double").select(prefix.signed(F.col("x"), 2)).collect()] == ["+1.50", "-0.25", "+0.00"]
+    settings = spark.createDataFrame([(1, 0.5), (2, None)], "a int, t double")
+    none = spark.createDataFrame([], "path string, sha256 string")
+    seal = lambda df: contracts.freeze_record(none, df).first()["sha256"]
+    assert seal(settings) == seal(settings.orderBy(F.desc("a")).repartition(3)) != seal(settings.na.fill(0.0)) and seal(settings) != seal(settings.union(settings))
+    with pytest.raises(ValueError, match="no source rows"):
+        shift.principal_components(spark.createDataFrame([([1.0],)], "z array<double>"), [], "z", F.lit(False))
+
+
 def test_label_gate(spark, tmp_path):
     path, read = str(tmp_path / "pred"), []
     provenance.write_committed(spark.range(5).selectExpr("id", "id * 2 AS score"), path)

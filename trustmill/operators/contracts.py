@@ -75,8 +75,9 @@ def freeze_record(digests: DataFrame, settings: DataFrame) -> DataFrame:
     """(kind, name, sha256) to be kept: a row for each file of digests (path, sha256), and one for the settings, whose
     digest is of all their rows in any order."""
     row = F.sha2(F.to_json(F.struct(*sorted(settings.columns)), {"ignoreNullFields": "false"}), 256)
-    # the sum of the rows' leading 64 bits, in decimals: order-free, and one number whatever the size
-    whole = settings.select(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)").alias("x")).agg(F.sha2(F.concat_ws(":", F.count("*"), F.sum("x")), 256).alias("sha256"))
+    # sums of four lanes of 60 bits of the rows' digests, in decimals: order-free, and four numbers whatever the size
+    lanes = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"x{i}") for i in range(4)]
+    whole = settings.select(*lanes).agg(F.sha2(F.concat_ws(":", F.count("*"), *[F.sum(f"x{i}") for i in range(4)]), 256).alias("sha256"))
     return digests.select(F.lit("file").alias("kind"), F.col("path").alias("name"), "sha256").unionByName(whole.select(F.lit("settings").alias("kind"), F.lit("settings").alias("name"), "sha256"))
 
 
@@ -104,3 +105,24 @@ def require_zero(counts: DataFrame, what: str) -> None:
     """Raises if a one-row table of counts has any but zero."""
     if bad := {k: v for k, v in counts.first().asDict().items() if v}:
         raise ValueError(f"{what}: {bad}")
+
+
+def require_columns(df: DataFrame, names: list[str], what: str) -> None:
+    """Raises if a table lacks columns."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"{what} lacks columns: {missing}")
+
+
+def require_counts(found: DataFrame, expected: DataFrame, key: str, what: str) -> None:
+    """Raises if the rows of found by key aren't as many as expected (key, expected) says, or if it has other keys."""
+    from trustmill.operators.audit import count_check
+
+    require_none(count_check(found, expected, key).where("state <> 'OK'").select(key, "found", "expected"), what)
+    require_none(found.select(key).join(expected, key, "left_anti").distinct(), f"{what}: keys that aren't expected")
+
+
+def require_positives(df: DataFrame, by: list[str], flag: str, least: int, held: str | None = None) -> None:
+    """Raises if a group has fewer positives than `least`, or, with a flag of held rows, none among those."""
+    on_hold = F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)
+    counts = df.groupBy(*by).agg(F.count_if(~on_hold & (F.col(flag) == 1)).alias("positives"), F.count_if(on_hold & (F.col(flag) == 1)).alias("held_positives"))
+    require_none(counts.where((F.col("positives") < least) | (F.lit(held is not None) & (F.col("held_positives") == 0))), f"positives, at least {least}")

@@ -44,3 +44,8 @@ def code(number, letter: str):
     """g0001: padded to four digits, never cut."""
     text = number.cast("string")
     return F.concat(F.lit(letter), F.lpad(text, F.greatest(F.lit(4), F.length(text)), F.lit("0")))
+
+
+def signed(number, digits: int):
+    """+1.50: with its sign and so many digits."""
+    return F.format_string(f"%+.{digits}f", number.cast("double"))

@@ -25,6 +25,21 @@ def verify_digests(recorded: DataFrame, now: DataFrame, key: str = "path", diges
     return recorded.join(have, key, "left").select(key, state.alias("state"))
 
 
+def read_sidecar(spark: SparkSession, path: str) -> str:
+    """The digest in a file that begins with 64 hex digits, as is kept beside a table; raises if it has none."""
+    found = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"^([0-9a-f]{64})(\s|$)", 1)).first()
+    if found is None or not found[0]:
+        raise ValueError(f"{path} holds no digest")
+    return found[0]
+
+
+def verify_sidecar(spark: SparkSession, path: str, sidecar: str) -> None:
+    """Raises if the file at path isn't there once, or has another digest than its sidecar says."""
+    want, now = read_sidecar(spark, sidecar), file_digests(spark, path).collect()
+    if len(now) != 1 or now[0]["sha256"] != want:
+        raise ValueError(f"{path} differs from {sidecar}")
+
+
 def incomplete(settings: DataFrame, grid: dict[str, list]) -> DataFrame:
     """Combinations of the grid's values that settings lacks."""
     rows = settings.sparkSession.range(1).select()

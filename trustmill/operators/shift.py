@@ -150,7 +150,9 @@ def principal_components(df: DataFrame, key: list[str], features: str, source_on
     most 64 matrices of dims x dims. Signs are fixed so that the largest loading of a component is positive.
     """
     src = df.where(source_only)
-    dims = src.select(F.size(features)).first()[0]
+    if (first := src.select(F.size(features)).first()) is None:
+        raise ValueError("no source rows to find components of")
+    dims = first[0]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, ss = 0, np.zeros(dims), np.zeros((dims, dims))
