@@ -64,7 +64,7 @@ def test_selective_risk_and_classification(spark):
 
 def test_draws(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "c string")
-    for made in (resample.draws(df, "c", 5), resample.numpy_draws(df, "c", 5, 1)):
+    for made in (resample.draws(df, "c", 5), resample.draws(df, "c", 5, 1)):
         per = {r["resample"]: r["sum(weight)"] for r in made.groupBy("resample").sum("weight").collect()}
         assert set(per.values()) == {3} and len(per) == 5
     assert resample.draws(df.limit(0), "c", 5).count() == 0
