@@ -166,6 +166,34 @@ def test_no_pairwise_comparison_in_the_plan(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_blocks_find_all_pairs_once(spark, monkeypatch):
+    """Several blocks with copies, rows without a hash and portions of few pairs; links join what the pairs join."""
+    monkeypatch.setattr(hamming, "PORTION", 5)
+    monkeypatch.setattr(hamming, "TILE", (3, 7))
+    rng = np.random.default_rng(12)
+    base = [int(x) for x in rng.integers(0, 2**63, 12)] + [0, 2**64 - 1]
+    values = base * 3 + [b ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for b in base for n in range(1, 7)]
+    rows = [(f"k{i}", v >> 32, v & (2**32 - 1)) for i, v in enumerate(values)]
+    df = spark.createDataFrame([*rows, ("none", None, 1), ("none", 1, None)], "v string, h long, l long")
+    got = [tuple(r) for r in hamming.block_pairs(df, 5, len(values)).collect()]
+    want = {(frozenset((f"k{a}", f"k{b}")), (values[a] ^ values[b]).bit_count()) for b in range(len(values)) for a in range(b) if (values[a] ^ values[b]).bit_count() <= 5}
+    assert {(frozenset(r[:2]), r[2]) for r in got} == want and len(got) == len(want)
+    found = lambda e: {tuple(r) for r in connected_components(e, "v_a", "v_b").collect()}
+    links = hamming.block_links(df, 5, len(values))
+    assert found(links) == found(hamming.block_pairs(df, 5, len(values))) and links.count() < len(want)
+
+
+def test_links_at_a_wide_distance_join_no_candidates(spark):
+    """At 18 bits bands make thousands of rows a hash; no candidate goes through a join, and no link of two blocks in vain."""
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, int(h), int(low)) for i, (h, low) in enumerate(rng.integers(0, 2**32, (3000, 2)))], "id long, hi long, lo long")
+    assert hamming.in_blocks(18, 600_000) and not hamming.in_blocks(4, 10**8)
+    assert "Join" not in hamming.close_pairs(items.selectExpr("id AS v", "hi AS h", "lo AS l"), 18)._jdf.queryExecution().executedPlan().toString()
+    links, pairs = audit.near_links(items, "id", "hi", "lo", 22), audit.near_pairs(items, "id", "hi", "lo", 22)
+    assert {r["v"] for r in connected_components(links, "a", "b").selectExpr("struct(*) AS v").collect()} == {r["v"] for r in connected_components(pairs, "id_a", "id_b").selectExpr("struct(*) AS v").collect()}
+    assert links.count() < pairs.count() / 2
+
+
 def test_sweep_without_exact_copies(spark):
     rows = [(1, 5, 0, "x"), (2, 5, 0, "x"), (3, 5, 1, "x"), (4, 5, 1, "y"), (5, 5, 1, None), (6, None, 1, "z")]
     items = spark.createDataFrame(rows, "id int, hi long, lo long, sha string")

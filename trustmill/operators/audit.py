@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustmill.functions.storage import saved
-from trustmill.operators.hamming import close_pairs
+from trustmill.operators.hamming import block_links, block_pairs, close_pairs, in_blocks
 from trustmill.operators.prefix import numbered
 
 
@@ -67,36 +67,57 @@ def halves(hex64: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(hex64, 1, 8), 16, 10).cast("long"), F.conv(F.substring(hex64, 9, 8), 16, 10).cast("long")
 
 
+def _classes(items: DataFrame, key: str, hi: str, lo: str) -> DataFrame:
+    known = items.where(F.col(hi).isNotNull() & F.col(lo).isNotNull())
+    return saved(known.groupBy(F.col(hi).alias("h"), F.col(lo).alias("l")).agg(F.min(key).alias("k")).select(F.struct("h", "l").alias("v"), "h", "l", "k"))
+
+
 def near_classes(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
     """(classes (v, k), links (va, vb, distance)): the distinct 64-bit hashes v, each with its smallest key k, and all
     pairs va < vb of them at max_distance bits or fewer. Membership is equality of hashes; copies are never paired.
     Items without a hash are in no class."""
-    known = items.where(F.col(hi).isNotNull() & F.col(lo).isNotNull())
-    distinct = saved(known.groupBy(F.col(hi).alias("h"), F.col(lo).alias("l")).agg(F.min(key).alias("k")).select(F.struct("h", "l").alias("v"), "h", "l", "k"))
+    distinct = _classes(items, key, hi, lo)
     return distinct.select("v", "k"), close_pairs(distinct.select("v", "h", "l"), max_distance)
 
 
 def near_links(items: DataFrame, key: str, hi: str, lo: str, max_distance: int) -> DataFrame:
     """(a, b): edges whose components are those of near_pairs, in a number that grows with items and not with pairs of
-    copies: every copy to the smallest key of its hash, and one edge per pair of near hashes."""
-    classes, links = near_classes(items, key, hi, lo, max_distance)
-    classes = saved(classes)
+    copies: every copy to the smallest key of its hash, and one edge per pair of near hashes; of hashes that are compared
+    block by block, no more edges of each two blocks than join the same hashes."""
+    distinct = _classes(items, key, hi, lo)
+    classes, n = distinct.select("v", "k"), distinct.count()
     copies = items.select(F.col(key).alias("b"), F.struct(F.col(hi).alias("h"), F.col(lo).alias("l")).alias("v")).join(classes, "v").where("b <> k").select(F.col("k").alias("a"), "b")
+    if in_blocks(max_distance, n):
+        return saved(copies.union(block_links(distinct.select(F.col("k").alias("v"), "h", "l"), max_distance, n)))
+    links = close_pairs(distinct.select("v", "h", "l"), max_distance)
     side = lambda x: classes.select(F.col("v").alias(f"v{x}"), F.col("k").alias(x))
     return copies.union(links.join(side("a"), "va").join(side("b"), "vb").select("a", "b"))
 
 
-def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int, digest: str | None = None) -> DataFrame:
-    """(key_a, key_b, distance), key_a < key_b: near_classes expanded to all pairs of items, copies included. With digest,
-    pairs whose digests are equal are left out: exact copies have a list of their own (exact_duplicates)."""
-    classes, links = near_classes(items, key, hi, lo, max_distance)
-    links = links.union(classes.select("v", "v", F.lit(0)))
-    own = items.select(F.col(key).alias("k"), F.struct(F.col(hi).alias("h"), F.col(lo).alias("l")).alias("v"), (F.col(digest) if digest else F.lit(None).cast("string")).alias("s"))
-    left, right = own.select(F.col("k").alias("k1"), F.col("v").alias("va"), F.col("s").alias("s1")), own.select(F.col("k").alias("k2"), F.col("v").alias("vb"), F.col("s").alias("s2"))
-    pairs = links.join(left, "va").join(right, "vb").where((F.col("va") != F.col("vb")) | (F.col("k1") < F.col("k2")))
+def near_pairs(items: DataFrame, key: str, hi: str, lo: str, max_distance: int, digest: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key_a, key_b, distance, c_a and c_b for each carried column c), key_a < key_b: all pairs of items at max_distance
+    bits or fewer, copies included. With digest, pairs whose digests are equal are left out: exact copies have a list of
+    their own (exact_duplicates).
+
+    Items that are compared block by block take their columns along; otherwise near_classes is expanded.
+    """
+    extra = {f"_{i}": F.col(c) for i, c in enumerate(carried)} | ({"s": F.col(digest)} if digest else {})
+    own = items.where(F.col(hi).isNotNull() & F.col(lo).isNotNull())
+    own = saved(own.select(F.col(key).alias("k"), F.col(hi).alias("h"), F.col(lo).alias("l"), *[c.alias(name) for name, c in extra.items()]))
+    n = own.count()
+    if in_blocks(max_distance, n):
+        pairs = block_pairs(own, max_distance, n)
+    else:
+        classes, links = near_classes(own, "k", "h", "l", max_distance)
+        links = links.union(classes.select("v", "v", F.lit(0)))
+        side = lambda x: own.select(F.struct("h", "l").alias(f"v{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("k", *extra)])
+        pairs = links.join(side("a"), "va").join(side("b"), "vb").where((F.col("va") != F.col("vb")) | (F.col("k_a") < F.col("k_b")))
+    pairs = pairs.where((F.col("distance") > 0) | (F.col("k_a") != F.col("k_b")))
     if digest:
-        pairs = pairs.where(F.coalesce(F.col("s1") != F.col("s2"), F.lit(True)))
-    return pairs.select(F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b"), F.col("distance").cast("int").alias("distance"))
+        pairs = pairs.where(F.coalesce(F.col("s_a") != F.col("s_b"), F.lit(True)))
+    turned = F.coalesce(F.col("k_a") > F.col("k_b"), F.lit(False))
+    ends = [F.when(turned, F.col(f"_{i}_{y}")).otherwise(F.col(f"_{i}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for i, c in enumerate(carried)]
+    return pairs.select(F.least("k_a", "k_b").alias(f"{key}_a"), F.greatest("k_a", "k_b").alias(f"{key}_b"), F.col("distance").cast("int").alias("distance"), *ends)
 
 
 def with_reviewed(pairs: DataFrame, reviews: DataFrame, a: str, b: str) -> DataFrame:
