@@ -23,6 +23,13 @@ def test_query(spark, duck, name):
     assert rows_of(got, columns) == rows_of(want, columns)
 
 
+@pytest.mark.parametrize(("name", "joins"), [("near_duplicate_pairs", 0)])
+def test_pairs_take_their_labels_along(spark, name, joins):
+    """Pairs are not joined with hashes, keys and labels, and not found again for their reviews."""
+    plan = catalog.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == joins and plan.count("FlatMapGroupsInArrow") == (name == "near_duplicate_pairs")
+
+
 def vectors(spark):
     rows = catalog.logits(spark, DIR).orderBy("vec_id").collect()
     z = np.array([r["logits"] for r in rows])

@@ -330,9 +330,8 @@ n AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, (bit_count(xor(a.hi, b.
 
 def labelled_pairs(spark, d, items=None, digest=None) -> DataFrame:
     items = sign_hash(spark, d) if items is None else items
-    pairs = audit.near_pairs(items, "vec_id", "hi", "lo", 18, digest)
-    side = lambda s: items.select(F.col("vec_id").alias(f"vec_id_{s}"), F.col("label").alias(f"label_{s}"))
-    return pairs.join(side("a"), "vec_id_a").join(side("b"), "vec_id_b").withColumn("same_label", F.col("label_a") == F.col("label_b"))
+    pairs = audit.near_pairs(items, "vec_id", "hi", "lo", 18, digest, ("label",))
+    return pairs.withColumn("same_label", F.col("label_a") == F.col("label_b"))
 
 
 @query(f"WITH {SIGNS} SELECT vec_id_a, vec_id_b, distance, same_label FROM n")
