@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import rows_of
 
-from trustmill.operators import calibration, contracts, learn, resample, splits
+from trustmill.operators import audit, calibration, contracts, learn, resample, splits
 from trustmill.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -30,6 +30,16 @@ def test_pairs_take_their_labels_along(spark, name, joins):
     assert plan.count("Join ") == joins and plan.count("FlatMapGroupsInArrow") == (name == "near_duplicate_pairs")
 
 
+def test_review_sheet_numbers_saved_pairs(spark, monkeypatch):
+    """Ranges are sampled before rows are dealt; pairs are not found twice for that."""
+    seen = []
+    numbered = audit.numbered
+    monkeypatch.setattr(audit, "numbered", lambda pairs, *more: seen.append(pairs) or numbered(pairs, *more))
+    catalog.review_sheet(spark, DIR)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan
+
+
 def vectors(spark):
     rows = catalog.logits(spark, DIR).orderBy("vec_id").collect()
     z = np.array([r["logits"] for r in rows])

@@ -357,7 +357,7 @@ def distance_sweep(spark, d):
 
 @query(f"WITH {SIGNS} SELECT row_number() OVER (ORDER BY distance, vec_id_a, vec_id_b) AS pair_id, vec_id_a, vec_id_b, distance, floor((row_number() OVER (ORDER BY distance, vec_id_a, vec_id_b) - 1) / 6)::BIGINT AS sheet, '' AS decision FROM n")
 def review_sheet(spark, d):
-    pairs = labelled_pairs(spark, d).select("vec_id_a", "vec_id_b", "distance")
+    pairs = saved(labelled_pairs(spark, d).select("vec_id_a", "vec_id_b", "distance"))
     return audit.review_sheet(pairs, ["distance", "vec_id_a", "vec_id_b"])
 
 
