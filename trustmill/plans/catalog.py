@@ -350,7 +350,7 @@ def distance_sweep(spark, d):
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.sha2("text", 256).alias("sha"))
     pairs = labelled_pairs(spark, d, sign_hash(spark, d).join(texts, "vec_id", "left"), "sha")
     half = lambda c: F.when(F.col(c) < 5, "source").otherwise("target")
-    pairs = pairs.withColumn("scope", audit.pair_scope(half("label_a"), half("label_b")))
+    pairs = saved(pairs).withColumn("scope", audit.pair_scope(half("label_a"), half("label_b")))
     reviews = pairs.where((F.col("vec_id_a") + F.col("vec_id_b")) % 5 == 0).select(F.col("vec_id_b").alias("vec_id_a"), F.col("vec_id_a").alias("vec_id_b"))
     return audit.distance_sweep(audit.with_reviewed(pairs, reviews, "vec_id_a", "vec_id_b"), 18, ["source-source", "target-target", "cross"])
 
