@@ -23,7 +23,7 @@ def test_query(spark, duck, name):
     assert rows_of(got, columns) == rows_of(want, columns)
 
 
-@pytest.mark.parametrize(("name", "joins"), [("near_duplicate_pairs", 0), ("distance_sweep", 2)])
+@pytest.mark.parametrize(("name", "joins"), [("near_duplicate_pairs", 0), ("distance_sweep", 2), ("review_queue", 1)])
 def test_pairs_take_their_labels_along(spark, name, joins):
     """Pairs are not joined with hashes, keys and labels, and not found again for their reviews."""
     plan = catalog.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
