@@ -280,6 +280,19 @@ def test_temperature(spark):
     assert t["temperature"] == pytest.approx(1 / bisected(z, np.array(y)), rel=1e-9) and not t["hit_limit"]
 
 
+def test_nearest_blocks_hold_many_cells(spark, monkeypatch):
+    """Where nothing can be pruned a row is sent once a block of the other side, whatever the number of cells."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 40))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, z array<double>")
+    kept, keep = [], shift.saved
+    monkeypatch.setattr(shift, "saved", lambda d: kept.append(keep(d)) or kept[-1])
+    got = {r["id"]: r["nearest"] for r in shift.nearest_distance(df, df, "id", exclude_self=True, pivots=30, block=200).collect()}
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * 600)
+    assert np.allclose([got[i] for i in range(600)], apart.min(1), atol=1e-9)
+    assert [d.count() for d in kept if d.columns == ["x", "y"]] == [9]
+
+
 def test_nearest_by_pivots(spark):
     """Clusters, copies, several blocks in a cell, rows without vectors; equal to all distances, and not all blocks meet."""
     rng = np.random.default_rng(6)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def shifted_share(target: DataFrame, z: str = "z") -> DataFrame:
     return means.agg(F.avg((F.abs("m") > 1).cast("double")).alias("shifted_share"))
 
 
-#: Pivots, and rows of a block.
-PIVOTS, BLOCK = 256, 2000
+#: Pivots, rows of either side that meet in a task, and rows of them that are compared at once.
+PIVOTS, BLOCK, TILE = 256, 50_000, 2000
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -55,8 +57,9 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str, z: str = "z", exclude
 
     Rows of b near to one of a few pivots, themselves rows of b, form a cell. Each row of a first meets the cell of its own
     pivot, which gives a bound. By the triangle inequality, from its distances to the pivots and the cells' radii, it then
-    needs other cells only where something closer may be, and only blocks of both sides with such a pair are sent to meet.
-    How much that prunes is up to the data; all pairs at worst.
+    needs other cells only where something closer may be. Both sides are dealt into blocks by cell, large ones into several;
+    a row of a is sent once to each block with a cell that it needs, and compared with these cells. How much that prunes is
+    up to the data; at worst all blocks meet, and every row is sent once a block of the other side.
     """
     spark = a.sparkSession
     rows = lambda df: df.select(F.col(key).alias("k"), F.col(z).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
@@ -76,31 +79,56 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str, z: str = "z", exclude
 
     celled = lambda df: saved(df.mapInPandas(to_cells, f"k {kind}, v array<double>, cell int, r double").withColumn("_n", F.monotonically_increasing_id()))
     left, right = celled(left), celled(right)
-    parts = lambda df: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.max("r").alias("radius"))
-    a_parts, b_parts = saved(parts(left)), saved(parts(right))
-    named = lambda df, sizes, to: df.join(sizes.select("cell", "parts"), "cell").select("k", "v", "cell", F.pmod(F.xxhash64("_n"), F.col("parts")).cast("int").alias("part")).select("k", "v", "cell", F.struct("cell", "part").alias(to))
-    left, right = saved(named(left, a_parts, "x")), saved(named(right, b_parts, "y"))
-
-    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"k": [], "d": []})
-        x, y = np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        d = _apart(x, y)
-        if exclude_self:
-            d[p["k"].to_numpy()[:, None] == q["k"].to_numpy()[None, :]] = np.inf
-        # the product loses digits where rows are close; the nearest one is measured again
-        return pd.DataFrame({"k": p["k"], "d": np.where(np.isinf(d.min(1)), np.inf, np.sqrt(((x - y[d.argmin(1)]) ** 2).sum(1)))})
-
-    def met(p: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(k, d) of rows (k, v, x) with the blocks of b that pairs (x, y) has."""
-        both = p.join(pairs, "x").groupBy("x", "y").cogroup(right.join(pairs, "y").groupBy("x", "y"))
-        return both.applyInPandas(meet, f"k {kind}, d double")
-
-    own = left.select("x", "cell").distinct().join(b_parts.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "cell").select("x", F.struct("cell", "part").alias("y"))
-    found = saved(met(left, saved(own)).groupBy("k").agg(F.min("d").alias("bound")))
-    radius = np.full(len(centres), -1.0)
-    for r in b_parts.collect():  # one row a pivot
-        radius[r["cell"]] = r["radius"]
+
+    def blocks(df: DataFrame) -> tuple[np.ndarray, ...]:
+        """(rows, rows in cells before, first block, last block, radius) of each cell; a cell without rows has no blocks."""
+        n, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -1.0)
+        for r in df.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).collect():  # one row a pivot
+            n[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+        before = np.cumsum(n) - n
+        return n, before, before // block, np.where(n > 0, (before + n - 1) // block, -1), radius
+
+    a_cells, b_cells = blocks(left), blocks(right)
+    of_cell = lambda numbers: F.element_at(F.from_json(F.lit(json.dumps(numbers.tolist())), "array<bigint>"), F.col("cell") + 1)
+    place = lambda cells: F.floor((of_cell(cells[1]) + F.pmod(F.xxhash64("_n"), of_cell(cells[0]))) / block).cast("int")
+    left, right = left.withColumn("x", place(a_cells)).select("k", "v", "cell", "x"), right.withColumn("y", place(b_cells)).select("k", "v", "cell", "y")
+    with_cell = lambda df, cells, to: df.where(of_cell(cells[0]) > 0).withColumn(to, F.explode(F.sequence(of_cell(cells[2]).cast("int"), of_cell(cells[3]).cast("int"))))
+
+    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
+        best = np.full(p.num_rows, np.inf)
+        if p.num_rows and q.num_rows:
+            x, y = (np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (p, q))
+            own, other, cell = p.column("k").to_pandas().to_numpy(), q.column("k").to_pandas().to_numpy(), np.asarray(q.column("cell"))
+            wanted = np.unpackbits(np.array([np.frombuffer(c, np.uint8) for c in p.column("cells").to_pylist()]), axis=1)
+            for c in np.unique(cell):
+                mine, there = np.flatnonzero(wanted[:, c]), np.flatnonzero(cell == c)
+                for i, j in ((mine[s : s + TILE], there[t : t + TILE]) for s in range(0, len(mine), TILE) for t in range(0, len(there), TILE)):
+                    some, near = x[i], y[j]
+                    d = some @ near.T
+                    d *= -2
+                    d += (near * near).sum(1)
+                    if exclude_self:
+                        d[own[i][:, None] == other[j][None, :]] = np.inf
+                    at = d.argmin(1)
+                    # the product loses digits where rows are close; the nearest one is measured again
+                    again = np.where(np.isinf(d[np.arange(len(i)), at]), np.inf, np.sqrt(((some - near[at]) ** 2).sum(1)))
+                    best[i] = np.minimum(best[i], again)
+        found = np.flatnonzero(np.isfinite(best))
+        return pa.table({"k": p.column("k").take(pa.array(found)), "d": best[found]})
+
+    def met(p: DataFrame, q: DataFrame) -> DataFrame:
+        """(k, d) of rows (k, v, cells, x, y) with the rows (k, v, cell, x, y) of b sent to the same place."""
+        return p.groupBy("x", "y").cogroup(q.groupBy("x", "y")).applyInArrow(lambda t, u: meet(t, u), f"k {kind}, d double")
+
+    def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            one = np.arange(len(centres))[None, :] == pdf["cell"].to_numpy()[:, None]
+            yield pdf.assign(cells=[m.tobytes() for m in np.packbits(one, axis=1)])[["k", "v", "cells", "x", "y"]]
+
+    sent = f"k {kind}, v array<double>, cells binary, x int, y int"
+    found = saved(met(with_cell(left, b_cells, "y").mapInPandas(masked, sent), with_cell(right, a_cells, "x")).groupBy("k").agg(F.min("d").alias("bound")))
+    radius, many = b_cells[4], int(b_cells[3].max()) + 1
+    holds = (b_cells[2][None, :] <= np.arange(many)[:, None]) & (np.arange(many)[:, None] <= b_cells[3][None, :])
     between, most = _apart(centres, centres), float(np.sqrt((centres * centres).sum(1)).max())
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,13 +145,20 @@ def nearest_distance(a: DataFrame, b: DataFrame, key: str, z: str = "z", exclude
                 plane = np.where(between[cell] > 1e-4 * scale[:, None], (d * d - (at * at)[:, None]) / (2 * between[cell]), -np.inf)
             need = (np.maximum(far, plane) <= (bound + 1e-7 * scale)[:, None]) & (radius >= 0)[None, :]
             need[np.arange(len(d)), cell] = False
-            yield pd.DataFrame({"k": pdf["k"], "v": pdf["v"], "x": pdf["x"], "cells": [np.flatnonzero(n).tolist() for n in need]})
-
-    bounded = left.join(found.withColumnRenamed("k", "_k"), F.col("k") == F.col("_k"), "left").select("k", "v", "x", "cell", "bound")
-    wants = saved(bounded.mapInPandas(needed, f"k {kind}, v array<double>, x struct<cell:int,part:int>, cells array<int>").where(F.size("cells") > 0))
-    pairs = wants.select("x", F.explode("cells").alias("cell")).distinct().join(b_parts, "cell").select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell")
-    more = met(wants.select("k", "v", "x"), saved(pairs.select("x", F.struct("cell", "part").alias("y"))))
-    out = found.select("k", F.col("bound").alias("d")).union(more).where("d < double('Infinity')")
+            cells = np.array([m.tobytes() for m in np.packbits(need, axis=1)], object)
+            for y in range(many):
+                to = np.flatnonzero((need & holds[y]).any(1))
+                if len(to):
+                    yield pd.DataFrame({"k": pdf["k"].to_numpy()[to], "v": pdf["v"].to_numpy()[to], "cells": cells[to], "x": pdf["x"].to_numpy()[to], "y": np.int32(y)})
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in needed(batches):
+            yield pdf[["x", "y"]].drop_duplicates()
+
+    bounded = saved(left.join(found.withColumnRenamed("k", "_k"), F.col("k") == F.col("_k"), "left").select("k", "v", "x", "cell", "bound"))
+    pairs = saved(bounded.mapInPandas(places, "x int, y int").distinct())
+    more = met(bounded.mapInPandas(needed, sent), right.join(pairs, "y").select("k", "v", "cell", "x", "y"))
+    out = found.select("k", F.col("bound").alias("d")).union(more)
     return out.groupBy("k").agg(F.min("d").alias("nearest")).withColumnRenamed("k", key)
 
 
